@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ("q_predictions",)
+TOPICS = ("q_predictions", "q_cohort")
 
 
 def load():
