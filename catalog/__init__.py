@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ("q_predictions", "q_cohort")
+TOPICS = ("q_predictions", "q_cohort", "q_vectors")
 
 
 def load():
