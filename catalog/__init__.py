@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ("q_predictions", "q_cohort", "q_vectors")
+TOPICS = ("q_predictions", "q_cohort", "q_vectors", "q_dataset")
 
 
 def load():

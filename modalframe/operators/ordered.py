@@ -24,16 +24,13 @@ def value_splits(df: DataFrame, col: str, n_buckets: int = DEFAULT_BUCKETS) -> l
     return sorted(set(row["q"] or []))
 
 
-def bucket_of(value: Column | str, splits: Sequence[float]) -> Column:
+def bucket_of_cuts(value: Column, cuts: Column, max_cuts: int) -> Column:
     """Order-preserving bucket number: even between two cut points, odd exactly on one.
 
-    A value held by a large share of the rows is a cut point, so it has a bucket of its own and can be recognised.
+    `cuts` is a sorted array of at most `max_cuts` values. A value held by a large share of the rows is a cut point,
+    so it has a bucket of its own and can be recognised. The fold is a binary search over the array.
     """
-    value = F.col(value) if isinstance(value, str) else value
-    if not splits:
-        return F.lit(0)
-    cuts = F.array(*[F.lit(s) for s in splits])
-    steps = [1 << k for k in reversed(range(len(splits).bit_length()))]
+    steps = [1 << k for k in reversed(range(max(1, max_cuts).bit_length()))]
     below = F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
@@ -43,6 +40,13 @@ def bucket_of(value: Column | str, splits: Sequence[float]) -> Column:
     return below * 2 + on_cut
 
 
+def bucket_of(value: Column | str, splits: Sequence[float]) -> Column:
+    value = F.col(value) if isinstance(value, str) else value
+    if not splits:
+        return F.lit(0)
+    return bucket_of_cuts(value, F.array(*[F.lit(s) for s in splits]), len(splits))
+
+
 def ordered_bucket(
     df: DataFrame, order: Sequence[str], n_buckets: int = DEFAULT_BUCKETS, splits: Sequence[float] | None = None
 ) -> Column:
@@ -111,7 +115,7 @@ def rows_at_ranks(
     """Exact order statistics: the row standing at each wanted rank of each group.
 
     `ranks[tag]` is an expression over `n` (the group's row count) that gives a rank from 1. Only the buckets that
-    hold a wanted rank are sorted. Returns group columns, `tag` and the order columns: groups x tags rows.
+    hold a wanted rank are sorted. Returns group columns, `tag`, `n` and the order columns: groups x tags rows.
     """
     rows = df.withColumn(_BUCKET, bucket).withColumn(
         "_w", F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
@@ -122,9 +126,9 @@ def rows_at_ranks(
     wanted = F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), k.cast("long").alias("k")) for t, k in ranks.items()]))
     targets = (
         totals.withColumn("_upto", upto)
-        .select(*group, _BUCKET, "_b_w", "_upto", wanted.alias("_want"))
+        .select(*group, _BUCKET, "_b_w", "_upto", "n", wanted.alias("_want"))
         .filter((F.col("_want.k") > F.col("_b_w")) & (F.col("_want.k") <= F.col("_upto")))
-        .select(*group, _BUCKET, "_b_w", F.col("_want.tag").alias("tag"), F.col("_want.k").alias("_k"))
+        .select(*group, _BUCKET, "_b_w", "n", F.col("_want.tag").alias("tag"), F.col("_want.k").alias("_k"))
     )
     # targets holds one row per (group, tag), so it is small whatever the size of df
     cand = rows.select(*group, _BUCKET, *order, "_w").join(F.broadcast(targets), [*group, _BUCKET])
@@ -133,5 +137,5 @@ def rows_at_ranks(
     return (
         cand.withColumn("_pos", pos)
         .filter((F.col("_k") <= F.col("_pos")) & (F.col("_k") > F.col("_pos") - F.col("_w")))
-        .select(*group, "tag", *order)
+        .select(*group, "tag", "n", *order)
     )

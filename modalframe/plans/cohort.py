@@ -24,8 +24,11 @@ def require(df: DataFrame, columns, what: str) -> DataFrame:
     return df
 
 
-def build_features(tables: dict[str, DataFrame], subjects: DataFrame | None = None, mode: str = "row") -> DataFrame:
-    """One row per cohort subject: index features, three labels, patient one-hots and all detail aggregates."""
+def build_features(tables: dict[str, DataFrame], subjects: DataFrame | None = None, mode: str = "row", fill: bool = True) -> DataFrame:
+    """One row per cohort subject: index features, three labels, patient one-hots and all detail aggregates.
+
+    `fill=False` keeps gaps as NULL, for imputation later.
+    """
     patients, admissions = tables["patients"], tables["admissions"]
     if subjects is None:
         subjects = cohort.eligible_subjects(patients, admissions)
@@ -45,7 +48,7 @@ def build_features(tables: dict[str, DataFrame], subjects: DataFrame | None = No
     details = {t: tables[t] for t in DETAIL_TABLES if t in tables}
     frames = features.feature_frames(details, index.select("subject_id", "hadm_id"))
     wide = features.join_wide(base, list(frames.values())).drop("hadm_id")
-    return features.fill_missing(wide)
+    return features.fill_missing(wide) if fill else wide
 
 
 def label_report(wide: DataFrame) -> DataFrame:
