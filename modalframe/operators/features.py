@@ -93,17 +93,87 @@ def fluid_balance(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     return vols.withColumn("idx_net_fluid", F.col("idx_in_vol") - F.col("idx_out_vol"))
 
 
-def feature_frames(tables: dict[str, DataFrame], pairs: DataFrame) -> dict[str, DataFrame]:
-    """One aggregated frame per detail table present in `tables`; in and out volumes become `fluids`."""
+def _ready(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     ready = {k: DERIVE[k](v) if k in DERIVE else v for k, v in tables.items()}
     if "prescriptions" in tables and "emar" in tables:
         ready["medications"] = medications(tables["prescriptions"], tables["emar"])
-    frames = {name: aggregate_by_index(ready[name], pairs, specs) for name, specs in SPECS.items() if name in ready}
+    return ready
+
+
+def admission_frames(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """One frame per detail table present in `tables`, aggregated per (subject_id, hadm_id); in and out volumes become
+    `fluids`."""
+    ready = _ready(tables)
+    frames = {name: aggregate_by_admission(ready[name], specs) for name, specs in SPECS.items() if name in ready}
     if "inputevents" in frames and "outputevents" in frames:
         frames["fluids"] = fluid_balance(frames.pop("inputevents"), frames.pop("outputevents"))
     return frames
 
 
+def _cells(detail: DataFrame, table: str, specs: Specs) -> DataFrame:
+    """The rows of one table reduced to `(pair, table, code, n, flags, amount)`, what its aggregates need."""
+    by = {func: col for col, func in specs.values()}
+    counted = F.when(F.col(by["count"]).isNotNull(), 1).otherwise(0) if "count" in by else F.lit(1)
+    none = F.lit(None)
+    return detail.select(
+        *PAIR,
+        F.lit(table).alias("table"),
+        (F.col(by["nunique"]) if "nunique" in by else none).cast("string").alias("code"),
+        counted.cast("long").alias("n"),
+        (F.col(by["sum_flag"]) if "sum_flag" in by else none).cast("int").cast("long").alias("flags"),
+        (F.col(by["sum"]) if "sum" in by else none).cast("double").alias("amount"),
+    )
+
+
+def combined_frame(tables: dict[str, DataFrame]) -> DataFrame:
+    """All detail aggregates per (subject_id, hadm_id) in one relation; NULL where a table has no row for the pair.
+
+    The tables are stacked and aggregated together: one exchange on the distinct codes and one on the pair, instead of
+    an exchange and a join per table. Only tables that need a mode are aggregated on their own and joined.
+    """
+    ready = _ready(tables)
+    specs = {t: s for t, s in SPECS.items() if t in ready}
+    apart = {t for t, s in specs.items() if any(f == "mode" for _, f in s.values())}
+    stacked = None
+    for t, s in specs.items():
+        if t not in apart:
+            part = _cells(ready[t], t, s)
+            stacked = part if stacked is None else stacked.unionByName(part)
+    out = None
+    if stacked is not None:
+        by_code = stacked.groupBy(*PAIR, "table", "code").agg(
+            F.sum("n").alias("n"), F.sum("flags").alias("flags"), F.coalesce(F.sum("amount"), F.lit(0.0)).alias("amount")
+        )
+        value = {
+            "count": F.col("n"), "size": F.col("n"), "sum": F.col("amount"), "sum_flag": F.col("flags"),
+            "nunique": F.col("code").isNotNull().cast("long"), "flag": F.lit(1),
+        }
+        reduce = {"flag": F.max}
+        out = by_code.groupBy(*PAIR).agg(
+            *[
+                reduce.get(f, F.sum)(F.when(F.col("table") == t, value[f])).alias(name)
+                for t, s in specs.items() if t not in apart for name, (_, f) in s.items()
+            ]
+        )
+        if "inputevents" in specs and "outputevents" in specs:
+            vols = [F.coalesce(F.col(c), F.lit(0.0)) for c in ("idx_in_vol", "idx_out_vol")]
+            either = F.col("idx_in_vol").isNotNull() | F.col("idx_out_vol").isNotNull()
+            out = out.withColumns(
+                {"idx_in_vol": F.when(either, vols[0]), "idx_out_vol": F.when(either, vols[1]), "idx_net_fluid": F.when(either, vols[0] - vols[1])}
+            )
+    for t in sorted(apart):
+        frame = aggregate_by_admission(ready[t], specs[t])
+        out = frame if out is None else out.join(frame, PAIR, "full_outer")
+    order = [name for s in specs.values() for name in s]
+    extra = [c for c in out.columns if c not in (*PAIR, *order)]
+    return out.select(*PAIR, *order, *extra)
+
+
+def feature_frames(tables: dict[str, DataFrame], pairs: DataFrame) -> dict[str, DataFrame]:
+    """The admission frames restricted to each subject's index admission."""
+    return {name: frame.join(pairs.select(*PAIR), PAIR) for name, frame in admission_frames(tables).items()}
+
+
 def categories_of(df: DataFrame, cols: Sequence[str], max_categories: int = MAX_CATEGORIES) -> dict[str, list[str]]:
     """Sorted distinct non-NULL values of each column, read in one job. Too many values is an error, never a cut."""
     items = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols]))
@@ -144,10 +214,3 @@ def fill_missing(df: DataFrame, string_fill: str = "", exclude: Sequence[str] =
         else:
             out.append(c)
     return df.select(*out)
-
-
-def join_wide(base: DataFrame, frames: Sequence[DataFrame]) -> DataFrame:
-    """Left-join frames keyed by (subject_id, hadm_id) to `base`. All sides share one hash partitioning."""
-    for frame in frames:
-        base = base.join(frame, PAIR, "left")
-    return base

@@ -39,15 +39,11 @@ def build_features(tables: dict[str, DataFrame], subjects: DataFrame | None = No
     people = features.one_hot(
         patients.select("subject_id", "gender", "anchor_age", "anchor_year_group"), PATIENT_CATEGORICALS
     )
-    base = (
-        subjects.join(index.select("subject_id", "hadm_id"), "subject_id", "left")
-        .join(cohort.index_features(index), "subject_id", "left")
-        .join(outcome, "subject_id", "left")
-        .join(people, "subject_id", "left")
-    )
-    details = {t: tables[t] for t in DETAIL_TABLES if t in tables}
-    frames = features.feature_frames(details, index.select("subject_id", "hadm_id"))
-    wide = features.join_wide(base, list(frames.values())).drop("hadm_id")
+    first = index.select("subject_id", "hadm_id", *[F.col(c).alias(f"idx_{c}") for c in cohort.INDEX_FEATURES])
+    base = subjects.join(first, "subject_id", "left").join(outcome, "subject_id", "left").join(people, "subject_id", "left")
+    # the left join on (subject, index admission) does the restriction, so the aggregates need no join of their own
+    details = features.combined_frame({t: tables[t] for t in DETAIL_TABLES if t in tables})
+    wide = base.join(details, features.PAIR, "left").drop("hadm_id")
     return features.fill_missing(wide) if fill else wide
 
 
