@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ("q_predictions", "q_cohort", "q_vectors", "q_dataset")
+TOPICS = ("q_predictions", "q_cohort", "q_vectors", "q_dataset", "q_correction")
 
 
 def load():
