@@ -185,7 +185,7 @@ def smoothing_loss(spark, sf_dir):
 
 
 @query("compound_loss", sql(P, [LG, LB, f"""cl AS (SELECT task, CASE WHEN task = 'mortality' THEN 0.9 * avg({_focal_sql()}) + 0.1 * avg(smooth) ELSE 0.7 * avg({_focal_sql()}) + 0.3 * avg(smooth) END AS loss FROM lb GROUP BY task)"""],
-    f"SELECT task, {r6('loss')} AS loss FROM cl UNION ALL SELECT 'total', {r6('sum(loss * CASE task WHEN ''readmission'' THEN 1.2 WHEN ''icu'' THEN 1.0 ELSE 1.5 END)')} FROM cl".replace("''", "'")))
+    "SELECT task, " + r6("loss") + " AS loss FROM cl UNION ALL SELECT 'total', " + r6("sum(loss * CASE task WHEN 'readmission' THEN 1.2 WHEN 'icu' THEN 1.0 ELSE 1.5 END)") + " FROM cl"))
 def compound_loss(spark, sf_dir):
     return losses.compound_loss(logits(spark, sf_dir), _PROGRESS).withColumn("loss", round_to("loss"))
 

@@ -132,7 +132,8 @@ def _metric(name, column):
     @query(f"{name}_by_pattern", sql(P, [PP, PL, *metric_ctes("pl", "task, pattern")],
                                      f"SELECT task, pattern, n, n_pos, {r6(column)} AS {column} FROM cm"))
     def run(spark, sf_dir):
-        m = M.ranking_metrics(stacked(spark, sf_dir), ["task", "pattern"])
+        measure = M.ranking_metrics if column == "ap" else M.auc_and_brier
+        m = measure(stacked(spark, sf_dir), ["task", "pattern"])
         return m.select("task", "pattern", "n", "n_pos", round_to(column).alias(column))
 
 

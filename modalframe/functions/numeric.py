@@ -14,10 +14,16 @@ def col_of(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def is_finite(c: Column | str) -> Column:
+    """True for ordinary numbers, false for NaN and +-inf, NULL for NULL. Mentions its input once, so it stays small
+    when the optimizer pushes it through projections."""
+    return col_of(c).cast("double") * 0.0 == 0.0
+
+
 def finite(c: Column | str) -> Column:
     """NaN and +-inf become NULL."""
     c = col_of(c).cast("double")
-    return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
+    return F.when(is_finite(c), c)
 
 
 def nan_to_null(c: Column | str) -> Column:

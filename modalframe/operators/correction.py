@@ -14,12 +14,13 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import clip, finite
 from ..functions.patterns import FLAGS, pattern_string
-from ..session import materialize
+from ..session import materialize, small_table
 from . import rectifier
-from .metrics import compare_metrics, ranking_metrics, stack_scores
+from .metrics import auc_and_brier, compare_metrics, ranking_metrics, stack_scores
 from .ordered import value_splits
 
 # Row thresholds, reference score, strengths, blend weights and ensemble mixes
+MAX_PATTERNS = 16
 MIN_ROWS, MIN_FIT_ROWS, MIN_REFERENCE_ROWS = 10, 20, 60
 REFERENCE_SCORE = {"auc": 0.6, "size": 0.3, "completeness": 0.1}
 RELIABLE_ROWS, CAPPED_AUC, MIN_COMPLETENESS = 200, 0.9, 0.25
@@ -159,6 +160,7 @@ def icu_deltas(state: DataFrame, params: DataFrame, rate: float) -> DataFrame:
 def candidates(state: DataFrame, params: DataFrame, rate: float = 1.0, use_labels: bool = True) -> DataFrame:
     """Adds `d_readm`, `d_icu`, `shift_icu`, `status` and the candidate scores `c_readm`, `c_icu` (NULL = not correctable)."""
     table = params.join(icu_deltas(state, params, rate), "pattern", "left").select("pattern", "d_readm", "d_icu", "shift_icu", "status")
+    table = small_table(table, MAX_PATTERNS)
     rows = state.join(F.broadcast(table), "pattern", "left")
     on = F.col("status") == "corrected"
     moved = rectifier.rank_aware(F.col("readm"), F.col("d_readm"), F.lit(True))
@@ -177,7 +179,7 @@ def gates(cand: DataFrame, selective: bool, splits: list[float] | None = None) -
         "readm_now": ("readm", "y_readm"), "readm_new": ("c_readm", "y_readm"), "icu_now": ("icu", "y_icu"), "icu_new": ("c_icu", "y_icu"),
     }
     rows = cand.filter(F.col("status") == "corrected")
-    m = ranking_metrics(stack_scores(rows, pairs, ["pattern"]), ["pattern", "task"], splits=splits)
+    m = auc_and_brier(stack_scores(rows, pairs, ["pattern"]), ["pattern", "task"], splits=splits)
 
     def pick(task: str, column: str) -> Column:
         return F.max(F.when(F.col("task") == task, F.col(column)))
@@ -198,7 +200,8 @@ def gates(cand: DataFrame, selective: bool, splits: list[float] | None = None) -
         .when((brier > 0) & (F.abs(icu) < NEGATIVE_TOLERANCE), 0.4)
         .otherwise(0.2)
     )
-    return g.withColumn("w_readm", w_readm).withColumn("w_icu", F.when(icu.isNotNull() & apply_icu, w_icu))
+    table = g.withColumn("w_readm", w_readm).withColumn("w_icu", F.when(icu.isNotNull() & apply_icu, w_icu))
+    return small_table(table, MAX_PATTERNS)
 
 
 def blend(cand: DataFrame, gate: DataFrame, use_labels: bool = True) -> DataFrame:
@@ -244,7 +247,7 @@ def learning_rate(iteration: int) -> float:
 
 def overall_auc(df: DataFrame, pairs: dict[str, tuple[str, str]], splits: list[float] | None = None) -> dict[str, float]:
     """AUC per entry over all rows; a handful of numbers for the driver."""
-    return {r["task"]: r["auc"] for r in ranking_metrics(stack_scores(df, pairs), ["task"], splits=splits).collect()}
+    return {r["task"]: r["auc"] for r in auc_and_brier(stack_scores(df, pairs), ["task"], splits=splits).collect()}
 
 
 @dataclass

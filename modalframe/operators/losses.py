@@ -131,7 +131,7 @@ def contrastive_score(
     """
     kind = df.schema[ident].dataType.simpleString()
 
-    def score(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ident)
         x = np.array(pdf[features].tolist(), dtype=np.float64)
         norm = np.linalg.norm(x, axis=1, keepdims=True)

@@ -7,12 +7,13 @@ negatives at it and below it. Scores are pre-aggregated before any shuffle and n
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.numeric import finite
+from ..functions.numeric import is_finite
 from ..functions.patterns import FLAGS, modality_count, pattern_string
 from .ordered import DEFAULT_BUCKETS, bucket_of, running_totals, value_splits
 
@@ -26,24 +27,76 @@ DECISION_THRESHOLD = 0.5
 
 
 def stack_scores(df: DataFrame, pairs: dict[str, tuple[Column | str, Column | str]], keep: Sequence[str] = ()) -> DataFrame:
-    """Long form `(task, score, label, *keep)`, one row per input row and entry of `pairs[task] = (score, label)`."""
+    """Long form `(task, score, label, *keep)`, one row per input row and entry of `pairs[task] = (score, label)`.
+
+    A union of narrow projections: every branch reads only its own columns, and plans that use the result twice can
+    share one exchange (an exploded array would prevent that).
+    """
 
     def as_col(c):
         return F.col(c) if isinstance(c, str) else c
 
-    items = [
-        F.struct(
-            F.lit(task).alias("task"), finite(as_col(s)).alias("score"), as_col(y).cast("double").alias("label")
-        )
+    parts = [
+        df.select(*keep, F.lit(task).alias("task"), as_col(s).cast("double").alias("score"), as_col(y).cast("double").alias("label"))
         for task, (s, y) in pairs.items()
     ]
-    return df.select(*keep, F.explode(F.array(*items)).alias("_s")).select(*keep, "_s.task", "_s.score", "_s.label")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def stack_tasks(df: DataFrame, keep: Sequence[str] = (), tasks: Sequence[str] = tuple(TASKS)) -> DataFrame:
     return stack_scores(df, {t: TASKS[t][:2] for t in tasks}, keep)
 
 
+def _score_counts(df: DataFrame, group: Sequence[str], score: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """Usable rows, and positives/negatives per (group, score)."""
+    rows = df.select(*group, F.col(score).cast("double").alias("score"), F.col(label).cast("double").alias("_y"))
+    rows = rows.filter(is_finite("score") & is_finite("_y"))
+    counts = rows.groupBy(*group, "score").agg(
+        F.sum((F.col("_y") == 1).cast("long")).alias("pos"), F.sum((F.col("_y") != 1).cast("long")).alias("neg")
+    )
+    return rows, counts
+
+
+def auc_and_brier(
+    df: DataFrame,
+    group: Sequence[str] = (),
+    score: str = "score",
+    label: str = "label",
+    splits: Sequence[float] | None = None,
+    n_buckets: int = DEFAULT_BUCKETS,
+) -> DataFrame:
+    """`n`, `n_pos`, `auc`, `brier` per group without joining anything back.
+
+    The area is additive over value buckets: pairs inside a bucket plus its positives times the negatives in lower
+    buckets. So one window inside buckets and one over the bucket totals are enough.
+    """
+    rows, counts = _score_counts(df, group, score, label)
+    cuts = value_splits(rows, "score", n_buckets) if splits is None else splits
+    pos, neg, s = F.col("pos").cast("double"), F.col("neg").cast("double"), F.col("score")
+    inside = W.partitionBy(*group, "_bucket").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
+    local = counts.withColumn("_bucket", bucket_of("score", cuts)).withColumn(
+        "_below", F.coalesce(F.sum("neg").over(inside), F.lit(0)).cast("double")
+    )
+    per_bucket = local.groupBy(*group, "_bucket").agg(
+        F.sum("pos").alias("_p"), F.sum("neg").alias("_n"), F.sum(pos * (F.col("_below") + neg / 2.0)).alias("_w"),
+        F.sum(pos * F.pow(s - 1.0, 2) + neg * F.pow(s, 2)).alias("_q"),
+    )
+    before = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    lower = F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("double")
+    per_group = per_bucket.withColumn("_lower", lower).groupBy(*group).agg(
+        F.sum("_p").alias("_p"), F.sum("_n").alias("_n"), F.sum("_q").alias("_q"),
+        F.sum(F.col("_w") + F.col("_p").cast("double") * F.col("_lower")).alias("_w"),
+    )
+    p, n = F.col("_p").cast("double"), F.col("_n").cast("double")
+    return per_group.select(
+        *group,
+        (F.col("_p") + F.col("_n")).alias("n"),
+        F.col("_p").alias("n_pos"),
+        F.when((p > 0) & (n > 0), F.col("_w") / (p * n)).alias("auc"),
+        (F.col("_q") / (p + n)).alias("brier"),
+    )
+
+
 def score_curve(
     df: DataFrame,
     group: Sequence[str] = (),
@@ -57,14 +110,9 @@ def score_curve(
     Rows whose score or label is NULL or not finite are left out. `splits` can be passed when several calls see
     about the same score distribution; they affect balance only.
     """
-    rows = df.select(*group, finite(score).alias("score"), finite(label).alias("_y")).filter(
-        F.col("score").isNotNull() & F.col("_y").isNotNull()
-    )
+    rows, counts = _score_counts(df, group, score, label)
     if splits is None:
         splits = value_splits(rows, "score", n_buckets)
-    counts = rows.groupBy(*group, "score").agg(
-        F.sum((F.col("_y") == 1).cast("long")).alias("pos"), F.sum((F.col("_y") != 1).cast("long")).alias("neg")
-    )
     return running_totals(counts, group, ["score"], {"pos": "pos", "neg": "neg"}, bucket_of("score", splits))
 
 
@@ -182,6 +230,6 @@ def compare_metrics(
 
 
 __all__ = [
-    "TASKS", "FLAGS", "stack_scores", "stack_tasks", "score_curve", "ranking_metrics", "roc_points", "pr_points",
+    "TASKS", "FLAGS", "stack_scores", "stack_tasks", "auc_and_brier", "score_curve", "ranking_metrics", "roc_points", "pr_points",
     "prediction_analysis", "accuracy_by_modality_count", "compare_metrics",
 ]

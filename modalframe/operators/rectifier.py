@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clip, finite, normal_quantile
+from ..functions.numeric import clip, finite, is_finite, normal_quantile
 
 # The estimator's guards
 MIN_FIT_ROWS = 10
@@ -25,9 +25,12 @@ DEFAULT_ALPHA = 0.05
 
 def gold_rows(df: DataFrame, pred: str, label: str) -> DataFrame:
     """Input hygiene: drop non-finite rows, clip predictions to [0,1], round labels (half to even) into {0,1}."""
-    p, y = finite(pred), finite(label)
-    kept = df.withColumn(pred, p).withColumn(label, y).filter(F.col(pred).isNotNull() & F.col(label).isNotNull())
-    return kept.withColumn(pred, clip(pred, 0.0, 1.0)).withColumn(label, clip(F.bround(F.col(label), 0), 0.0, 1.0))
+    kept = df.withColumn(pred, F.col(pred).cast("double")).withColumn(label, F.col(label).cast("double"))
+    kept = kept.filter(is_finite(pred) & is_finite(label))
+    p, y = F.col(pred), F.bround(F.col(label), 0)
+    return kept.withColumns(
+        {pred: F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)), label: F.least(F.greatest(y, F.lit(0.0)), F.lit(1.0))}
+    )
 
 
 def _moments(weight: str | None) -> list[Column]:

@@ -51,3 +51,14 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_table(df: DataFrame, max_rows: int) -> DataFrame:
+    """A relation known to hold at most `max_rows` rows (one per pattern, say), evaluated once and held in the plan.
+
+    More rows than promised is an error, so nothing that grows with the data can pass through the driver here.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"expected at most {max_rows} rows")
+    return df.sparkSession.createDataFrame(rows, df.schema)
