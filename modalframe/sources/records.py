@@ -136,3 +136,23 @@ def scan_records(spark: SparkSession, base_dir: str, subjects: DataFrame | None
 
 def readable(records: DataFrame) -> DataFrame:
     return records.filter(F.col("error").isNull()).drop("error")
+
+
+def encode_vector(vector: np.ndarray, feature: str = FEATURE) -> bytes:
+    """A one-record file holding `vector` under `feature` (the inverse of `decode_vector`)."""
+
+    def varint(n: int) -> bytes:
+        out = bytearray()
+        while n >= 0x80:
+            out.append(n & 0x7F | 0x80)
+            n >>= 7
+        return bytes([*out, n])
+
+    def field(number: int, body: bytes) -> bytes:
+        return varint(number << 3 | 2) + varint(len(body)) + body
+
+    floats = field(1, np.asarray(vector, dtype="<f4").tobytes())
+    entry = field(1, feature.encode()) + field(2, field(2, floats))
+    payload = field(1, field(1, entry))
+    size = struct.pack("<Q", len(payload))
+    return size + struct.pack("<I", masked_crc(size)) + payload + struct.pack("<I", masked_crc(payload))
