@@ -44,7 +44,8 @@ def read_dictionaries(spark: SparkSession, sources: dict[str, str]) -> tuple[dic
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, timestamp_format: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
     """CSV with header and a given schema; empty cells are NULL."""
-    return spark.read.schema(schema).csv(path, header=True, timestampFormat=timestamp_format, timestampNTZFormat=timestamp_format, nullValue="")
+    formats = {"timestampFormat": timestamp_format, "timestampNTZFormat": timestamp_format}
+    return spark.read.schema(schema).options(**formats).csv(path, header=True, nullValue="")
 
 
 def read_csv_tolerant(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
