@@ -260,14 +260,14 @@ def _logit(p):
     return f"ln(least(greatest({p}, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) / (1 - least(greatest({p}, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE)))"
 
 
-_N = "(('0x' || substr(md5(subject_id || ':' || r || ':' || i || ':42:{0}'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+_N = "(('0x' || substr(md5(subject_id || ':' || r || ':' || i || ':42'), {0}, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 _WEIGHTS = (0.5, 0.3, 0.2)
 
 
 @query("tta_average", sql(P, [
     "x AS (" + " UNION ALL ".join(f"SELECT subject_id, {i} AS i, {w}::DOUBLE AS w, {_logit(c)} AS v FROM v_predictions" for i, (c, w) in enumerate(zip(_QC, _WEIGHTS))) + ")",
     "rp AS (SELECT x.*, g.r FROM x CROSS JOIN generate_series(0, 4) g(r))",
-    f"sc AS (SELECT subject_id, r, sum(w * (v + CASE WHEN r = 0 THEN 0.0 ELSE 0.01::DOUBLE * sqrt(-2 * ln(1 - {_N.format('a')})) * cos({_N.format('b')} * 6.283185307179586::DOUBLE) END)) AS logit FROM rp GROUP BY subject_id, r)"],
+    f"sc AS (SELECT subject_id, r, sum(w * (v + CASE WHEN r = 0 THEN 0.0 ELSE 0.01::DOUBLE * sqrt(-2 * ln(1 - {_N.format(1)})) * cos({_N.format(14)} * 6.283185307179586::DOUBLE) END)) AS logit FROM rp GROUP BY subject_id, r)"],
     f"SELECT subject_id, {r6('avg(logit)')} AS mean_logit, {r6('1 / (1 + exp(-avg(logit)))')} AS probability FROM sc GROUP BY subject_id"))
 def tta_average(spark, sf_dir):
     df = view(spark, sf_dir, "v_predictions").select("subject_id", F.array(*[logit(c) for c in _QC]).alias("x"))
@@ -278,7 +278,7 @@ def tta_average(spark, sf_dir):
 @query("tta_replicas", sql(P, [
     "x AS (" + " UNION ALL ".join(f"SELECT subject_id, {i} AS i, {w}::DOUBLE AS w, {_logit(c)} AS v FROM v_predictions" for i, (c, w) in enumerate(zip(_QC, _WEIGHTS))) + ")",
     "rp AS (SELECT x.*, g.r FROM x CROSS JOIN generate_series(0, 4) g(r))",
-    f"sc AS (SELECT subject_id, r, sum(w * (v + CASE WHEN r = 0 THEN 0.0 ELSE 0.01::DOUBLE * sqrt(-2 * ln(1 - {_N.format('a')})) * cos({_N.format('b')} * 6.283185307179586::DOUBLE) END)) AS logit FROM rp GROUP BY subject_id, r)"],
+    f"sc AS (SELECT subject_id, r, sum(w * (v + CASE WHEN r = 0 THEN 0.0 ELSE 0.01::DOUBLE * sqrt(-2 * ln(1 - {_N.format(1)})) * cos({_N.format(14)} * 6.283185307179586::DOUBLE) END)) AS logit FROM rp GROUP BY subject_id, r)"],
     f"SELECT subject_id, {r6('avg(logit)')} AS mean_logit, {r6('1 / (1 + exp(-avg(logit)))')} AS probability FROM sc GROUP BY subject_id"))
 def tta_replicas(spark, sf_dir):
     df = view(spark, sf_dir, "v_predictions").select("subject_id", F.array(*[logit(c) for c in _QC]).alias("x"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from statistics import NormalDist
 
 from pyspark.sql import Column
@@ -14,6 +15,11 @@ def col_of(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` evaluated once however often `use` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def is_finite(c: Column | str) -> Column:
     """True for ordinary numbers, false for NaN and +-inf, NULL for NULL. Mentions its input once, so it stays small
     when the optimizer pushes it through projections."""
@@ -74,14 +80,20 @@ def hash_key(ident: Column | str, seed: int | str) -> Column:
     return F.md5(F.concat(col_of(ident).cast("string"), F.lit(f":{seed}")).cast("binary"))
 
 
+def _digits_to_unit(key: Column, start: int) -> Column:
+    digits = F.substring(key, start, _HASH_HEX_DIGITS)
+    return F.conv(digits, 16, 10).cast("double") / F.lit(float(16**_HASH_HEX_DIGITS))
+
+
 def hash_uniform(ident: Column | str, seed: int | str) -> Column:
     """Uniform in [0, 1) from the hash key."""
-    digits = F.substring(hash_key(ident, seed), 1, _HASH_HEX_DIGITS)
-    return F.conv(digits, 16, 10).cast("double") / F.lit(float(16**_HASH_HEX_DIGITS))
+    return _digits_to_unit(hash_key(ident, seed), 1)
 
 
 def hash_normal(ident: Column | str, seed: int | str) -> Column:
-    """Standard normal by Box-Muller on two hash uniforms."""
-    u1 = 1.0 - hash_uniform(ident, f"{seed}:a")
-    u2 = hash_uniform(ident, f"{seed}:b")
-    return F.sqrt(-2.0 * F.log(u1)) * F.cos(u2 * F.lit(6.283185307179586))
+    """Standard normal by Box-Muller on the two halves of one hash key."""
+    return bind(
+        hash_key(ident, seed),
+        lambda key: F.sqrt(-2.0 * F.log(1.0 - _digits_to_unit(key, 1)))
+        * F.cos(_digits_to_unit(key, _HASH_HEX_DIGITS + 1) * F.lit(6.283185307179586)),
+    )

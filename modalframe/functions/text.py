@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numeric import bind
+
 # The cleaning patterns in the order they apply
 CLEANING_STEPS = (
     (r"(?U)[\s\x1c-\x1f]+", " "),
@@ -36,18 +38,23 @@ def truncate_note(text: Column | str, max_tokens: int = MAX_TOKENS) -> Column:
 
     Sentence lengths are not negative, so "stop at the first that does not fit" is a count of prefix sums.
     """
-    c = F.col(text) if isinstance(text, str) else text
     limit = max_tokens * KEPT_CHARS_PER_TOKEN
-    sentences = F.split(c, r"\. ", -1)
 
     def step(acc, s):
         total = acc["total"] + F.length(s)
         return F.struct(total.alias("total"), (acc["kept"] + F.when(total < limit, 1).otherwise(0)).alias("kept"))
 
-    kept = F.aggregate(sentences, F.struct(F.lit(0).alias("total"), F.lit(0).alias("kept")), step, lambda a: a["kept"])
-    joined = F.array_join(F.slice(sentences, F.lit(1), kept), SENTENCE_END)
-    ended = F.when(joined.endswith("."), joined).otherwise(F.concat(joined, F.lit(".")))
-    return F.when(F.length(c) > max_tokens * TRIGGER_CHARS_PER_TOKEN, ended).otherwise(c)
+    def leading(sentences):
+        start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("kept"))
+        kept = F.aggregate(sentences, start, step, lambda a: a["kept"])
+        return F.array_join(F.slice(sentences, F.lit(1), kept), SENTENCE_END)
+
+    def cut(note):
+        joined = bind(bind(F.split(note, r"\. ", -1), leading), lambda j: F.when(j.endswith("."), j).otherwise(F.concat(j, F.lit("."))))
+        return F.when(F.length(note) > max_tokens * TRIGGER_CHARS_PER_TOKEN, joined).otherwise(note)
+
+    # a cleaned note costs several regular expressions, so it is bound once
+    return bind(F.col(text) if isinstance(text, str) else text, cut)
 
 
 def preprocess_note(text: Column | str, max_tokens: int = MAX_TOKENS) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numeric import bind
+
 _BLANKS = " \t\n\r\f\x0b"
 
 
@@ -46,11 +48,7 @@ def l2_normalize(v: Column | str) -> Column:
     """Unit length; the zero vector stays as it is."""
     v = as_double(v)
     packed = F.struct(v.alias("v"), l2_norm(v).alias("n"))
-    # a one-element transform binds the norm once instead of once per element
-    scaled = F.transform(
-        F.array(packed), lambda p: F.when(p["n"] > 0, F.transform(p["v"], lambda x: x / p["n"])).otherwise(p["v"])
-    )
-    return scaled[0]
+    return bind(packed, lambda p: F.when(p["n"] > 0, F.transform(p["v"], lambda x: x / p["n"])).otherwise(p["v"]))
 
 
 def parse_vector(text: Column | str, dim: int) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.numeric import hash_normal, sigmoid
+from ..functions.numeric import bind, hash_normal, sigmoid
 from ..functions.vectors import as_double
 
 # Base weight and bounds per task, thresholds, selection score and patience
@@ -93,7 +93,7 @@ def augmented_probability(
 
     Replicas live inside the row, so averaging needs no shuffle.
     """
-    logits = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda r: scorer(noisy(vector, ident, r, sigma, seed)))
+    logits = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda r: bind(noisy(vector, ident, r, sigma, seed), scorer))
     mean = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + x) / F.lit(float(n))
     return mean, sigmoid(mean)
 
