@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,7 +111,7 @@ def admission_frames(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return frames
 
 
-def _cells(detail: DataFrame, table: str, specs: Specs) -> DataFrame:
+def _cells(detail: DataFrame, table: int, specs: Specs) -> DataFrame:
     """The rows of one table reduced to `(pair, table, code, n, flags, amount)`, what its aggregates need."""
     by = {func: col for col, func in specs.values()}
     counted = F.when(F.col(by["count"]).isNotNull(), 1).otherwise(0) if "count" in by else F.lit(1)
@@ -121,38 +122,36 @@ def _cells(detail: DataFrame, table: str, specs: Specs) -> DataFrame:
         (F.col(by["nunique"]) if "nunique" in by else none).cast("string").alias("code"),
         counted.cast("long").alias("n"),
         (F.col(by["sum_flag"]) if "sum_flag" in by else none).cast("int").cast("long").alias("flags"),
-        (F.col(by["sum"]) if "sum" in by else none).cast("double").alias("amount"),
+        (F.coalesce(F.col(by["sum"]).cast("double"), F.lit(0.0)) if "sum" in by else none.cast("double")).alias("amount"),
     )
 
 
 def combined_frame(tables: dict[str, DataFrame]) -> DataFrame:
     """All detail aggregates per (subject_id, hadm_id) in one relation; NULL where a table has no row for the pair.
 
-    The tables are stacked and aggregated together: one exchange on the distinct codes and one on the pair, instead of
-    an exchange and a join per table. Only tables that need a mode are aggregated on their own and joined.
+    The tables are stacked and aggregated together, so all of them share one exchange on the pair instead of an
+    exchange and a join each. Tables with distinct counts are first reduced to their distinct codes; a table that needs
+    a mode is aggregated on its own and joined.
     """
     ready = _ready(tables)
     specs = {t: s for t, s in SPECS.items() if t in ready}
-    apart = {t for t, s in specs.items() if any(f == "mode" for _, f in s.values())}
-    stacked = None
-    for t, s in specs.items():
-        if t not in apart:
-            part = _cells(ready[t], t, s)
-            stacked = part if stacked is None else stacked.unionByName(part)
+    uses = {t: {f for _, f in s.values()} for t, s in specs.items()}
+    together = [t for t in specs if "mode" not in uses[t]]
+    plain = [_cells(ready[t], i, specs[t]) for i, t in enumerate(together) if "nunique" not in uses[t]]
+    coded = [_cells(ready[t], i, specs[t]) for i, t in enumerate(together) if "nunique" in uses[t]]
+    if coded:
+        by_code = reduce(DataFrame.unionByName, coded).groupBy(*PAIR, "table", "code")
+        plain.append(by_code.agg(*[F.sum(c).alias(c) for c in ("n", "flags", "amount")]))
     out = None
-    if stacked is not None:
-        by_code = stacked.groupBy(*PAIR, "table", "code").agg(
-            F.sum("n").alias("n"), F.sum("flags").alias("flags"), F.coalesce(F.sum("amount"), F.lit(0.0)).alias("amount")
-        )
+    if plain:
         value = {
             "count": F.col("n"), "size": F.col("n"), "sum": F.col("amount"), "sum_flag": F.col("flags"),
             "nunique": F.col("code").isNotNull().cast("long"), "flag": F.lit(1),
         }
-        reduce = {"flag": F.max}
-        out = by_code.groupBy(*PAIR).agg(
+        out = reduce(DataFrame.unionByName, plain).groupBy(*PAIR).agg(
             *[
-                reduce.get(f, F.sum)(F.when(F.col("table") == t, value[f])).alias(name)
-                for t, s in specs.items() if t not in apart for name, (_, f) in s.items()
+                (F.max if f == "flag" else F.sum)(F.when(F.col("table") == i, value[f])).alias(name)
+                for i, t in enumerate(together) for name, (_, f) in specs[t].items()
             ]
         )
         if "inputevents" in specs and "outputevents" in specs:
@@ -161,9 +160,10 @@ def combined_frame(tables: dict[str, DataFrame]) -> DataFrame:
             out = out.withColumns(
                 {"idx_in_vol": F.when(either, vols[0]), "idx_out_vol": F.when(either, vols[1]), "idx_net_fluid": F.when(either, vols[0] - vols[1])}
             )
-    for t in sorted(apart):
-        frame = aggregate_by_admission(ready[t], specs[t])
-        out = frame if out is None else out.join(frame, PAIR, "full_outer")
+    for t in specs:
+        if t not in together:
+            frame = aggregate_by_admission(ready[t], specs[t])
+            out = frame if out is None else out.join(frame, PAIR, "full_outer")
     order = [name for s in specs.values() for name in s]
     extra = [c for c in out.columns if c not in (*PAIR, *order)]
     return out.select(*PAIR, *order, *extra)
