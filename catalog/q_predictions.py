@@ -239,9 +239,15 @@ query("rectifier_transform", _tr_sql(None))(_transform(None))
 query("rectifier_transform_epoch20", _tr_sql(20))(_transform(20))
 
 
-@query("rectifier_ci", sql(P, [PP, PL, *FIT_CTES, *transform_ctes()], f"""SELECT task, modality,
- {r6(f'theta_tilde - delta_adj - {Z} * sqrt(var_delta / n + var_f / n_unlabeled)')} AS ci_low, {r6('theta_tilde - delta_adj')} AS ci_center,
- {r6(f'theta_tilde - delta_adj + {Z} * sqrt(var_delta / n + var_f / n_unlabeled)')} AS ci_high FROM ttr"""))
+_SE = f"{Z} * sqrt(var_delta / n + var_f / n_unlabeled)"
+
+
+def _guarded(expr):
+    return f"CASE WHEN n > 1 AND n_unlabeled > 1 THEN {r6(expr)} END"
+
+
+@query("rectifier_ci", sql(P, [PP, PL, *FIT_CTES, *transform_ctes()], f"""SELECT task, modality, {_guarded('theta_tilde - delta_adj - ' + _SE)} AS ci_low,
+ {_guarded('theta_tilde - delta_adj')} AS ci_center, {_guarded('theta_tilde - delta_adj + ' + _SE)} AS ci_high FROM ttr"""))
 def rectifier_ci(spark, sf_dir):
     rows = gold(spark, sf_dir)
     params = R.fit(rows, "score", "label")

@@ -61,13 +61,14 @@ def _reduce(loss: Column, reduction: str) -> Column:
 
 
 def bce_loss(df: DataFrame, group: Sequence[str] = ("task",), logit: str = "logit", label: str = "label", weighted: Sequence[str] = ("mortality",)) -> DataFrame:
-    """Mean BCE per group. For the tasks in `weighted`, positives weigh n / (2 n_pos), all from one aggregation."""
+    """Mean BCE per group. For the tasks in `weighted`, positives weigh n / (2 n_pos), all from one aggregation; with no
+    positives the weight is NULL and does not matter."""
     x, y = F.col(logit), F.col(label)
     stats = df.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.sum(y).alias("_p"), F.sum(y * softplus(-x)).alias("_pos"), F.sum((1.0 - y) * softplus(x)).alias("_neg")
     )
-    weight = F.when(F.col("task").isin(*weighted), F.col("n") / (2.0 * F.col("_p"))).otherwise(F.lit(1.0)) if weighted else F.lit(1.0)
-    return stats.select(*group, "n", weight.alias("pos_weight"), ((F.col("_neg") + weight * F.col("_pos")) / F.col("n")).alias("loss"))
+    weight = F.when(F.col("task").isin(*weighted), F.col("n") / F.nullif(2.0 * F.col("_p"), F.lit(0.0))).otherwise(F.lit(1.0)) if weighted else F.lit(1.0)
+    return stats.select(*group, "n", weight.alias("pos_weight"), ((F.col("_neg") + F.coalesce(weight * F.col("_pos"), F.lit(0.0))) / F.col("n")).alias("loss"))
 
 
 def focal_loss(df: DataFrame, progress: float, group: Sequence[str] = ("task",), logit: str = "logit", label: str = "label", reduction: str = "mean") -> DataFrame:

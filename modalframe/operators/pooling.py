@@ -39,11 +39,12 @@ def embedding_coverage(df: DataFrame, text: str = "discharge_embedding", rad: st
         return F.sum(c.cast("long"))
 
     n = F.count(F.lit(1))
+    rows = F.nullif(n, F.lit(0))  # shares of an empty table are NULL
     return df.agg(
         n.alias("n"),
         total(has_text).alias("n_text"),
         total(has_rad).alias("n_rad"),
         total(has_text & has_rad).alias("n_both"),
-        (total(has_text) * 100.0 / n).alias("pct_text"),
-        (total(has_rad) * 100.0 / n).alias("pct_rad"),
+        (total(has_text) * 100.0 / rows).alias("pct_text"),
+        (total(has_rad) * 100.0 / rows).alias("pct_rad"),
     )

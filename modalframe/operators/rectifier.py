@@ -16,6 +16,7 @@ from ..functions.numeric import clip, finite, is_finite, normal_quantile
 # The estimator's guards
 MIN_FIT_ROWS = 10
 MIN_VARIANCE = 1e-4
+SINGLE_ROW_VARIANCE = 0.1
 MAX_DELTA = 0.3
 SMALL_SAMPLE = 30
 DEFAULT_KEYS = ("task", "modality")
@@ -58,9 +59,10 @@ def fit(
     mean, var, size = F.col("_mean"), F.col("_var"), F.col("n").cast("double")
     if weight:
         usable = F.col("_sw") != 0
-        wmean = F.col("_swe") / F.col("_sw")
-        n_eff = F.col("_sw") * F.col("_sw") / F.col("_sww")
-        wvar = (F.col("_swee") / F.col("_sw") - wmean * wmean) * (n_eff / (n_eff - 1.0))
+        wmean = F.col("_swe") / F.nullif(F.col("_sw"), F.lit(0.0))
+        n_eff = F.col("_sw") * F.col("_sw") / F.nullif(F.col("_sww"), F.lit(0.0))
+        spread = F.col("_swee") / F.nullif(F.col("_sw"), F.lit(0.0)) - wmean * wmean
+        wvar = F.when(n_eff > 1, spread * n_eff / F.nullif(n_eff - 1.0, F.lit(0.0))).otherwise(F.lit(SINGLE_ROW_VARIANCE))
         mean, var = F.when(usable, wmean).otherwise(mean), F.when(usable, wvar).otherwise(var)
         size = F.when(usable, F.floor(n_eff).cast("double")).otherwise(size)
     stats = stats.select(*keys, "n", mean.alias("_mean"), F.greatest(var, F.lit(MIN_VARIANCE)).alias("_var"), size.alias("_size"))
@@ -124,7 +126,7 @@ def transform(
     )
     # one row per group: both sides of this join are tables of pattern size
     joined = stats.join(params, list(keys), "left").withColumn(
-        "var_f", F.when(F.col("n_unlabeled") > 1, F.col("_v")).otherwise(F.lit(0.1))
+        "var_f", F.when(F.col("n_unlabeled") > 1, F.col("_v")).otherwise(F.lit(SINGLE_ROW_VARIANCE))
     )
     joined = joined.withColumn("_s", F.sqrt("var_f"))
     steps = adjusted_delta(

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.patterns import FLAGS
 from ..operators.cohort import restrict_to_subjects
+from ..session import materialize
 
 CORRUPT = "_corrupt_record"
 
@@ -49,11 +50,15 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, timesta
 
 
 def read_csv_tolerant(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(good rows, rejected lines): quoted text with backslash escapes; bad lines are set aside, not fatal."""
+    """(good rows, rejected lines): quoted text with backslash escapes; bad lines are set aside, not fatal.
+
+    The parse result is stored once, so that both outputs come from the same pass.
+    """
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     df = spark.read.schema(full).csv(
         path, header=True, quote='"', escape="\\", multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT
     )
+    df = materialize(df, "csv")
     return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), df.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 

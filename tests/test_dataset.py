@@ -192,3 +192,19 @@ def test_outcome_models_and_pattern_classifier(spark):
     assert good > 280 and pred.first()["missing_pattern"] in ("1111", "1011")
     cls = models.classify_patterns(df, df, "features")
     assert cls.filter("pattern_code = predicted").count() > 280
+
+
+def test_empty_and_one_class_inputs_do_not_divide_by_zero(spark):
+    from modalframe.operators import metrics, pooling, rectifier
+
+    none = spark.createDataFrame([("mortality", 0.3, 0.0)], "task string, logit double, label double")
+    row = losses.bce_loss(none).first()
+    assert row["pos_weight"] is None and row["loss"] == pytest.approx(math.log1p(math.exp(0.3)))
+    empty = spark.createDataFrame([], "discharge_embedding string, radiology_embedding string")
+    cov = pooling.embedding_coverage(empty).first()
+    assert cov["n"] == 0 and cov["pct_text"] is None
+    scores = spark.createDataFrame([], "score double, label double")
+    assert metrics.ranking_metrics(scores).first()["auc"] is None and metrics.auc_and_brier(scores).first()["auc"] is None
+    one = spark.createDataFrame([("t", "m", 0.5, 1.0, 1.0 if i == 0 else 0.0) for i in range(12)], "task string, modality string, p double, y double, w double")
+    fit = rectifier.fit(one, "p", "y", weight="w").first()
+    assert fit["var_delta"] == pytest.approx(0.1) and fit["n"] == 12
