@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from .common import table
+from .decontam import decontaminate
+from .pieces import encode_texts
 from .simhash import simhash_components
 
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -17,3 +21,13 @@ def query(fn):
 @query
 def op5_simhash_near_dedup(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_benchmark_decontamination(spark, sf_dir):
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_sentencepiece(spark, sf_dir):
+    return encode_texts(table(spark, sf_dir, "documents"), PIECE_MODEL, keep=["doc_id"])
