@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .common import table
 from .decontam import decontaminate
 from .pieces import encode_texts
+from .quality import score_quality
+from .secrets import find_secrets
 from .simhash import simhash_components
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -18,6 +22,11 @@ def query(fn):
     return fn
 
 
+@query
+def op4_quality_classifier(spark, sf_dir):
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op5_simhash_near_dedup(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
@@ -28,6 +37,16 @@ def op6_benchmark_decontamination(spark, sf_dir):
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op7_secret_scans(spark, sf_dir):
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_sentencepiece(spark, sf_dir):
     return encode_texts(table(spark, sf_dir, "documents"), PIECE_MODEL, keep=["doc_id"])
+
+
+@query
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
