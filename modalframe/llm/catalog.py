@@ -6,10 +6,12 @@ import corpus_pipeline
 
 from .common import table
 from .decontam import decontaminate
+from .personal import find_personal_data
 from .pieces import encode_texts
 from .quality import score_quality
 from .secrets import find_secrets
 from .simhash import simhash_components
+from .toxicity import score_toxicity
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -47,6 +49,16 @@ def op8_sentencepiece(spark, sf_dir):
     return encode_texts(table(spark, sf_dir, "documents"), PIECE_MODEL, keep=["doc_id"])
 
 
+@query
+def op9_personal_data(spark, sf_dir):
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_toxicity(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
