@@ -6,6 +6,7 @@ import corpus_pipeline
 
 from .common import table
 from .decontam import decontaminate
+from .metric import near_vectors
 from .personal import find_personal_data
 from .pieces import encode_texts
 from .quality import score_quality
@@ -24,6 +25,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_embedding_near_dedup(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op4_quality_classifier(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
