@@ -6,6 +6,7 @@ import corpus_pipeline
 
 from .common import table
 from .decontam import decontaminate
+from .lm import score_texts
 from .metric import near_vectors
 from .personal import find_personal_data
 from .pieces import encode_texts
@@ -14,6 +15,7 @@ from .secrets import find_secrets
 from .simhash import simhash_components
 from .toxicity import score_toxicity
 
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 QUERIES: dict = {}
@@ -30,6 +32,11 @@ def op1_embedding_near_dedup(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op3_lm_scoring(spark, sf_dir):
+    return score_texts(table(spark, sf_dir, "documents"), RANKS)
+
+
 @query
 def op4_quality_classifier(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
