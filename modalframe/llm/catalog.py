@@ -13,6 +13,7 @@ from .pieces import encode_texts
 from .quality import score_quality
 from .secrets import find_secrets
 from .simhash import simhash_components
+from .suffixes import remove_repeats
 from .toxicity import score_toxicity
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -32,6 +33,11 @@ def op1_embedding_near_dedup(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op2_suffix_array_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
+
+
 @query
 def op3_lm_scoring(spark, sf_dir):
     return score_texts(table(spark, sf_dir, "documents"), RANKS)
