@@ -67,6 +67,14 @@ class Pieces:
                 self.parts[i] = None if len(piece) == 1 else self._last_merge(piece)
         self.reachable = {p: i for p, i in self.ids.items() if not merges or len(p) == 1 or self.parts[i]}
         self.longest = max(map(len, self.reachable), default=1)
+        self.text = {i: p for p, i in self.reachable.items()}
+        self.rank = {i: -1.0 if len(p) == 1 else -self.score[i] for p, i in self.reachable.items()}
+        tails: dict[str, set[int]] = {}
+        for p in self.reachable:
+            if len(p) >= 3:
+                tails.setdefault(p[-3:], set()).add(len(p))
+        #: by the last three characters: lengths that pieces with this ending have, long ones first, then two and one
+        self.lengths = {tail: (*sorted(found, reverse=True), 2, 1) for tail, found in tails.items()}
         kept = [s for _, s, kind in rows if kind == 1]
         self.unknown_score = (min(kept) if kept else 0.0) - UNKNOWN_COST
 
@@ -99,14 +107,31 @@ class Pieces:
         left, right = self.ids.get(parts[0]), self.ids.get(parts[1])
         return None if left is None or right is None else (left, right)
 
-    def stay_apart(self, a: int, b: int, text_a: str, text_b: str) -> bool:
-        """Whether merging the two pieces' text alone gives back exactly these two pieces."""
+    def stay_apart(self, a: int, b: int) -> bool:
+        """Whether merging the two pieces' text alone gives back exactly these two pieces.
+
+        Undo the later of the two pieces' merges, again and again: at no stage may the neighbours across the cut form a piece that would
+        have been merged before the one just undone (on a tie the left one goes first).
+        """
         known = self.apart.get((a, b))
-        if known is None:
-            known = self.merge(text_a + text_b) == [text_a, text_b]
-            if len(self.apart) > 2_000_000:
-                self.apart.clear()
-            self.apart[a, b] = known
+        if known is not None:
+            return known
+        pair, limit, known = (a, b), float("inf"), True
+        while True:
+            across = self.ids.get(self.text[a] + self.text[b])
+            if across is not None and -self.score[across] < limit:
+                known = False
+                break
+            left, right = self.rank[a], self.rank[b]
+            if left > right:
+                limit, a = left, self.parts[a][1]
+            elif right < 0:  # two single characters
+                break
+            else:
+                limit, b = right + 0.5, self.parts[b][0]
+        if len(self.apart) > 2_000_000:
+            self.apart.clear()
+        self.apart[pair] = known
         return known
 
     def _bytes(self, char: str) -> list[int]:
@@ -157,18 +182,19 @@ class Pieces:
 
     def _merge_states(self, word: str, states: list) -> None:
         """state: (start of the last piece, the piece or -1)"""
-        get, apart, known = self.reachable.get, self.stay_apart, self.apart
+        get, apart, known, lengths = self.reachable.get, self.stay_apart, self.apart.get, self.lengths.get
         for j in range(len(states), len(word) + 1):
-            for i in range(max(0, j - self.longest), j):
+            for size in lengths(word[j - 3 : j], (2, 1)) if j > 2 else (2, 1):
+                i = j - size
+                if i < 0:
+                    continue
                 piece = get(word[i:j])
                 if piece is None:
                     continue
                 if i == 0 or (last := states[i][1]) < 0:
                     break
-                ok = known.get((last, piece))
-                if ok is None:
-                    ok = apart(last, piece, word[states[i][0] : i], word[i:j])
-                if ok:
+                ok = known((last, piece))
+                if ok if ok is not None else apart(last, piece):
                     break
             else:
                 i, piece = j - 1, -1
