@@ -22,9 +22,13 @@ def main(argv=None) -> None:
     spark = get_spark("correct")
     done = correct_predictions(read_predictions(spark, args.csv_path), args.selective, not args.ignore_labels)
     base = f"{args.output_prefix}{'_selective' if args.selective else ''}"
-    columns = ["subject_id", "readm_target", "readm_pred_original", "readm_pred_corrected", "icu_target", "icu_pred_original", "icu_pred_corrected"]
+    columns = ["subject_id", "readm_target", "readm_pred_original", "readm_pred_corrected", "icu_target", "icu_pred_original", "icu_pred_corrected", "status"]
     write_csv(done.rows.select(*columns), f"{base}_results")
     write_metrics(done.metrics(), f"{base}_metrics")
+    history = spark.createDataFrame([(h["iteration"], h["readm_auc"], h["icu_auc"]) for h in done.history], "iteration int, readm_auc double, icu_auc double")
+    write_metrics(history, f"{base}_history")
+    run = [(done.reference, done.best_iteration, len(done.history), done.used_labels)]
+    write_metrics(spark.createDataFrame(run, "reference string, best_iteration int, total_iterations int, used_labels boolean"), f"{base}_run")
     sides = {side: (f"readm_pred_{side}", "readm_target") for side in ("original", "corrected")}
     write_table(roc_points(stack_scores(done.rows, sides), ["task"], thin=True), f"{base}_roc")
     write_table(pr_points(stack_scores(done.rows, sides), ["task"]), f"{base}_pr")

@@ -30,8 +30,11 @@ def main(argv=None) -> None:
     write_table(text_table(notes, subjects, dim=args.dim), f"{args.out}/text_embeddings")
     write_metrics(embedding_coverage(read_table(spark, f"{args.out}/text_embeddings")), f"{args.out}/embedding_coverage")
     if args.records:
-        vectors = readable(scan_records(spark, args.records, subjects))
-        write_table(vectors, f"{args.out}/image_vectors")
+        write_table(scan_records(spark, args.records, subjects), f"{args.out}/image_records")
+        records = read_table(spark, f"{args.out}/image_records")
+        write_table(readable(records), f"{args.out}/image_vectors")
+        # files that could not be read, with the reason: what is missing below is on record here
+        write_table(records.filter("error IS NOT NULL").drop("embedding"), f"{args.out}/image_errors")
         write_table(image_table(read_table(spark, f"{args.out}/image_vectors"), subjects, args.pooling), f"{args.out}/image_embeddings")
 
 

@@ -62,5 +62,11 @@ def index_admission(admissions: DataFrame, mode: str = "row") -> DataFrame:
     raise ValueError(f"mode must be 'row' or 'first_non_null', got {mode!r}")
 
 
+def index_pairs(admissions: DataFrame) -> DataFrame:
+    """`(subject_id, hadm_id)` of each subject's index admission: one aggregation that carries nothing else."""
+    key = F.struct(F.col("admittime").isNull(), F.col("admittime"), F.col("hadm_id"))
+    return admissions.groupBy("subject_id").agg(F.min_by("hadm_id", key).alias("hadm_id"))
+
+
 def index_features(index: DataFrame, columns: Sequence[str] = INDEX_FEATURES) -> DataFrame:
     return index.select("subject_id", *[F.col(c).alias(f"idx_{c}") for c in columns])

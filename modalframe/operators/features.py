@@ -42,12 +42,14 @@ def aggregate_by_admission(detail: DataFrame, specs: Specs) -> DataFrame:
 
 
 def aggregate_by_index(detail: DataFrame, pairs: DataFrame, specs: Specs) -> DataFrame:
-    """Named aggregates over the rows of each subject's index admission, keyed by (subject_id, hadm_id).
+    """Named aggregates over the rows of each subject's index admission, keyed by (subject_id, hadm_id)."""
+    return aggregate_by_admission(at_index(detail, pairs), specs)
 
-    `pairs` has one admission per subject, so aggregating per admission and joining afterwards is the same as
-    joining first; it collapses heavy subjects map-side and only ships one row per admission.
-    """
-    return aggregate_by_admission(detail, specs).join(pairs.select(*PAIR), PAIR)
+
+def at_index(detail: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """The detail rows of the index admissions. `pairs` has one row per subject; with a filter of its keys pushed to the
+    scan, other admissions are not shuffled."""
+    return detail if pairs is None else detail.join(pairs.select(*PAIR), PAIR, "left_semi")
 
 
 def label_labs(labs: DataFrame) -> DataFrame:
@@ -101,11 +103,11 @@ def _ready(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return ready
 
 
-def admission_frames(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def admission_frames(tables: dict[str, DataFrame], pairs: DataFrame | None = None) -> dict[str, DataFrame]:
     """One frame per detail table present in `tables`, aggregated per (subject_id, hadm_id); in and out volumes become
-    `fluids`."""
+    `fluids`. With `pairs`, only index admissions."""
     ready = _ready(tables)
-    frames = {name: aggregate_by_admission(ready[name], specs) for name, specs in SPECS.items() if name in ready}
+    frames = {name: aggregate_by_admission(at_index(ready[name], pairs), specs) for name, specs in SPECS.items() if name in ready}
     if "inputevents" in frames and "outputevents" in frames:
         frames["fluids"] = fluid_balance(frames.pop("inputevents"), frames.pop("outputevents"))
     return frames
@@ -126,9 +128,11 @@ def _cells(detail: DataFrame, table: int, specs: Specs) -> DataFrame:
     )
 
 
-def combined_frame(tables: dict[str, DataFrame]) -> DataFrame:
+def combined_frame(tables: dict[str, DataFrame], pairs: DataFrame | None = None) -> DataFrame:
     """All detail aggregates per (subject_id, hadm_id) in one relation; NULL where a table has no row for the pair.
 
+    With `pairs`, rows of other than the index admissions are left out before anything is aggregated.
+
     The tables are stacked and aggregated together, so all of them share one exchange on the pair instead of an
     exchange and a join each. Tables with distinct counts are first reduced to their distinct codes; a table that needs
     a mode is aggregated on its own and joined.
@@ -139,8 +143,10 @@ def combined_frame(tables: dict[str, DataFrame]) -> DataFrame:
     together = [t for t in specs if "mode" not in uses[t]]
     plain = [_cells(ready[t], i, specs[t]) for i, t in enumerate(together) if "nunique" not in uses[t]]
     coded = [_cells(ready[t], i, specs[t]) for i, t in enumerate(together) if "nunique" in uses[t]]
+    if plain:
+        plain = [at_index(reduce(DataFrame.unionByName, plain), pairs)]
     if coded:
-        by_code = reduce(DataFrame.unionByName, coded).groupBy(*PAIR, "table", "code")
+        by_code = at_index(reduce(DataFrame.unionByName, coded), pairs).groupBy(*PAIR, "table", "code")
         plain.append(by_code.agg(*[F.sum(c).alias(c) for c in ("n", "flags", "amount")]))
     out = None
     if plain:
@@ -162,7 +168,7 @@ def combined_frame(tables: dict[str, DataFrame]) -> DataFrame:
             )
     for t in specs:
         if t not in together:
-            frame = aggregate_by_admission(ready[t], specs[t])
+            frame = aggregate_by_admission(at_index(ready[t], pairs), specs[t])
             out = frame if out is None else out.join(frame, PAIR, "full_outer")
     order = [name for s in specs.values() for name in s]
     extra = [c for c in out.columns if c not in (*PAIR, *order)]
@@ -170,12 +176,13 @@ def combined_frame(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def feature_frames(tables: dict[str, DataFrame], pairs: DataFrame) -> dict[str, DataFrame]:
-    """The admission frames restricted to each subject's index admission."""
-    return {name: frame.join(pairs.select(*PAIR), PAIR) for name, frame in admission_frames(tables).items()}
+    """The frames of each subject's index admission."""
+    return admission_frames(tables, pairs)
 
 
 def categories_of(df: DataFrame, cols: Sequence[str], max_categories: int = MAX_CATEGORIES) -> dict[str, list[str]]:
-    """Sorted distinct non-NULL values of each column, read in one job. Too many values is an error, never a cut."""
+    """Sorted distinct non-NULL values of each column, read in one job. They become column names, so more
+    than `max_categories` (a parameter; the categories can also be passed to `one_hot`) is an error, never a cut."""
     items = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols]))
     found = df.select(items.alias("s")).select("s.*").filter(F.col("v").isNotNull()).distinct().limit(max_categories + 1).collect()
     if len(found) > max_categories:

@@ -7,7 +7,6 @@ negatives at it and below it. Scores are pre-aggregated before any shuffle and n
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,18 +28,17 @@ DECISION_THRESHOLD = 0.5
 def stack_scores(df: DataFrame, pairs: dict[str, tuple[Column | str, Column | str]], keep: Sequence[str] = ()) -> DataFrame:
     """Long form `(task, score, label, *keep)`, one row per input row and entry of `pairs[task] = (score, label)`.
 
-    A union of narrow projections: every branch reads only its own columns, and plans that use the result twice can
-    share one exchange (an exploded array would prevent that).
+    One pass over the input: an array of the entries is exploded, and what follows counts scores map-side.
     """
 
     def as_col(c):
         return F.col(c) if isinstance(c, str) else c
 
-    parts = [
-        df.select(*keep, F.lit(task).alias("task"), as_col(s).cast("double").alias("score"), as_col(y).cast("double").alias("label"))
+    entries = [
+        F.struct(F.lit(task).alias("task"), as_col(s).cast("double").alias("score"), as_col(y).cast("double").alias("label"))
         for task, (s, y) in pairs.items()
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return df.select(*keep, F.explode(F.array(*entries)).alias("_e")).select(*keep, "_e.task", "_e.score", "_e.label")
 
 
 def stack_tasks(df: DataFrame, keep: Sequence[str] = (), tasks: Sequence[str] = tuple(TASKS)) -> DataFrame:

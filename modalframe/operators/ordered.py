@@ -14,16 +14,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 DEFAULT_BUCKETS = 256
+SKETCH_TASKS = 64
 _BUCKET = "_bucket"
 
 
 def value_splits(df: DataFrame, col: str, n_buckets: int = DEFAULT_BUCKETS) -> list[float]:
-    """At most `n_buckets - 1` cut points at about equal row counts. They steer balance only, never results."""
+    """At most `n_buckets - 1` cut points at about equal row counts. They steer balance only, never results.
+
+    Sketches are merged in two levels: each of `SKETCH_TASKS` tasks merges a share of the map tasks and keeps four points a
+    bucket; one task then sees `SKETCH_TASKS` short lists, however many map tasks there were.
+    """
+    fine = [i / (4 * n_buckets) for i in range(1, 4 * n_buckets)]
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.agg(F.percentile_approx(F.col(col), probs, 20 * n_buckets).alias("q")).first()
+    shares = df.select(F.col(col).alias("_v"), F.pmod(F.spark_partition_id(), F.lit(SKETCH_TASKS)).alias("_p"))
+    points = shares.groupBy("_p").agg(F.percentile_approx("_v", fine, 8 * n_buckets).alias("q")).select(F.explode("q").alias("_v"))
+    row = points.agg(F.percentile_approx("_v", probs, 8 * n_buckets).alias("q")).first()
     return sorted(set(row["q"] or []))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal `keys` where NULL equals NULL; the keys of `left` stay."""
+    named = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    condition = same[0] if same else F.lit(True)
+    for s in same[1:]:
+        condition = condition & s
+    return left.join(named, condition, how).drop(*[f"_k_{k}" for k in keys])
+
+
 def bucket_of_cuts(value: Column, cuts: Column, max_cuts: int) -> Column:
     """Order-preserving bucket number: even between two cut points, odd exactly on one.
 
@@ -86,13 +104,13 @@ def running_totals(
 ) -> DataFrame:
     """Add `{out}_below` (sum of the rows before this one, in `order`) and `{out}_total` for each `sums[out] = col`.
 
-    `bucket` must not decrease along `order`; `order` must be unique within a group. `group` may not hold NULLs.
+    `bucket` must not decrease along `order`; `order` must be unique within a group. NULL is a group like any other.
     """
     rows = df.withColumn(_BUCKET, bucket)
     totals = _bucket_totals(rows, group, sums)
     inside = W.partitionBy(*group, _BUCKET).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     local = rows.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_l_{o}") for o, c in sums.items()])
-    joined = local.join(totals, [*group, _BUCKET])
+    joined = null_safe_join(local, totals, [*group, _BUCKET])
     return joined.select(
         *df.columns,
         *[(F.col(f"_l_{o}") + F.col(f"_b_{o}")).alias(f"{o}_below") for o in sums],
@@ -132,8 +150,8 @@ def rows_at_ranks(
         .filter((F.col("_want.k") > F.col("_b_w")) & (F.col("_want.k") <= F.col("_upto")))
         .select(*group, _BUCKET, "_b_w", "n", F.col("_want.tag").alias("tag"), F.col("_want.k").alias("_k"))
     )
-    # targets holds one row per (group, tag), so it is small whatever the size of df
-    cand = rows.select(*group, _BUCKET, *order, "_w").join(F.broadcast(targets), [*group, _BUCKET])
+    # targets holds one row per (group, tag); how many groups there are is the caller's affair, so there is no hint
+    cand = null_safe_join(rows.select(*group, _BUCKET, *order, "_w"), targets, [*group, _BUCKET])
     local = W.partitionBy(*group, _BUCKET, "tag").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     pos = F.col("_b_w") + F.sum("_w").over(local)
     return (

@@ -1,7 +1,7 @@
 """Class weights, curriculum subsets, sample weights and weighted sampling.
 
 Every weight depends on the (label, pattern) cell only: at most 2 x 16 cells. Counts are taken per cell, weights are
-computed on the cell table, and the cell table is broadcast back to the rows.
+computed on the cell table, which joins back to the rows (Catalyst broadcasts it while it is small).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from ..functions.numeric import hash_key, hash_uniform
 from ..functions.patterns import pattern_complexity
-from .ordered import hash_bucket, row_numbers
+from .ordered import bucket_of_cuts, hash_bucket, row_numbers
 
 # Curriculum stages (progress limit, share of patterns, tasks) and weight mix
 STAGES = (
@@ -23,6 +23,7 @@ STAGES = (
     ("hard", 1.0, 1.0, ("icu", "mortality", "readmission")),
 )
 MIN_SUBSET_SHARE = 0.1
+MAX_CELLS = 10_000
 LABEL_SHARE, PATTERN_SHARE = 0.8, 0.2
 
 
@@ -31,7 +32,6 @@ def _over_all(c: Column) -> Column:
     return c.over(W.partitionBy())
 
 
-
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """`(label, n, weight)` for classes 0 and 1 with weight n_total / (2 n); NULL weight for an absent class."""
     y = F.col(label)
@@ -73,7 +73,7 @@ def curriculum_subset(df: DataFrame, epoch: int, total_epochs: int, pattern: str
     plan = pattern_plan(df, epoch, total_epochs, pattern)
     kept = _over_all(F.sum(F.when(F.col("allowed"), F.col("n")).otherwise(0)))
     plan = plan.withColumn("_keep", F.col("allowed") | (kept < F.col("n_rows") * MIN_SUBSET_SHARE))
-    return df.join(F.broadcast(plan.filter("_keep").select(pattern)), pattern, "left_semi")
+    return df.join(plan.filter("_keep").select(pattern), pattern, "left_semi")
 
 
 def cell_weights(cells: DataFrame, label: str, pattern: str) -> DataFrame:
@@ -89,7 +89,8 @@ def cell_weights(cells: DataFrame, label: str, pattern: str) -> DataFrame:
 
 
 def _valid_cells(df: DataFrame, label: str, pattern: str, allowed: Sequence[int] | None) -> DataFrame:
-    cells = df.groupBy(label, pattern).agg(F.count(F.lit(1)).alias("n"))
+    """Row counts of the cells of valid rows: those with a label and a pattern."""
+    cells = df.filter(F.col(label).isNotNull() & F.col(pattern).isNotNull()).groupBy(label, pattern).agg(F.count(F.lit(1)).alias("n"))
     if allowed is None:
         return cells
     inside = F.col(pattern).isin(*allowed) if allowed else F.lit(False)
@@ -98,10 +99,10 @@ def _valid_cells(df: DataFrame, label: str, pattern: str, allowed: Sequence[int]
 
 
 def sample_weights(df: DataFrame, label: str, pattern: str = "pattern_code", allowed: Sequence[int] | None = None) -> DataFrame:
-    """Add `weight`: 0.8 inverse label frequency + 0.2 inverse pattern frequency, normalised; 0 for patterns not in
-    `allowed` (an `allowed` list that matches nothing is ignored)."""
+    """Add `weight`: 0.8 inverse label frequency + 0.2 inverse pattern frequency, normalised over valid rows; 0 for
+    patterns not in `allowed` (an `allowed` list that matches nothing is ignored) and for rows without label or pattern."""
     cells = cell_weights(_valid_cells(df, label, pattern, allowed), label, pattern)
-    joined = df.join(F.broadcast(cells.drop("n")), [label, pattern], "left")
+    joined = df.join(cells.drop("n"), [label, pattern], "left")
     return joined.select(*df.columns, F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
@@ -110,8 +111,9 @@ def weighted_sample(
 ) -> DataFrame:
     """Draw with replacement, as many draws as valid rows: `(draw_id, ident)`.
 
-    Each valid row contributes one draw. One uniform picks the cell (cells partition [0,1) by total weight), another
-    the position in the cell; an equi-join on (cell, position) fetches the row. Positions follow md5(id:seed).
+    Each valid row (one with label and pattern, in an allowed pattern) contributes one draw. One uniform picks the cell
+    (cells partition [0,1) by total weight) by a binary search in a literal array, another the position in the cell; an
+    equi-join on (cell, position) fetches the row. Positions follow md5(id:seed). At most `MAX_CELLS` cells.
     """
     cells = cell_weights(_valid_cells(df, label, pattern, allowed), label, pattern)
     order = W.partitionBy().orderBy(label, pattern).rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -120,11 +122,21 @@ def weighted_sample(
     edge = F.lag("_hi", 1, 0.0).over(W.partitionBy().orderBy(label, pattern))
     last = F.lead("_hi").over(W.partitionBy().orderBy(label, pattern)).isNull()
     cells = cells.withColumn("_lo", edge).withColumn("_hi", F.when(last, F.lit(1.0)).otherwise(F.col("_hi")))
-    valid = df.select(ident, label, pattern).join(F.broadcast(cells.select(label, pattern)), [label, pattern], "left_semi")
+    rows = [r for r in cells.orderBy(label, pattern).limit(MAX_CELLS + 1).collect()]
+    if len(rows) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} (label, pattern) cells")
+    if not rows:
+        return df.select(F.col(ident).alias("draw_id"), F.col(ident)).limit(0)
+    valid = df.select(ident, label, pattern).join(df.sparkSession.createDataFrame(rows, cells.schema).select(label, pattern), [label, pattern], "left_semi")
     pool = row_numbers(valid.withColumn("_h", hash_key(ident, seed)), [label, pattern], ["_h", ident], hash_bucket("_h"), "_pos")
     u1, u2 = hash_uniform(ident, f"{seed}:cell"), hash_uniform(ident, f"{seed}:row")
     draws = valid.select(F.col(ident).alias("draw_id"), u1.alias("_u1"), u2.alias("_u2"))
-    # range lookup in at most 32 intervals
-    picked = draws.join(F.broadcast(cells), (F.col("_u1") >= F.col("_lo")) & (F.col("_u1") < F.col("_hi")))
+    uppers = F.array(*[F.lit(float(r["_hi"])) for r in rows])
+    at = bucket_of_cuts(F.col("_u1"), uppers, len(rows))
+    # upper ends that are at most the uniform: an even bucket lies between two, an odd one exactly on one
+    number = F.least(F.shiftright(at + 1, 1), F.lit(len(rows) - 1))
+    fields = cells.schema
+    chosen = {c: F.get(F.array(*[F.lit(r[c]).cast(fields[c].dataType) for r in rows]), number) for c in (label, pattern, "n")}
+    picked = draws.select("draw_id", "_u2", *[e.alias(c) for c, e in chosen.items()])
     picked = picked.select("draw_id", label, pattern, (F.floor(F.col("_u2") * F.col("n")) + 1).cast("long").alias("_pos"))
     return picked.join(pool.select(label, pattern, "_pos", ident), [label, pattern, "_pos"]).select("draw_id", ident)

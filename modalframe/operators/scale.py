@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite, safe_double
+from ..session import materialize
 from .clean import LEAKING, feature_columns, numeric_features
 from .quantiles import exact_quantiles, stack_columns
 
 METHODS = ("robust", "minmax", "power", "standard")
 _NEAR_ZERO = 10 * 2.220446049250313e-16
-LAMBDA_RANGE = (-5.0, 5.0)
+LAMBDA_RANGE = (-5.0, 5.0)  # first grid only
+LAMBDA_LIMIT = 80.0  # beyond, powers of ordinary values overflow
 LAMBDA_TOLERANCE = 1e-3
 _GRID = 21
 
@@ -54,22 +56,32 @@ def yeo_johnson(x: Column, lam: Column | float) -> Column:
 
 
 def _fit_power(df: DataFrame, cols: Sequence[str]) -> dict[str, Scaler]:
-    """Maximum-likelihood lambda per column: grid, then ever finer grids around the best, all columns per pass."""
+    """Maximum-likelihood lambda per column: grid, then ever finer grids around the best, all columns per pass.
+
+    Equal values are counted once for all passes. A column whose best lambda is at the edge of its grid gets a wider grid first.
+    """
     spark = df.sparkSession
-    long = stack_columns(df, cols, skip_zero=True)
+    long = stack_columns(df, cols, skip_zero=True).groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
+    long = materialize(long, "values")
     low, high = LAMBDA_RANGE
     step = (high - low) / (_GRID - 1)
     grids: dict[str, list[float]] = {c: [low + i * step for i in range(_GRID)] for c in cols}
     best: dict[str, Scaler] = {}
+    wide = True
     while True:
         # a grid row per column: columns x _GRID numbers
         table = spark.createDataFrame(list(grids.items()), "column string, grid array<double>")
-        tried = long.join(F.broadcast(table), "column").select("column", "value", F.explode("grid").alias("lam"))
+        tried = long.join(F.broadcast(table), "column").select("column", "value", "_n", F.explode("grid").alias("lam"))
         y = yeo_johnson(F.col("value"), F.col("lam"))
         slope = F.signum("value") * F.log1p(F.abs("value"))
-        rows = tried.groupBy("column", "lam").agg(
-            F.count(F.lit(1)).alias("n"), F.avg(y).alias("mu"), F.var_pop(y).alias("var"), F.sum(slope).alias("slope")
-        ).collect()
+        # moments about the transform of a fixed value of the column, so that large powers do not cancel
+        w = F.col("_n").cast("double")
+        sums = tried.withColumns({"_y": y, "_slope": slope}).groupBy("column", "lam").agg(
+            F.sum("_n").alias("n"), (F.sum(F.col("_y") * w) / F.sum(w)).alias("mu"), F.sum(F.col("_slope") * w).alias("slope")
+        )
+        spread = tried.withColumn("_y", y).join(F.broadcast(sums.select("column", "lam", "mu")), ["column", "lam"])
+        spread = spread.groupBy("column", "lam").agg((F.sum(F.pow(F.col("_y") - F.col("mu"), 2) * w) / F.sum(w)).alias("var"))
+        rows = sums.join(spread, ["column", "lam"]).collect()
         top: dict[str, tuple[float, float, Scaler]] = {}
         for r in sorted(rows, key=lambda r: (r["column"], r["lam"])):
             if not r["var"] or not math.isfinite(r["var"]):
@@ -80,6 +92,13 @@ def _fit_power(df: DataFrame, cols: Sequence[str]) -> dict[str, Scaler]:
             if r["column"] not in top or likelihood > top[r["column"]][0]:
                 top[r["column"]] = (likelihood, r["lam"], found)
         best = {c: t[2] for c, t in top.items()}
+        edge = {c: t[1] for c, t in top.items() if c in grids and t[1] in (grids[c][0], grids[c][-1]) and abs(t[1]) < LAMBDA_LIMIT and wide}
+        if edge:
+            # look further out where the best value is at the end of the grid; the others repeat theirs
+            half = (_GRID - 1) / 2
+            grids = {c: [edge[c] + (i - half) * step for i in range(_GRID)] if c in edge else g for c, g in grids.items()}
+            continue
+        wide = False
         if step <= LAMBDA_TOLERANCE:
             return best
         step, span = step / 5, step

@@ -41,8 +41,8 @@ def build_features(tables: dict[str, DataFrame], subjects: DataFrame | None = No
     )
     first = index.select("subject_id", "hadm_id", *[F.col(c).alias(f"idx_{c}") for c in cohort.INDEX_FEATURES])
     base = subjects.join(first, "subject_id", "left").join(outcome, "subject_id", "left").join(people, "subject_id", "left")
-    # the left join on (subject, index admission) does the restriction, so the aggregates need no join of their own
-    details = features.combined_frame({t: tables[t] for t in DETAIL_TABLES if t in tables})
+    pairs = cohort.index_pairs(stays) if mode == "row" else index.select(*features.PAIR)
+    details = features.combined_frame({t: tables[t] for t in DETAIL_TABLES if t in tables}, pairs)
     wide = base.join(details, features.PAIR, "left").drop("hadm_id")
     return features.fill_missing(wide) if fill else wide
 

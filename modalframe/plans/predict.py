@@ -12,9 +12,10 @@ from ..session import materialize
 
 def prepare_dataset(wide: DataFrame, flags: DataFrame, method: str = "robust", seed: int = split.DEFAULT_SEED, winsorize: bool = True) -> DataFrame:
     """Wide features with flags, pattern, split and the scaled feature array `x_struct` (leaking columns left out)."""
-    rows = wide.join(flags.select("subject_id", *FLAGS, "pattern_code"), "subject_id")
-    rows = split.assign_split(rows, split.stratum_of(models.TASK_LABELS["mortality"], models.TASK_LABELS["readmission"], "pattern_code"), seed=seed)
-    rows = materialize(rows, "dataset")
+    rows = materialize(wide.join(flags.select("subject_id", *FLAGS, "pattern_code"), "subject_id"), "dataset")
+    stratum = split.stratum_of(models.TASK_LABELS["mortality"], models.TASK_LABELS["readmission"], "pattern_code")
+    # reads four columns of the stored table; the boundaries of the at most nine strata stay in the plan
+    rows = split.assign_split(rows, stratum, seed=seed, few_strata=9)
     rows = clean.impute_mean(rows)
     if winsorize:
         rows = clean.winsorize(rows)

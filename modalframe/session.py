@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,15 +29,15 @@ def get_spark(app_name: str = "modalframe", master: str | None = None, **conf: s
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: `spark.checkpoint.dir`, or a scratch folder in local mode only."""
+    """Shared folder for intermediate tables: `spark.checkpoint.dir`, or where it is unset a folder of the warehouse.
+
+    Both are places that every executor reaches; nothing here depends on the kind of master.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="modalframe-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not configured:
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stages"
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:

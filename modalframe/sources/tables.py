@@ -83,9 +83,9 @@ def repair_ids(df: DataFrame, ident: str = "subject_id") -> DataFrame:
 
 
 def default_flags(df: DataFrame, flags: Sequence[str] = FLAGS) -> DataFrame:
-    """All modalities count as present unless all four flags are there."""
+    """All modalities count as present unless all four flags are there; an empty flag cell means absent."""
     if all(f in df.columns for f in flags):
-        return df.withColumns({f: F.col(f).cast("double").cast("int") for f in flags})
+        return df.withColumns({f: F.coalesce(F.col(f).cast("string").try_cast("double").cast("int"), F.lit(0)) for f in flags})
     return df.withColumns({f: F.lit(1) for f in flags})
 
 

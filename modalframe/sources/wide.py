@@ -7,17 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import vector_text
 
-MAX_FILES = 2_000
-
 
 def to_wide(df: DataFrame, ident: str, vector: str, order: list[str], width: int | None = None) -> DataFrame:
-    """Pad every subject to the largest vector count. Column count equals that maximum, so the layout suits data with
-    few vectors per subject; the long table stays the native form. More than `MAX_FILES` vectors for one subject is
-    refused before anything is gathered."""
+    """Pad every subject to the largest vector count, or to `width` if that is larger: no vector is left out.
+
+    The column count equals that maximum and a subject's vectors meet in one row, as the layout wants it; it suits data with
+    few vectors per subject, and the long table stays the native form.
+    """
     most = df.groupBy(ident).count().agg(F.max("count")).first()[0] or 0
-    if max(most, width or 0) > MAX_FILES:
-        raise ValueError(f"a subject has {most} vectors; the wide layout ends at {MAX_FILES} columns, use the long table")
-    width = most if width is None else width
+    width = max(most, width or 0)
     keyed = F.struct(*order, F.col(vector).alias("_v"))
     listed = df.groupBy(ident).agg(F.array_sort(F.collect_list(keyed)).alias("_l"))
     cell = [F.coalesce(vector_text(F.get("_l", F.lit(i))["_v"]), F.lit("")).alias(f"file_{i}") for i in range(width)]
