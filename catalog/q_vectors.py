@@ -223,7 +223,8 @@ def dataset_stats(spark, sf_dir):
     f"""SELECT count(*) AS n, CAST(sum(t) AS BIGINT) AS n_text, CAST(sum(r) AS BIGINT) AS n_rad, CAST(sum(t * r) AS BIGINT) AS n_both,
  {r6('sum(t) * 100.0::DOUBLE / count(*)')} AS pct_text, {r6('sum(r) * 100.0::DOUBLE / count(*)')} AS pct_rad FROM e"""))
 def embedding_coverage(spark, sf_dir):
-    usable = [F.max(F.when(~T.is_blank(c), F.col(c))).alias(c) for c in ("discharge_embedding", "radiology_embedding")]
+    # presence is all that counts: a short marker stands for the note
+    usable = [F.max(F.when(~T.is_blank(c), F.lit("x"))).alias(c) for c in ("discharge_embedding", "radiology_embedding")]
     per_subject = note_columns(spark, sf_dir).groupBy("subject_id").agg(*usable)
     df = view(spark, sf_dir, "v_patients").select("subject_id").join(per_subject, "subject_id", "left")
     cov = pooling.embedding_coverage(df)

@@ -115,12 +115,12 @@ def fit_rectifiers(state: DataFrame, reference: DataFrame) -> DataFrame:
     other pattern with at least 20 rows."""
     ref = reference.select(F.col("pattern").alias("_ref"))  # one row
     sizes = state.groupBy("pattern").agg(F.count(F.lit(1)).alias("_n"))
-    names = sizes.join(F.broadcast(ref), F.col("pattern") == F.col("_ref"), "left").select(
+    names = sizes.join(ref, F.col("pattern") == F.col("_ref"), "left").select(
         "pattern", "_n", F.when(F.col("_ref").isNotNull(), "full").otherwise(F.concat(F.lit("pattern_"), "pattern")).alias("modality")
     )
     names = names.filter((F.col("modality") == "full") | (F.col("_n") >= MIN_FIT_ROWS)).drop("_n")
     pairs = {"readmission": ("readm0", "y_readm"), "icu": ("icu0", "y_icu")}
-    rows = stack_scores(state, pairs, ["pattern"]).join(F.broadcast(names), "pattern")
+    rows = stack_scores(state, pairs, ["pattern"]).join(names, "pattern")
     return rectifier.fit(rows, "score", "label")
 
 
@@ -161,7 +161,7 @@ def candidates(state: DataFrame, params: DataFrame, rate: float = 1.0, use_label
     """Adds `d_readm`, `d_icu`, `shift_icu`, `status` and the candidate scores `c_readm`, `c_icu` (NULL = not correctable)."""
     table = params.join(icu_deltas(state, params, rate), "pattern", "left").select("pattern", "d_readm", "d_icu", "shift_icu", "status")
     table = small_table(table, MAX_PATTERNS)
-    rows = state.join(F.broadcast(table), "pattern", "left")
+    rows = state.join(table, "pattern", "left")
     on = F.col("status") == "corrected"
     moved = rectifier.rank_aware(F.col("readm"), F.col("d_readm"), F.lit(True))
     rows = rows.withColumn("c_readm", F.when(on, moved)).withColumn("_q", F.col("icu") - F.col("shift_icu"))
@@ -206,7 +206,7 @@ def gates(cand: DataFrame, selective: bool, splits: list[float] | None = None) -
 
 def blend(cand: DataFrame, gate: DataFrame, use_labels: bool = True) -> DataFrame:
     """New `readm` and `icu` (the blends) plus `icu_ensemble`."""
-    rows = cand.join(F.broadcast(gate.select("pattern", "w_readm", "w_icu")), "pattern", "left")
+    rows = cand.join(gate.select("pattern", "w_readm", "w_icu"), "pattern", "left")
     c, w = F.col("c_readm"), F.col("w_readm")
     extra = F.when((c > 0.4) & (c < 0.6), 0.05 * F.signum(c - 0.5))
     if use_labels:

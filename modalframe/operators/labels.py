@@ -55,14 +55,18 @@ def icu_label(subjects: DataFrame, subsequent: DataFrame, icustays: DataFrame) -
 def all_labels(
     subjects: DataFrame, admissions: DataFrame, index: DataFrame, icustays: DataFrame, horizon_days: int | None = None
 ) -> DataFrame:
-    """The three labels side by side; one aggregation covers readmission and death."""
-    later = subsequent_admissions(admissions, index, horizon_days)
+    """The three labels side by side, from one pass over the later admissions and one aggregation.
+
+    An admission id belongs to one subject, so the ICU stays are reduced to their admission ids before they meet it.
+    """
+    stays = icustays.select("hadm_id").distinct().withColumn("_icu", F.lit(1))
+    later = subsequent_admissions(admissions, index, horizon_days).join(stays, "hadm_id", "left")
     flags = later.groupBy("subject_id").agg(
         F.max((F.col("days_from_index_discharge") <= READMISSION_DAYS).cast("int")).alias(READMISSION),
         F.max(F.coalesce(F.col("hospital_expire_flag") == 1, F.lit(False)).cast("int")).alias(DEATH),
+        F.max("_icu").alias(ICU),
     )
-    icu = icu_subjects(later, icustays).distinct().withColumn(ICU, F.lit(1))
-    joined = subjects.select("subject_id").join(flags, "subject_id", "left").join(icu, "subject_id", "left")
+    joined = subjects.select("subject_id").join(flags, "subject_id", "left")
     return joined.select("subject_id", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in LABELS])
 
 

@@ -20,6 +20,7 @@ FOCAL_SHARE = {"readmission": 0.7, "icu": 0.7, "mortality": 0.9}
 SMOOTHING = 0.1
 TEMPERATURE = 0.1
 BATCH_ROWS = 32
+MAX_BATCH = 8_192
 
 
 def _c(c: Column | str) -> Column:
@@ -122,17 +123,20 @@ def assign_batches(df: DataFrame, ident: str, rows: int = BATCH_ROWS, seed: int
 
 
 def contrastive_score(
-    df: DataFrame, ident: str, features: str, pattern: str, batch: str = "batch_id", temperature: float = TEMPERATURE, plain_sums: bool = False
+    df: DataFrame, ident: str, features: str, pattern: str, batch: str = "batch_id", temperature: float = TEMPERATURE, plain_sums: bool = False,
+    max_batch: int = MAX_BATCH,
 ) -> DataFrame:
     """InfoNCE per row that shares its pattern with another row of its batch: `(batch, ident, n_positive, loss)`.
 
-    Batches must be bounded (see `assign_batches`); similarities stay a small matrix inside the task and no pair is
-    ever emitted. Default: positives over all other rows. `plain_sums=True` uses the looser sums in which every
+    Batches must be bounded (see `assign_batches`): one of more than `max_batch` rows is an error. Similarities stay a small
+    matrix inside the task and no pair is ever emitted. Default: positives over all other rows. `plain_sums=True` uses the looser sums in which every
     non-positive adds exp(0) to the numerator and the row itself is part of the denominator.
     """
     kind = df.schema[ident].dataType.simpleString()
 
     def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > max_batch:
+            raise ValueError(f"batch {key[0]} has {len(pdf)} rows; the bound is {max_batch}")
         pdf = pdf.sort_values(ident)
         x = np.array(pdf[features].tolist(), dtype=np.float64)
         norm = np.linalg.norm(x, axis=1, keepdims=True)

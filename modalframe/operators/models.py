@@ -80,6 +80,8 @@ def fit_ridge(df: DataFrame, x: str, y: str, ridge: float = 1e-3) -> np.ndarray:
             yield pd.DataFrame({"i": np.arange(len(gram)), "v": list(gram)})
 
     rows = df.select(as_double(x).alias("x"), as_double(y).alias("y"))
+    # a matrix for each task, so a few tasks a slot rather than one for each input split
+    rows = rows.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     parts = rows.mapInPandas(partial, "i int, v array<double>")
     sums = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("v")).alias("s")).select("i", vector_to_array("s").alias("s"))
     gram = np.array([r["s"] for r in sorted(sums.collect(), key=lambda r: r["i"])])

@@ -1,7 +1,8 @@
 """Per-group mean-bias estimates ("rectifiers"), their shrinkage rules, confidence intervals and application.
 
 The parameter table has one row per (task, modality): `delta, var_delta, n, n_initial`. Groups are missing-modality
-patterns, so the table is tiny and joins back by broadcast.
+patterns, so the table is small where patterns are the groups, and Catalyst
+broadcasts it then; other keys may be many, so there is no hint.
 """
 
 from __future__ import annotations
@@ -182,7 +183,7 @@ def subtract_delta(
     """`pred - delta` where the modality flag is 0, unchanged elsewhere; no clipping. Unknown keys stay unchanged."""
     slim = params.select(*keys, F.col("delta").alias("_delta"))  # groups x 1 row
     moved = F.when(F.col(flag) == 0, F.col(pred) - F.coalesce(F.col("_delta"), F.lit(0.0))).otherwise(F.col(pred))
-    return df.join(F.broadcast(slim), list(keys), "left").withColumn(out, moved).drop("_delta")
+    return df.join(slim, list(keys), "left").withColumn(out, moved).drop("_delta")
 
 
 def rank_aware(pred: Column, delta: Column, missing: Column, edge_adjust: bool = False) -> Column:
@@ -208,7 +209,7 @@ def apply_rank_aware(
     edge_adjust: bool = False,
 ) -> DataFrame:
     slim = params.select(*keys, F.col("delta").alias("_delta"))
-    joined = df.join(F.broadcast(slim), list(keys), "left")
+    joined = df.join(slim, list(keys), "left")
     value = rank_aware(F.col(pred), F.col("_delta"), F.col(flag) == 0, edge_adjust)
     return joined.withColumn(out, value).drop("_delta")
 

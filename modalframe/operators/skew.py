@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_SALTS = 16
+DEFAULT_SALTS = 1
 _SALT = "_salt"
 
 
@@ -16,11 +16,13 @@ def salted_join(
 ) -> DataFrame:
     """`big JOIN small` (`inner`, `left` or `left_semi`) with the rows of each key spread over `salts` tasks.
 
-    `small` must be narrow and hold few rows per key: it is replicated `salts` times. When it is small enough Catalyst
-    still broadcasts it. Follow-up aggregations combine map-side, so the lost partitioning by key costs little.
+    Adaptive execution splits hot keys of these joins by itself, so by default nothing is salted and the partitioning by key
+    stays. Ask for salts where it is off: `small` must then be narrow, as it is replicated `salts` times.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"unsupported join type {how!r}")
+    if salts <= 1:
+        return big.join(small, list(on), how)
     salted_big = big.withColumn(_SALT, F.pmod(F.hash(spread_by), F.lit(salts)))
     salted_small = small.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_big.join(salted_small, [*on, _SALT], how).drop(_SALT)

@@ -11,7 +11,7 @@ from ..operators.pooling import pool_vectors
 
 def text_table(notes: DataFrame, subjects: DataFrame, encoder: Encoder | None = None, dim: int = DEFAULT_DIM) -> DataFrame:
     """`(subject_id, discharge_embedding, radiology_embedding)`, ordered by subject, for all subjects."""
-    kept = restrict_to_subjects(notes, subjects, spread_by="text")
+    kept = restrict_to_subjects(notes, subjects)
     return text_embedding_table(subjects, embed_notes(kept, encoder, dim=dim)).orderBy("subject_id")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 SUBJECTS_PER_FOLDER = 1_000_000
 FEATURE = "embedding"
+CHECKED = 256  # files whose checksums advance together
 PATH_PATTERN = r"p\d+/p(\d+)/([^/]+)/([^/]+)\.tfrecord$"
 
 
@@ -30,24 +31,54 @@ def _crc_table() -> np.ndarray:
     return table
 
 
-_CRC = [int(x) for x in _crc_table()]
+_CRC = _crc_table()
+
+
+def masked_crcs(parts: list[bytes]) -> np.ndarray:
+    """CRC-32C of each part, rotated and offset as record files store it.
+
+    All parts advance together, one byte place a step; longer parts come first, so the ones still running are a prefix.
+    """
+    sizes = np.array([len(p) for p in parts], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    most = int(sizes.max(initial=0))
+    crc = np.full(len(parts), 0xFFFFFFFF, np.uint32)
+    columns = np.zeros((most, len(parts)), np.uint8)
+    for rank, k in enumerate(order.tolist()):
+        columns[: sizes[k], rank] = np.frombuffer(parts[k], np.uint8)
+    running = np.searchsorted(-sizes[order], -np.arange(most), side="left")
+    for place in range(most):
+        n = running[place]
+        crc[:n] = _CRC[(crc[:n] ^ columns[place, :n]) & 0xFF] ^ (crc[:n] >> np.uint32(8))
+    crc ^= np.uint32(0xFFFFFFFF)
+    out = np.empty(len(parts), np.uint32)
+    out[order] = ((crc >> np.uint32(15)) | (crc << np.uint32(17))) + np.uint32(0xA282EAD8)
+    return out
 
 
 def masked_crc(data: bytes) -> int:
-    """CRC-32C, rotated and offset as record files store it."""
-    crc = 0xFFFFFFFF
-    for b in data:
-        crc = _CRC[(crc ^ b) & 0xFF] ^ (crc >> 8)
-    crc ^= 0xFFFFFFFF
-    return (((crc >> 15) | (crc << 17)) + 0xA282EAD8) & 0xFFFFFFFF
+    return int(masked_crcs([data])[0])
+
+
+def first_records(contents: list[bytes]) -> list[bytes | None]:
+    """Payload of the first record of each file (length, its checksum, payload, its checksum), or None if it is corrupt."""
+    heads, payloads, wanted = [], [], []
+    for content in contents:
+        whole = len(content) >= 12
+        size, size_crc = struct.unpack_from("<QI", content, 0) if whole else (0, 0)
+        payload = content[12 : 12 + size]
+        whole = whole and len(payload) == size and len(content) >= 16 + size
+        heads.append(content[:8])
+        payloads.append(payload if whole else b"")
+        wanted.append((size_crc, *struct.unpack_from("<I", content, 12 + size)) if whole else None)
+    checks = zip(masked_crcs(heads).tolist(), masked_crcs(payloads).tolist())
+    return [p if w == c else None for p, w, c in zip(payloads, wanted, checks)]
 
 
 def first_record(content: bytes) -> bytes:
-    """Payload of the first record: length, its checksum, payload, its checksum."""
-    (size, size_crc) = struct.unpack_from("<QI", content, 0)
-    payload = content[12 : 12 + size]
-    (payload_crc,) = struct.unpack_from("<I", content, 12 + size)
-    if masked_crc(content[:8]) != size_crc or len(payload) != size or masked_crc(payload) != payload_crc:
+    struct.unpack_from("<QI", content, 0)  # too short for a header: struct.error
+    (payload,) = first_records([content])
+    if payload is None:
         raise ValueError("corrupt record")
     return payload
 
@@ -83,8 +114,12 @@ def _fields(buf: bytes) -> Iterator[tuple[int, int, bytes | int]]:
 
 def decode_vector(content: bytes, feature: str = FEATURE) -> list[float]:
     """The float list stored under `feature` in the first record (empty when the feature is absent)."""
+    return decode_payload(first_record(content), feature)
+
+
+def decode_payload(payload: bytes, feature: str = FEATURE) -> list[float]:
     out: list[float] = []
-    for f, _, features in _fields(first_record(content)):
+    for f, _, features in _fields(payload):
         if f != 1:
             continue
         for _, _, entry in _fields(features):
@@ -104,9 +139,12 @@ def decode_records(files: DataFrame) -> DataFrame:
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             vectors, errors = [], []
-            for content in batch["content"]:
+            payloads = [p for k in range(0, len(batch), CHECKED) for p in first_records([bytes(c) for c in batch["content"].iloc[k : k + CHECKED]])]
+            for payload in payloads:
                 try:
-                    vectors.append(decode_vector(bytes(content)))
+                    if payload is None:
+                        raise ValueError("corrupt record")
+                    vectors.append(decode_payload(payload))
                     errors.append(None)
                 except Exception as e:  # noqa: BLE001 - an unreadable file is reported, not fatal
                     vectors.append(None)
