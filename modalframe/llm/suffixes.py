@@ -70,7 +70,7 @@ class Prints:
 
     def of(self, start: np.ndarray, stop: np.ndarray, k: int = 0) -> np.ndarray:
         """Fingerprint of each [start, stop), cut to the text; the length is part of it."""
-        start, stop = np.clip(start, 0, self.n), np.clip(stop, 0, self.n)
+        start, stop = (np.minimum(np.maximum(x, 0), self.n) for x in (start, stop))
         h = (self.sums[k][stop] - self.sums[k][start]) * self.inverse[k][start]
         h = (h ^ (h >> np.uint64(31)) ^ (stop - start).astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
         return (h ^ (h >> np.uint64(29))).view(np.int64)
@@ -168,9 +168,16 @@ def repeated(records: DataFrame, per_part: int = 500_000) -> DataFrame:
 RUN, BEFORE, AFTER, UNION, COMMON, START = range(6)
 
 
-def _frame(kind, t1, t2, h, place) -> pd.DataFrame:
+Rows = tuple[np.ndarray, ...]  # kind, t1, t2, h1, h2, place
+
+
+def _rows(kind, t1, t2, h, place) -> Rows:
     n = len(place)
-    return pd.DataFrame({"kind": np.full(n, kind, np.int32), "t1": t1, "t2": t2, "h1": np.full(n, h[0]), "h2": np.full(n, h[1]), "place": place})
+    return np.full(n, kind, np.int32), t1, t2, np.full(n, h[0]), np.full(n, h[1]), place
+
+
+def _frame(parts: list[Rows]) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip(("kind", "t1", "t2", "h1", "h2", "place"), map(np.concatenate, zip(*parts)))))
 
 
 RECORD = "kind int, t1 long, t2 long, h1 long, h2 long, place long"
@@ -181,7 +188,7 @@ def _tokens(prints: Prints, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
     return prints.of(start, start + (stop - start) // 2), prints.of(start, stop, 1)
 
 
-def run_records(data: np.ndarray, h: tuple[int, int], size: int) -> list[pd.DataFrame]:
+def run_records(data: np.ndarray, h: tuple[int, int], size: int) -> list[Rows]:
     """Round 1 of one text: each run's stretch, and the half windows beside its anchor; place: the run's first start."""
     out = []
     for a, b in pieces_of(len(data), size):
@@ -192,9 +199,9 @@ def run_records(data: np.ndarray, h: tuple[int, int], size: int) -> list[pd.Data
         prints = Prints(part)
         half = WIDTH // 2
         t1, t2 = _tokens(prints, lo, hi + WIDTH)
-        out.append(_frame(RUN, t1, t2 + (anchor - lo), h, lo + a))  # the anchor's offset is part of the comparison
-        out.append(_frame(BEFORE, *_tokens(prints, np.maximum(0, anchor + GRAM - half), anchor + GRAM), h, lo + a))
-        out.append(_frame(AFTER, *_tokens(prints, anchor, anchor + half), h, lo + a))
+        out.append(_rows(RUN, t1, t2 + (anchor - lo), h, lo + a))  # the anchor's offset is part of the comparison
+        out.append(_rows(BEFORE, *_tokens(prints, np.maximum(0, anchor + GRAM - half), anchor + GRAM), h, lo + a))
+        out.append(_rows(AFTER, *_tokens(prints, anchor, anchor + half), h, lo + a))
     return out
 
 
@@ -226,19 +233,19 @@ def open_runs(data: np.ndarray, size: int, whole: set[int], lead: set[int], near
             yield a, data[a:b], lo[keep], hi[keep], anchor[keep]
 
 
-def step_records(data, h, size, whole, lead, near) -> list[pd.DataFrame]:
+def step_records(data, h, size, whole, lead, near) -> list[Rows]:
     """Round 2: the union of the windows of each step of the open runs, and what all windows of the full step share; place: first start."""
     out = []
     for a, part, lo, hi, anchor in open_runs(data, size, whole, lead, near):
         prints = Prints(part)
         first, last, aligned = _steps(lo, hi, anchor)
         t1, t2 = _tokens(prints, first, last + WIDTH)
-        out.append(_frame(UNION, t1, t2 + (first - aligned), h, first + a))
-        out.append(_frame(COMMON, *_tokens(prints, aligned + STEP - 1, aligned + WIDTH), h, first + a))
+        out.append(_rows(UNION, t1, t2 + (first - aligned), h, first + a))
+        out.append(_rows(COMMON, *_tokens(prints, aligned + STEP - 1, aligned + WIDTH), h, first + a))
     return out
 
 
-def start_records(data, h, size, whole, lead, near, union, union_lead, common) -> list[pd.DataFrame]:
+def start_records(data, h, size, whole, lead, near, union, union_lead, common) -> list[Rows]:
     """Round 3: the windows of the steps left open; place: the start."""
     out = []
     for a, part, lo, hi, anchor in open_runs(data, size, whole, lead, near):
@@ -247,7 +254,7 @@ def start_records(data, h, size, whole, lead, near, union, union_lead, common) -
         if left.any():
             prints = Prints(part)
             starts = np.concatenate([np.arange(x, y + 1) for x, y in zip(first[left].tolist(), last[left].tolist())])
-            out.append(_frame(START, *_tokens(prints, starts, starts + WIDTH), h, starts + a))
+            out.append(_rows(START, *_tokens(prints, starts, starts + WIDTH), h, starts + a))
     return out
 
 
@@ -299,12 +306,12 @@ def _records(texts: DataFrame, make, columns: list[str]) -> DataFrame:
             for row in batch.itertuples(index=False):
                 found = make(_data(row.text), (row.h1, row.h2), *(_set(getattr(row, c)) for c in columns))
                 out += found
-                n += sum(map(len, found))
+                n += sum(len(rows[0]) for rows in found)
                 if n > 200_000:
-                    yield pd.concat(out, ignore_index=True)
+                    yield _frame(out)
                     out, n = [], 0
             if out:
-                yield pd.concat(out, ignore_index=True)
+                yield _frame(out)
 
     return texts.select("text", "h1", "h2", *columns).mapInPandas(run, RECORD)
 
