@@ -33,7 +33,7 @@ def dataset(spark, sf_dir):
     wide = build_features({t: view(spark, sf_dir, f"v_{t}") for t in WIDE_TABLES})
     both = wide.join(flags(spark, sf_dir).drop("missing_pattern"), "subject_id")
     stratum = split.stratum_of("death_after_discharge_180d", "readmission_30d", "pattern_code")
-    return materialize(split.assign_split(both, stratum), "dataset")
+    return split.assign_split(materialize(both, "dataset"), stratum, few_strata=9)
 
 
 def _raw_wide() -> str:
@@ -214,6 +214,18 @@ def sample_weights(spark, sf_dir):
     return df.select("subject_id", round_to("weight").alias("weight"))
 
 
+@query("sample_null_label", sql(P, ["pn AS (SELECT subject_id, CASE WHEN subject_id % 3 <> 0 THEN mortality_target END AS y, CASE WHEN has_rad = 1 OR has_img = 1 THEN CAST(8 * has_struct + 4 * has_img + 2 * has_text + has_rad AS INT) END AS pattern_code FROM v_predictions)",
+    *[c.replace("FROM pr", "FROM pn") for c in weight_ctes("y", "y IS NOT NULL AND pattern_code IS NOT NULL")[1:]]],
+    f"SELECT pn.subject_id, {r6('coalesce(weight, 0.0)')} AS weight FROM pn LEFT JOIN cy ON pn.y = cy.y AND pn.pattern_code = cy.pattern_code"))
+def sample_null_label(spark, sf_dir):
+    """Rows without a label or a pattern weigh nothing; the others' weights sum to their number."""
+    df = view(spark, sf_dir, "v_predictions").select(
+        "subject_id", F.when(F.col("subject_id") % 3 != 0, F.col("mortality_target")).alias("y"),
+        F.when((F.col("has_rad") == 1) | (F.col("has_img") == 1), pattern_code()).alias("pattern_code"),
+    )
+    return sampling.sample_weights(df, "y").select("subject_id", round_to("weight").alias("weight"))
+
+
 _U = "(('0x' || substr(md5(subject_id || '{0}'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 
 

@@ -269,3 +269,14 @@ def rank_aware(spark, sf_dir):
     rows = gold(spark, sf_dir, ["subject_id", "has_img"])
     fixed = R.apply_rank_aware(rows, R.fit(rows, "score", "label"), "score", "has_img")
     return fixed.select("subject_id", "task", round_to("corrected").alias("corrected"))
+
+
+@query("auc_null_pattern", sql(P, [PP, "nl AS (SELECT CASE WHEN has_img = 1 THEN pattern END AS pattern, icu_prediction AS score, icu_target AS label FROM pp)",
+    *metric_ctes("nl", "pattern", "z")], f"SELECT pattern, n, n_pos, {r6('auc')} AS auc, {r6('ap')} AS ap, {r6('brier')} AS brier FROM zm"))
+def auc_null_pattern(spark, sf_dir):
+    """Rows whose group key is NULL form a group like any other."""
+    df = predictions(spark, sf_dir).select(
+        F.when(F.col("has_img") == 1, pattern_string()).alias("pattern"), F.col("icu_prediction").alias("score"), F.col("icu_target").alias("label")
+    )
+    m = M.ranking_metrics(df, ["pattern"])
+    return m.select("pattern", "n", "n_pos", *[round_to(c).alias(c) for c in ("auc", "ap", "brier")])
