@@ -9,9 +9,10 @@ from modalframe.session import get_spark  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = get_spark(
-        "tests", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="8g"
+        "tests", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="8g",
+        spark__checkpoint__dir=f"file://{tmp_path_factory.mktemp('stages')}",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
