@@ -129,7 +129,7 @@ class Pieces:
                 break
             else:
                 limit, b = right + 0.5, self.parts[b][0]
-        if len(self.apart) > 2_000_000:
+        if len(self.apart) > 400_000:
             self.apart.clear()
         self.apart[pair] = known
         return known
@@ -137,14 +137,14 @@ class Pieces:
     def _bytes(self, char: str) -> list[int]:
         return [self.byte_id[b] for b in char.encode()] if self.byte_id else [self.unknown]
 
-    def segment(self, words: list[str]) -> dict[str, array]:
-        """Ids of each distinct word: one depth-first walk over the sorted words, sharing forward states of prefixes."""
+    def segment(self, words: list[str]) -> dict[str, bytes]:
+        """Ids (32-bit, as bytes) of each distinct word: one depth-first walk over the sorted words, sharing forward states of prefixes."""
         walk = self._merge_states if self.merges else self._score_states
         out, before, states = {}, "", [None]
         for word in sorted(set(words)):
             if self.merges and word.startswith(MARK * 2):  # runs of marks may have equal scores, where order decides
                 ids = [i for part in self.merge(word) for i in ([self.ids[part]] if part in self.ids else self._bytes(part))]
-                out[word] = array("i", ids)
+                out[word] = array("i", ids).tobytes()
                 continue
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
@@ -158,7 +158,7 @@ class Pieces:
                 j = i
             if not self.byte_id:  # neighbouring unknown characters are one unknown
                 ids = [p for k, p in enumerate(ids) if not (p == self.unknown and k and ids[k - 1] == p)]
-            out[word] = array("i", ids[::-1])
+            out[word] = array("i", ids[::-1]).tobytes()
             before = word
         return out
 
@@ -213,7 +213,7 @@ class Pieces:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", memo: int = 500_000, keep: list[str] | None = None) -> DataFrame:
+def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", memo: int = 200_000, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of `docs` (default all), then ids array<int>, n_ids long, round_trip boolean (decoding gives the text back).
 
     A column of `docs` that is already named like one of the three is replaced.
@@ -224,10 +224,10 @@ def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", memo:
     schema = StructType([docs.schema[c] for c in names] + [StructField("ids", ArrayType(IntegerType())), StructField("n_ids", LongType()), StructField("round_trip", BooleanType())])
 
     def run(batches):
-        known: dict[str, array] = {}
+        known: dict[str, bytes] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
                 texts = [t or "" for t in part.column(len(names)).to_pylist()]
                 split = [pieces.marked_words(t) for t in texts]
                 fresh = set().union(*split).difference(known)
@@ -235,14 +235,10 @@ def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", memo:
                     known = {}
                     fresh = set().union(*split)
                 known |= pieces.segment(list(fresh))
-                values, offsets, same = array("i"), [0], []
-                for text, words in zip(texts, split):
-                    start = len(values)
-                    for w in words:
-                        values.extend(known[w])
-                    offsets.append(len(values))
-                    same.append(pieces.decode(values[start:]) == text)
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(values, np.int32) if len(values) else np.empty(0, np.int32)))
+                parts = [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
+                same = [pieces.decode(ids.tolist()) == text for ids, text in zip(parts, texts)]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
                 counts = pa.array(np.diff(offsets), pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], ids, counts, pa.array(same, pa.bool_())], names=[*names, "ids", "n_ids", "round_trip"])
 

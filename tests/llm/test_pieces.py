@@ -1,4 +1,5 @@
 import random
+from array import array
 
 import pytest
 import sentencepiece
@@ -23,7 +24,7 @@ def texts(spark):
 def ids_of(pieces, text):
     words = pieces.marked_words(text)
     known = pieces.segment(words)
-    return [i for w in words for i in known[w]]
+    return [i for w in words for i in array("i", known[w])]
 
 
 def test_merge_model_equals_library(library, texts):
