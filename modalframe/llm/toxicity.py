@@ -38,14 +38,14 @@ def plain_words(text: str | None) -> list[bytes]:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, decay: float, steps: int = 60) -> np.ndarray:
-    """Newton-free L2 logistic regression: limited-memory quasi-Newton steps on the standardised rows."""
+    """L2 logistic regression by limited-memory quasi-Newton steps on standardised rows (last column: bias, not penalised)."""
     n, d = x.shape
     penalty = np.r_[np.full(d - 1, decay), 0.0]
 
     def risk(w):
-        z = x @ w
+        z = (x @ w.astype(x.dtype)).astype(np.float64)  # rows may be 32-bit, sums are not
         value = np.logaddexp(0, z).sum() - y @ z + 0.5 * (penalty * w * w).sum()
-        return value, x.T @ (0.5 * (1 + np.tanh(0.5 * z)) - y) + penalty * w
+        return value, (0.5 * (1 + np.tanh(0.5 * z)) - y).astype(x.dtype) @ x + penalty * w
 
     w = np.zeros(d)
     value, grad = risk(w)
@@ -115,12 +115,12 @@ class Chain:
 
 
 def fit_arrays(words: list[bytes], features: np.ndarray, targets: dict[str, np.ndarray], folds: np.ndarray, decay: float = 3.0) -> Chain:
-    mean, scale = features.mean(0), features.std(0) + 0.02
-    z = np.clip((features - mean) / scale, -6, 6)
+    mean, scale = features.mean(0, dtype=np.float64), features.std(0, dtype=np.float64) + 0.02
+    z = np.clip((features - mean) / scale, -6, 6).astype(features.dtype)
     chain, earlier = Chain(words, mean, scale), []
     for name, y in targets.items():
         y = y.astype(float)
-        x = np.column_stack([z, *earlier, np.ones(len(z))])
+        x = np.column_stack([z, *(p.astype(z.dtype) for p in earlier), np.ones(len(z), z.dtype)])
         if len(set(y.tolist())) < 2:
             chain.models[name] = float(y.mean())
             earlier.append(np.full(len(z), y.mean()))
@@ -188,7 +188,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | N
         return chain
     found = found.sort_values("doc_id", kind="stable")
     targets = {c: found[c].to_numpy() for c in names}
-    return fit_arrays(chain.words, np.array(found["f"].tolist(), np.float64), targets, found["doc_id"].to_numpy() % FOLDS)
+    folds, features = found["doc_id"].to_numpy() % FOLDS, np.stack(found["f"].to_numpy()).astype(np.float32)
+    del found
+    return fit_arrays(chain.words, features, targets, folds)
 
 
 def score_columns(chain: Chain, text: Column) -> Column:
