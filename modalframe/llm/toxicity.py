@@ -174,8 +174,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | N
     flags = labels.where("doc_id is not null").select("doc_id", *(F.expr(e).cast("int").alias(c) for c, e in categories.items())).dropna()
     flags = flags.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in names)).where(crc_fold(F.col("doc_id"), modulus) != held)
     ids = bounded_rows(flags, F.col("doc_id"), fit_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    chain = Chain(choose_words(rows, names, vocabulary))
+    texts = docs.select("doc_id", "text")
+    chain = Chain(choose_words(texts.join(flags, "doc_id"), names, vocabulary))
+    rows = texts.join(F.broadcast(ids), "doc_id")
 
     def run(batches):
         for batch in batches:

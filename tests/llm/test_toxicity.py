@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from modalframe.llm.toxicity import _logistic, fit_arrays, plain_words, score_toxicity
+from modalframe.llm.toxicity import _logistic, fit_arrays, fit_chain, plain_words, score_toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -48,3 +48,11 @@ def test_edges(spark):
 @pytest.mark.parametrize(("text", "words"), [(None, []), ("", []), ("Idiot!! é-x", [b"idiot", "é".encode(), b"x"])])
 def test_words(text, words):
     assert plain_words(text) == words
+
+
+def test_words_are_counted_over_all_labelled_documents(spark):
+    """A word in one of a hundred documents: a fit on few rows does not see it, the counts over all rows do."""
+    rows = [(d, "plain words here" + (" grumbleword" if d % 100 < 2 else ""), 1, int(d % 100 < 2)) for d in range(2000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    chain = fit_chain(table.select("doc_id", "text"), table.select("doc_id", "quality", "toxic"), fit_rows=20)
+    assert b"grumbleword" in chain.words
