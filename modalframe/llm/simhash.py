@@ -7,8 +7,8 @@ range). Node pairs are walked together from the root, each differing bit costs o
 with all below them. A task reports a spanning forest of the links it finds, never the pairs.
 
 Nulls: a null text counts as empty, and an empty text has fingerprint zero and links like any other. A row without id gets a
-fingerprint and the component of its fingerprint; it can bridge documents but is never a representative (a component
-that has no id at all has a null component_id). Repeated rows give repeated results. Extra columns are ignored.
+fingerprint and the component of its fingerprint; it can bridge documents and is a representative only where its component
+has no id at all (such a component has a null component_id). Repeated rows give repeated results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,15 +47,16 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return sum(1 << int(bit) for bit in np.nonzero(ones * 2 > n)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, fp): one row per row, fp the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the long columns `keys`: one row per row, fp the fingerprint as a signed long."""
 
     def run(batches):
         for batch in batches:
             values = np.fromiter((fingerprint(t, width) for t in batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": values.view(np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": values.view(np.int64), **{k: batch[k] for k in keys}})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    schema = ", ".join(f"{c} long" for c in ("doc_id", "fp", *keys))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keys).mapInPandas(run, schema)
 
 
 def _split(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int) -> np.ndarray:
@@ -190,19 +191,27 @@ def fingerprint_edges(distinct: DataFrame, budget: int = 4, blocks: int | None =
     return dealt.mapInPandas(run, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, budget: int = 4, width: int = 4, blocks: int | None = None) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of `docs` (doc_id, text)."""
-    fps = store(fingerprints(docs, width=width), "fingerprints")
+def _fingerprint_components(fps: DataFrame, budget: int, blocks: int | None) -> DataFrame:
+    """(fp, c, component_id): for each distinct fingerprint of `fps` (doc_id, fp) its component, never null, and the least id in it."""
     classes = store(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     linked = components(fingerprint_edges(classes.select("fp"), budget, blocks), "a", "b")
     named = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     first = named.groupBy("c").agg(F.min("least").alias("component_id"))
-    final = named.join(first, "c").select("fp", "component_id")
+    return named.join(first, "c").select("fp", "c", "component_id")
+
+
+def simhash_components(docs: DataFrame, budget: int = 4, width: int = 4, blocks: int | None = None) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of `docs` (doc_id, text)."""
+    fps = store(fingerprints(docs, width=width), "fingerprints")
+    final = _fingerprint_components(fps, budget, blocks).select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(final, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, **how) -> DataFrame:
-    """The rows of `docs` that are the first of their component; rows without id stay, repeats of one id stay together."""
-    losers = simhash_components(docs, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("_loser")).distinct()
-    return docs.join(losers, docs["doc_id"] == losers["_loser"], "left_anti")
+def keep_representatives(docs: DataFrame, budget: int = 4, width: int = 4, blocks: int | None = None) -> DataFrame:
+    """Exactly one row of `docs` for each component: the one with the smallest id (rows without id last), of several the first stored."""
+    numbered = store(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")  # stored, so row numbers stay
+    fps = store(fingerprints(numbered, width=width, keys=("__row",)), "fingerprints")
+    named = fps.join(_fingerprint_components(fps, budget, blocks).select("fp", "c"), "fp")
+    first = named.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"))
+    return numbered.join(first.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*(numbered[c] for c in docs.columns))

@@ -97,3 +97,13 @@ def test_empty_table(spark):
 def test_whole_table_against_brute_force(small_docs):
     rows = [(r.doc_id, r.text) for r in small_docs.collect()]
     assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash_components(small_docs).collect()), key=str) == brute(rows)
+
+
+def test_one_row_stays_of_each_component(spark, rng):
+    """An id with two unlike texts, rows without id, and repeated rows: one row of each component, none lost."""
+    a, b, c, d = (" ".join(f"w{k}" for k in rng.integers(0, 900, 200)) for _ in range(4))
+    rows = [(3, a), (5, a), (5, b), (None, c), (None, c), (7, d), (7, d), (None, d)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    kept = keep_representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, a), (5, b), (None, c), (7, d)], key=str)
