@@ -3,7 +3,8 @@
 Base kinds (assign, access, hex) are leftmost non-overlapping pattern matches that pass a length condition. Positions come
 from `split` and `regexp_extract_all` with one pattern: the pieces and matches alternate, so their lengths add up to starts.
 
-The battery looks at maximal runs of token characters of 20 or more. Each run gets an encoding inferred from the characters it has
+The battery looks at maximal runs of token characters of 12 or more (of fewer, no p-value can reach a rate `q` of 0.01), and at the
+parts of 12 or more between their marks. Each gets an encoding inferred from the characters it has
 (hexadecimal, base-32, one-case alphanumeric, base-64) and, over that alphabet:
   - chi-squared for uniform use of the alphabet (Wilson-Hilferty approximation);
   - the runs test of symbols below and above the middle of the alphabet;
@@ -14,7 +15,7 @@ whose spread shrinks with the length, gives its p-value. False discoveries are c
 all runs of the corpus within each length band, so short runs must earn more in a corpus full of them. P-values are counted
 in logarithmic bins (upper edge used, so control is conservative): bands x bins rows reach the driver, whatever the corpus.
 
-Method spans (kind `random`) that overlap a base span are left out. Nulls: a null text counts as empty and has no spans; a null id is
+A part of an accepted run is no span of its own. Method spans (kind `random`) that overlap a base span are left out. Nulls: a null text counts as empty and has no spans; a null id is
 kept. Repeated rows give repeated results. Extra columns are ignored.
 """
 
@@ -32,16 +33,17 @@ HEX = r"[0-9a-f]{16,}"  # a maximal run, so the length condition can stand in th
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{12,}"
+PART = r"[A-Za-z0-9]{12,}"
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: encoding: (pattern, alphabet, repetition rate of language over that alphabet)
 ENCODINGS = (
-    ("hex", r"^(?=.*[0-9])([0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef", 0.15),
-    ("base32", r"^(?=.*[0-9])[A-Z2-7]+$", UPPER + "234567", 0.07),
-    ("alnum", r"^(?=.*[0-9])([0-9a-z]+|[0-9A-Z]+)$", DIGITS + LOWER, 0.068),
-    ("base64", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/_-]+$", UPPER + LOWER + DIGITS + "+/", 0.06),
+    ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef", 0.15),
+    ("base32", r"^[A-Z2-7]+$", UPPER + "234567", 0.07),
+    ("alnum", r"^([0-9a-z]+|[0-9A-Z]+)$", DIGITS + LOWER, 0.068),
+    ("base64", r"^(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/_-]+$", UPPER + LOWER + DIGITS + "+/", 0.06),
 )
-BANDS = (20, 24, 32, 40, 64, 128)
+BANDS = (12, 16, 20, 24, 32, 40, 64, 128)
 BINS_PER_DECADE, DECADES = 50, 12
 
 
@@ -160,8 +162,16 @@ def _p_values(s: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Token-like runs that have an inferred encoding, with their tests."""
-    encoded = F.filter(F.transform(_matches(text, CANDIDATE, 3), _with_tests), lambda m: m["encoding"].isNotNull())
+    """Token-like runs, and parts between the marks of runs, that have an inferred encoding, with their tests."""
+
+    def parts(m):
+        shifted = F.transform(_matches(m["value"], PART, 3), lambda x: F.struct(
+            (m["start"] + x["start"]).alias("start"), (m["start"] + x["stop"]).alias("stop"), x["kind"].alias("kind"), x["value"].alias("value")
+        ))
+        return F.when(F.rlike(m["value"], F.lit("[+/_-]")), F.concat(F.array(m), shifted)).otherwise(F.array(m))
+
+    found = F.flatten(F.transform(_matches(text, CANDIDATE, 3), parts))
+    encoded = F.filter(F.transform(found, _with_tests), lambda m: m["encoding"].isNotNull())
     return F.transform(encoded, _tested)
 
 
@@ -197,7 +207,9 @@ def span_columns(text: Column, cuts: list[float], alpha: float) -> list[Column]:
         return [*base, F.slice(base[-1], 1, 0)]
     limits = F.array(*(F.lit(float(c)) for c in cuts))
     chosen = F.filter(candidates(text), lambda m: (m["p_random"] >= alpha) & (m["p_text"] <= F.get(limits, m["band"])))
-    return [*base, F.transform(chosen, slim)]
+    inside = lambda a, b: (b["start"] <= a["start"]) & (a["stop"] <= b["stop"]) & (b["stop"] - b["start"] > a["stop"] - a["start"])
+    whole = _bind(F.transform(chosen, slim), lambda spans: F.filter(spans, lambda a: ~F.exists(spans, lambda b: inside(a, b))))
+    return [*base, whole]
 
 
 def scan_spans(docs: DataFrame, q: float = 0.01, alpha: float = 0.003) -> DataFrame:

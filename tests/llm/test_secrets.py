@@ -132,3 +132,17 @@ def test_tail(spark):
 
 def test_whole_table(small_docs):
     assert rows_of(find_secrets(small_docs)) == sorted(brute([(r.doc_id, r.text) for r in small_docs.collect()]), key=str)
+
+
+def test_tokens_without_digits_beside_marks_and_short(spark):
+    draw = random.Random(5)
+    token = lambda letters, n: "".join(draw.sample(letters, n))
+    kinds = {
+        "no digit": lambda: token(LOW + UP, 36), "after a mark": lambda: "key-" + token(DIG + LOW, 32), "upper case after a mark": lambda: "xx_" + token(UP + DIG, 32),
+        "in a path": lambda: "/v1/" + token(LOW + DIG, 32), "short": lambda: token(UP + LOW + DIG, 19),
+    }
+    rows = [(d, name, f"see {make()} there") for d, (name, make) in enumerate([x for x in kinds.items() for _ in range(10)])]
+    got = {r.doc_id: r for r in find_secrets(spark.createDataFrame([(d, t) for d, _, t in rows], "doc_id long, text string")).collect()}
+    for name in kinds:
+        assert sum(got[d].n_random + got[d].n_hex > 0 for d, n, _ in rows if n == name) >= 8, name
+    assert all(got[d].n_random <= 1 for d, _, _ in rows)
