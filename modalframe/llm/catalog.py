@@ -15,8 +15,10 @@ from .secrets import find_secrets
 from .simhash import simhash_components
 from .suffixes import remove_repeats
 from .toxicity import score_toxicity
+from .transducer import count_tokens
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+MERGE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 QUERIES: dict = {}
@@ -78,6 +80,11 @@ def op10_toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_token_counts(spark, sf_dir):
+    return count_tokens(table(spark, sf_dir, "documents"), MERGE_MODEL)
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
