@@ -16,6 +16,7 @@ from .simhash import simhash_components
 from .suffixes import remove_repeats
 from .toxicity import score_toxicity
 from .transducer import count_tokens
+from .whitening import whiten_digest
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MERGE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
@@ -85,6 +86,11 @@ def op11_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"), MERGE_MODEL)
 
 
+@query
+def op12_embedding_whitening(spark, sf_dir):
+    return whiten_digest(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
