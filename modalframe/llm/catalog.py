@@ -7,6 +7,8 @@ import corpus_pipeline
 from .common import table
 from .decontam import decontaminate
 from .lm import score_texts
+from .merkle import ORACLE as MERKLE_ORACLE
+from .merkle import manifest_digest
 from .metric import near_vectors
 from .personal import find_personal_data
 from .pieces import encode_texts
@@ -91,6 +93,14 @@ def op12_embedding_whitening(spark, sf_dir):
     return whiten_digest(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op13_merkle_manifest(spark, sf_dir):
+    return manifest_digest(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_merkle_manifest"] = MERKLE_ORACLE
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
