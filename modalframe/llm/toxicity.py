@@ -9,7 +9,7 @@ Categories are label expressions in chain order; the default chain over the labe
 Features are presences and log counts of a vocabulary chosen from the labelled training documents: words are counted by document and
 category over all of them in Spark, and the `vocabulary` words with the largest log-likelihood ratio for any category are kept,
 plus shares of capitals, marks and repeated words. Models are L2 logistic regressions, fitted in numpy on at most `fit_rows`
-labelled documents with the smallest hash of their id (documented bound). Scoring is one expression over the text.
+labelled rows with the smallest hash of their id (documented bound). Scoring is one expression over the text.
 
 Nulls: a null text counts as empty; labels with a null id or a null category are not used. A category with fewer than two classes in
 the training rows gets its constant rate. With no training rows at all every probability is 0. Repeated rows give repeated results.
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, crc_fold
+from .common import bounded_rows, crc_fold, store
 from .quality import feature_matrix
 
 CATEGORIES = {"junk": "quality = 0", "toxic": "toxic = 1", "severe": "toxic = 1 and quality = 0"}
@@ -136,8 +136,11 @@ def fit_arrays(words: list[bytes], features: np.ndarray, targets: dict[str, np.n
 
 
 def choose_words(docs: DataFrame, categories: list[str], vocabulary: int) -> list[bytes]:
-    """The words whose document counts depart most from each category's rate; `docs` has text and 0/1 category columns."""
-    total = docs.agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in categories)).first()
+    """The words whose document counts depart most from each category's rate; `docs` has text and 0/1 category columns.
+
+    The texts are read once: their word counts are stored, and every category ranks the stored counts.
+    """
+    total = docs.drop("text").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in categories)).first()
     if not total["n"]:
         return []
 
@@ -153,7 +156,7 @@ def choose_words(docs: DataFrame, categories: list[str], vocabulary: int) -> lis
                 yield pd.DataFrame({"w": list(rows), "n": [r[0] for r in rows.values()], **{c: [r[k + 1] for r in rows.values()] for k, c in enumerate(categories)}})
 
     counted = docs.select("text", *categories).mapInPandas(run, "w binary, n long, " + ", ".join(f"{c} long" for c in categories))
-    sums = counted.groupBy("w").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in categories)).where("n >= 3")
+    sums = store(counted.groupBy("w").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in categories)).where("n >= 3"), "words")
     n = float(total["n"])
     chosen: set[bytes] = set()
     for c in categories:
@@ -183,7 +186,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | N
             features = chain.features(batch["text"]).astype(np.float32)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "f": list(features), **{c: batch[c] for c in names}})
 
-    found = rows.select("doc_id", "text", *names).mapInPandas(run, "doc_id long, f array<float>, " + ", ".join(f"{c} int" for c in names)).toPandas()
+    featured = rows.select("doc_id", "text", *names).mapInPandas(run, "doc_id long, f array<float>, " + ", ".join(f"{c} int" for c in names))
+    found = bounded_rows(featured, F.col("doc_id"), fit_rows).toPandas()  # an id may have any number of rows
     if found.empty:
         chain.models = {c: 0.0 for c in names}
         return chain

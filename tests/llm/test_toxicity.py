@@ -56,3 +56,11 @@ def test_words_are_counted_over_all_labelled_documents(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
     chain = fit_chain(table.select("doc_id", "text"), table.select("doc_id", "quality", "toxic"), fit_rows=20)
     assert b"grumbleword" in chain.words
+
+
+def test_repeated_ids_stay_within_the_bound(spark):
+    """One id on many rows: no more than the bounded number of rows reaches the driver, and the fit still works."""
+    docs = spark.createDataFrame([(1, f"vile words {k}") for k in range(200)] + [(k, f"kind words {k}") for k in range(4, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 1)] + [(k, 1, 0) for k in range(4, 40)], "doc_id long, quality int, toxic int")
+    chain = fit_chain(docs, labels, fit_rows=50)
+    assert set(chain.models) == {"junk", "toxic", "severe"}
