@@ -13,7 +13,8 @@ Characters without a piece become byte pieces, or the unknown id if the model ha
 are neither shuffled nor joined, and the memo of words is bounded by `memo` entries.
 
 Nulls: a null text counts as empty and has no ids. A literal mark character U+2581 is read as a space, as the format does, so such a
-text does not return unchanged; neither does one with a character that has no piece in a model without byte pieces.
+text does not return unchanged; neither does one with a character that has no piece in a model without byte pieces. Very long texts
+are encoded word by word like others; runs of spaces are merged by a queue. Repeated rows give repeated results, an empty table an empty one.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 import re
 from array import array
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +64,7 @@ class Pieces:
             raise ValueError("a piece crosses a word mark")
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.apart: dict[tuple[int, int], bool] = {}
+        self.flat: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         if merges:
             for piece, i in list(self.ids.items()):
                 self.parts[i] = None if len(piece) == 1 else self._last_merge(piece)
@@ -80,17 +83,29 @@ class Pieces:
 
     def merge(self, word: str) -> list[str]:
         """Step-by-step merging: the best-scored adjacent pair first, leftmost on ties."""
-        parts = list(word)
-        while True:
-            best = None
-            for k in range(len(parts) - 1):
-                i = self.ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.score[i] > best[0]):
-                    best = (self.score[i], k)
-            if best is None:
-                return parts
-            k = best[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        parts: list[str | None] = list(word)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        queue: list[tuple[float, int, str]] = []  # candidates by score, then place; stale ones are known by their text
+
+        def offer(k):
+            if k >= 0 and after[k] < len(parts):
+                joined = parts[k] + parts[after[k]]
+                if joined in self.ids:
+                    heappush(queue, (-self.score[self.ids[joined]], k, joined))
+
+        for k in range(len(parts) - 1):
+            offer(k)
+        while queue:
+            _, k, joined = heappop(queue)
+            if parts[k] is None or after[k] >= len(parts) or parts[k] + parts[after[k]] != joined:
+                continue
+            gone = after[k]
+            parts[k], parts[gone], after[k] = joined, None, after[gone]
+            if after[k] < len(parts):
+                before[after[k]] = k
+            offer(before[k])
+            offer(k)
+        return [p for p in parts if p is not None]
 
     def _last_merge(self, piece: str) -> tuple[int, int] | None:
         parts = list(piece)
@@ -207,6 +222,27 @@ class Pieces:
             return [MARK + w for w in text.split(" ")]
         return MARKED_WORD.findall((MARK if self.prefix else "") + text.replace(" ", MARK))
 
+    def decoded_bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all ids end to end, and where each id's bytes end."""
+        if self.flat is None:
+            size = np.fromiter(map(len, self.raw), np.int64, len(self.raw))
+            self.flat = np.frombuffer(b"".join(self.raw), np.uint8), np.cumsum(size) - size, size
+        flat, start, size = self.flat
+        sizes = size[ids]
+        ends = np.cumsum(sizes)
+        return flat[np.repeat(start[ids] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))], ends
+
+    def returns(self, ids: np.ndarray, counts: list[int], texts: list[str]) -> list[bool]:
+        """Whether each text equals its decoded ids, all compared as bytes in one gather."""
+        raw, ends = self.decoded_bytes(ids)
+        line, ends = raw.tobytes(), np.concatenate([[0], ends])
+        edges = ends[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        out = []
+        for a, b, text in zip(edges, edges[1:], texts):
+            a += self.prefix and line[a : min(a + 1, b)] == b" "
+            out.append(line[a:b] == text.encode("utf-8", "surrogatepass"))
+        return out
+
     def decode(self, ids) -> str:
         """The text of a sequence of ids; bytes that are no UTF-8 become U+FFFD."""
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
@@ -236,9 +272,10 @@ def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", memo:
                     fresh = set().union(*split)
                 known |= pieces.segment(list(fresh))
                 parts = [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
-                same = [pieces.decode(ids.tolist()) == text for ids, text in zip(parts, texts)]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
+                sizes, flat = [len(x) for x in parts], np.concatenate(parts)
+                same = pieces.returns(flat, sizes, texts)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 counts = pa.array(np.diff(offsets), pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], ids, counts, pa.array(same, pa.bool_())], names=[*names, "ids", "n_ids", "round_trip"])
 

@@ -1,6 +1,8 @@
 import random
+import time
 from array import array
 
+import numpy as np
 import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2
@@ -82,3 +84,20 @@ def test_table_round_trip(spark, library):
 def test_memo_is_bounded(spark, library, small_docs):
     for r in encode_texts(small_docs, MODEL, memo=10).collect():
         assert r.ids == library.encode(r.text or "")
+
+
+def test_runs_of_spaces_are_linear_and_equal_library(library):
+    pieces = load_pieces(MODEL)
+    for text in ("a" + " " * 37 + "b", " " * 5000 + "x", "  y" * 50, " " * 16):
+        assert ids_of(pieces, text) == library.encode(text)
+    began = time.time()
+    pieces.segment(pieces.marked_words(" " * 100_000))
+    assert time.time() - began < 3
+
+
+def test_bytes_comparison_equals_decoding():
+    pieces = load_pieces(MODEL)
+    texts = ["", " ", "a b", " lead", "é中😀", "▁ mark", "�", "tail  ", "x" * 500]
+    ids = [np.array(ids_of(pieces, text), np.int32) for text in texts]
+    same = pieces.returns(np.concatenate(ids), [len(x) for x in ids], texts)
+    assert same == [pieces.decode(x.tolist()) == t for x, t in zip(ids, texts)]
