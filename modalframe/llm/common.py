@@ -30,6 +30,14 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one that no column of `df` has (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words_of(text: str | None) -> list[bytes]:
     """UTF-8 words `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z only: on bytes, lower() and split() do exactly that."""
     return text.encode().lower().split() if text else []
@@ -95,19 +103,19 @@ def _forest(batches, a: str, b: str, chunk: int):
         yield reduce(held)
 
 
-def components(edges: DataFrame, a: str, b: str, chunk: int = 1_000_000, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, chunk: int = 1_000_000) -> DataFrame:
     """(node, component): smallest node reachable over undirected `edges` of two long columns; isolated nodes are absent.
 
     Alternates large-star and small-star steps. Each task first turns its edges into a spanning forest, so a large group
     costs one edge per member, not one per pair. Each round is stored in the shared folder; the driver sees one count and
-    one checksum a round. More than `rounds` rounds is an error rather than a wrong result.
+    one checksum a round. Rounds go on until nothing changes (their number grows with the logarithm of the longest chain).
     """
     spark = edges.sparkSession
     schema = "a long, b long"
     pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
     stars = store(pairs.mapInPandas(lambda it: _forest(it, "a", "b", chunk), schema).distinct(), "edges")
     last = None
-    for _ in range(rounds):
+    while True:
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # every neighbour of a node, and the node, meets the smallest of them
@@ -120,6 +128,4 @@ def components(edges: DataFrame, a: str, b: str, chunk: int = 1_000_000, rounds:
         if mark == last:
             break
         last = mark
-    else:
-        raise RuntimeError("components did not settle")
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))

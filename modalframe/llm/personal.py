@@ -20,6 +20,8 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -76,7 +78,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Merged surroundings of anchors: runs of seven digits in `REACH` characters, and @ signs. Cut at line ends."""
+    """Merged surroundings of anchors: runs of seven digits in `REACH` characters, and @ signs."""
     spans: list[list[int]] = []
     for m in re.finditer(r"[0-9][0-9\x20().+/-]{5,}[0-9]|[0-9]+(?:\.[0-9]+){2,}|@", text):
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
@@ -262,6 +264,7 @@ def fit_field(docs: DataFrame, fit_docs: int = FIT_DOCS, per_doc: int = 3) -> di
             yield pd.DataFrame({"w": found})
 
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text").mapInPandas(run, "w string").distinct()
+    rows = bounded_rows(rows, F.col("w"), fit_docs * per_doc)  # an id may have any number of rows
     return fit(sorted(r.w for r in rows.collect()))
 
 
@@ -273,11 +276,12 @@ def all_spans(text: str | None, weights: dict[str, float]) -> tuple[list, list]:
     added = []
     taken = sorted((a, b) for _, a, b in base)
     starts = [a for a, _ in taken]
+    reach = list(accumulate((b for _, b in taken), max))  # the furthest stop of a span and all before it: spans may lie inside each other
     for lo, hi in regions(text):
         for kind, a, b in decode(text[lo:hi], weights):
             a, b = a + lo, b + lo
-            k = np.searchsorted(starts, b)
-            if not any(p < b and a < q for p, q in taken[max(0, k - 8) : k]):
+            k = bisect_left(starts, b)
+            if not k or reach[k - 1] <= a:
                 added.append((kind, a, b))
     return base, added
 

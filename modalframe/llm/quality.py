@@ -144,11 +144,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
 
     def run(batches):
         for batch in batches:
-            yield pd.DataFrame({"k": batch["k"], "f": list(feature_matrix(batch["text"]))})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "f": list(feature_matrix(batch["text"]))})
 
-    both = positive.withColumn("k", F.lit(1)).unionByName(unlabelled.withColumn("k", F.lit(0))).select("k", "text")
-    rows = both.mapInPandas(run, "k int, f array<double>").toPandas()
-    p, u = (np.array(rows.loc[rows["k"] == k, "f"].tolist()) for k in (1, 0))
+    def features(rows, most):  # an id may have any number of rows: rows are bounded once more
+        found = rows.select("doc_id", "text").mapInPandas(run, "doc_id long, f array<double>")
+        return np.array(bounded_rows(found, F.col("doc_id"), most).toPandas()["f"].tolist())
+
+    p, u = features(positive, 2 * fit_rows), features(unlabelled, fit_rows)
     return fit_arrays(p, u) if len(p) and len(u) else None
 
 

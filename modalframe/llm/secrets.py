@@ -244,8 +244,13 @@ def find_secrets(docs: DataFrame, q: float = 0.01, alpha: float = 0.003) -> Data
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", q: float = 0.01, alpha: float = 0.003) -> DataFrame:
-    """`docs` with every span, overlapping ones as one, replaced by `mark` in `text`; `n_chars`, where there is one, follows the text."""
-    found = scan_spans(docs, q, alpha)
+    """`docs` with every span, overlapping ones as one, replaced by `mark` in `text`; `n_chars`, where there is one, follows the text.
+
+    All other columns come back unchanged, whatever their names; an empty table gives an empty result.
+    """
+    columns = {c: docs[c] for c in docs.columns}
+    # the caller's columns travel in one struct, so no name of theirs meets one of ours
+    found = scan_spans(docs.select(F.struct(*columns.values()).alias("row"), docs["text"].alias("text")), q, alpha)
     s, old = F.col("__secrets"), F.col("text")
     spans = F.array_sort(F.transform(F.concat(*(s[k] for k in KINDS)), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"))))
 
@@ -256,6 +261,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", q: float = 0.01, alpha: floa
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     done = F.aggregate(spans, start, step, lambda x: F.concat(x["out"], F.substring(old, x["at"] + 1, F.length(old))))
     named = found.withColumn("__redacted", F.when(F.size(spans) > 0, done).otherwise(old))
-    length = F.when(F.size(s["assign"]) + F.size(s["access"]) + F.size(s["hex"]) + F.size(s["random"]) > 0, F.length("__redacted")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    new = {"text": F.col("__redacted"), "n_chars": length if length is None else length.cast(docs.schema["n_chars"].dataType)}
-    return named.select(*(new[c].alias(c) if c in new else named[c] for c in docs.columns))
+    row, new = F.col("row"), {"text": F.col("__redacted")}
+    if "n_chars" in columns:
+        new["n_chars"] = F.when(F.size(spans) > 0, F.length("__redacted")).otherwise(row["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return named.select(*(new.get(c, row[c]).alias(c) for c in columns))

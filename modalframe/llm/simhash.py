@@ -8,7 +8,8 @@ with all below them. A task reports a spanning forest of the links it finds, nev
 
 Nulls: a null text counts as empty, and an empty text has fingerprint zero and links like any other. A row without id gets a
 fingerprint and the component of its fingerprint; it can bridge documents and is a representative only where its component
-has no id at all (such a component has a null component_id). Repeated rows give repeated results. Extra columns are ignored.
+has no id at all (such a component has a null component_id). Repeated rows give repeated results. Extra columns are ignored by the
+components and returned unchanged by `keep_representatives`, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UnionFind, components, store, words_of
+from .common import UnionFind, components, free_name, store, words_of
 
 LEAF = 2048  # node pairs with at most so many value pairs are compared directly
 CHUNK = 65_536
@@ -210,8 +211,9 @@ def simhash_components(docs: DataFrame, budget: int = 4, width: int = 4, blocks:
 
 def keep_representatives(docs: DataFrame, budget: int = 4, width: int = 4, blocks: int | None = None) -> DataFrame:
     """Exactly one row of `docs` for each component: the one with the smallest id (rows without id last), of several the first stored."""
-    numbered = store(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")  # stored, so row numbers stay
-    fps = store(fingerprints(numbered, width=width, keys=("__row",)), "fingerprints")
+    row = free_name(docs, "__row")
+    numbered = store(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")  # stored, so row numbers stay
+    fps = store(fingerprints(numbered, width=width, keys=(row,)), "fingerprints")
     named = fps.join(_fingerprint_components(fps, budget, blocks).select("fp", "c"), "fp")
-    first = named.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"))
-    return numbered.join(first.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*(numbered[c] for c in docs.columns))
+    first = named.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)).alias("first"))
+    return numbered.join(first.select(F.col("first")[row].alias(row)), row, "left_semi").select(*(numbered[c] for c in docs.columns))

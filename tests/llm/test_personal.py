@@ -98,3 +98,12 @@ def test_rows_and_edges(spark):
         assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest() and set(filter(None, listed.split(","))) <= set(r.spans.split(","))
     assert find_personal_data(docs.limit(0)).count() == 0
     assert fit([]) == {} and luhn("4539578763621486")
+
+
+def test_added_spans_overlap_no_base_span():
+    """A long base span with many others inside it: nothing may be added inside it, however many spans begin between."""
+    text = "call " + "a@" + "@".join(f"b{k}.cc" for k in range(3)) + " " + ".".join(["x@y.zz"] * 1) + " mail " + "1.2.3.4@" * 10 + "d.ee 4111 1111 1111 1111"
+    heavy = {f"{kind} bias": 50.0 for kind in KINDS} | {f"{k}:bias": 50.0 for k in range(len(KINDS))}
+    for weights in ({}, heavy):
+        base, added = all_spans(text, weights)
+        assert base and not any(p < b and a < q for _, a, b in added for _, p, q in base)

@@ -146,3 +146,8 @@ def test_tokens_without_digits_beside_marks_and_short(spark):
     for name in kinds:
         assert sum(got[d].n_random + got[d].n_hex > 0 for d, n, _ in rows if n == name) >= 8, name
     assert all(got[d].n_random <= 1 for d, _, _ in rows)
+
+
+def test_redaction_returns_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "password: abcdefghijkl99", "mine", "own", "r", "s")], "doc_id long, text string, __redacted string, __secrets string, row string, spans string")
+    assert [tuple(r) for r in redact(docs).collect()] == [(1, "[SECRET]", "mine", "own", "r", "s")]

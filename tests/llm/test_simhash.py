@@ -107,3 +107,8 @@ def test_one_row_stays_of_each_component(spark, rng):
     kept = keep_representatives(docs)
     assert kept.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, a), (5, b), (None, c), (7, d)], key=str)
+
+
+def test_clashing_names_come_back(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", "own", "x"), (2, "a b c d e", "own", "y"), (3, "other words here now then", "mine", "z")], "doc_id long, text string, __row string, __ROW_ string")
+    assert sorted(map(tuple, keep_representatives(docs).collect())) == [(1, "a b c d e", "own", "x"), (3, "other words here now then", "mine", "z")]
