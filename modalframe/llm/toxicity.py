@@ -178,7 +178,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | N
     flags = flags.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in names)).where(crc_fold(F.col("doc_id"), modulus) != held)
     ids = bounded_rows(flags, F.col("doc_id"), fit_rows)
     texts = docs.select("doc_id", "text")
-    chain = Chain(choose_words(texts.join(flags, "doc_id"), names, vocabulary))
+    # by merge at every size: were the flags broadcast while small, small runs would say nothing about large ones
+    chain = Chain(choose_words(texts.join(flags.hint("merge"), "doc_id"), names, vocabulary))
     rows = texts.join(F.broadcast(ids), "doc_id")
 
     def run(batches):
