@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from modalframe.functions.patterns import FLAGS
 from modalframe.functions.vectors import vector_text
 from modalframe.operators import models
+from modalframe.operators.cohort import eligible_subjects
 from modalframe.plans.cohort import build_features
 from modalframe.plans.predict import prepare_dataset, train_and_predict, with_flag_features
 from modalframe.session import materialize
@@ -15,6 +15,7 @@ from modalframe.sources import records
 
 from .q_cohort import WIDE_TABLES
 from .q_vectors import E, EXPLODED, flags, four_modalities, long_form, r5
+from .record_fixture import write_records
 from .registry import query, sql
 from .views import view
 
@@ -42,17 +43,23 @@ def modality_impute(spark, sf_dir):
     return filled.select("vec_id", *FLAGS, vector_text("filled").alias("filled"))
 
 
-def record_files(spark, sf_dir):
-    """Every image vector as a record file: the (path, content) relation a binary-file scan would give."""
+_COHORT = """co AS (SELECT DISTINCT a.subject_id FROM v_admissions a JOIN v_patients p ON a.subject_id = p.subject_id
+ WHERE p.anchor_year_group IN ('2008 - 2010', '2011 - 2013', '2014 - 2016', '2017 - 2019'))"""
+_R = (*E, "v_admissions", "v_patients")
 
-    @F.pandas_udf("binary")
-    def encode(v: pd.Series) -> pd.Series:
-        return v.map(records.encode_vector)
 
-    path = F.concat(records.subject_folder("subject_id"), F.lit("/s"), "study_id", F.lit("/"), "vec_id", F.lit(".tfrecord"))
-    return view(spark, sf_dir, "v_image_embeddings").select(path.alias("path"), encode("embedding").alias("content"))
+def scanned(spark, sf_dir):
+    """The embeddings written as record files, scanned for the cohort; the files of all other subjects are never listed."""
+    base = write_records(spark, view(spark, sf_dir, "v_image_embeddings"))
+    return records.scan_records(spark, base, eligible_subjects(view(spark, sf_dir, "v_patients"), view(spark, sf_dir, "v_admissions")), bundle=16)
 
 
-@query("record_scan", sql(E, [EXPLODED], f"SELECT subject_id, 's' || study_id AS study_id, CAST(vec_id AS VARCHAR) AS file, CAST(pos AS INT) AS pos, {r5('x')} AS value FROM ex"))
+@query("record_scan", sql(_R, [_COHORT, EXPLODED], f"SELECT subject_id, 's' || study_id AS study_id, CAST(vec_id AS VARCHAR) AS file, CAST(pos AS INT) AS pos, {r5('x')} AS value FROM ex WHERE subject_id IN (SELECT subject_id FROM co)"))
 def record_scan(spark, sf_dir):
-    return long_form(records.readable(records.decode_records(record_files(spark, sf_dir))), ["subject_id", "study_id", "file"], "embedding")
+    return long_form(records.readable(scanned(spark, sf_dir)), ["subject_id", "study_id", "file"], "embedding")
+
+
+@query("record_scan_errors", sql(_R, [_COHORT], """SELECT subject_id, 's' || study_id AS study_id, vec_id || t.twin AS file, 'ValueError: corrupt record' AS error
+ FROM v_image_embeddings, (VALUES ('-flipped', 1), ('-cut', 2)) t(twin, place) WHERE embedding[place] < 0 AND subject_id IN (SELECT subject_id FROM co)"""))
+def record_scan_errors(spark, sf_dir):
+    return scanned(spark, sf_dir).filter(F.col("error").isNotNull()).drop("embedding")

@@ -13,6 +13,7 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.python.filterPushdown.enabled": "true",
 }
 
 
@@ -46,10 +47,25 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     The scan survives executor loss, carries real size statistics for the next plan, and keeps column pruning,
     which a cached or checkpointed plan does not.
     """
-    spark = df.sparkSession
-    path = f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return materialize_at(df, name)[0]
+
+
+def materialize_at(df: DataFrame, name: str = "stage") -> tuple[DataFrame, str]:
+    """As `materialize`, and where the table lies."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A place of its own in the shared folder."""
+    return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """`path` with the scheme of the file system that Spark would use for it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
 
 
 def small_table(df: DataFrame, max_rows: int) -> DataFrame:

@@ -1,17 +1,37 @@
 """Vectors stored one per record file: `p{sid div 1e6}/p{sid}/{study}/*.tfrecord`.
 
-Spark lists and reads the files; the Python helper only decodes the first record of each.
+`scan_records` reads them through a data source. Given a cohort, the source plans one partition per bundle of cohort subjects, and a task lists and
+reads the folders of its own subjects only: folders of other subjects are never listed, and the driver sees neither ids nor file names.
+Without a cohort it plans shares of the top folders (one for each million subjects), and filters on `subject_id` prune them.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+)
+
+from ..session import materialize_at, qualified
 
 SUBJECTS_PER_FOLDER = 1_000_000
 FEATURE = "embedding"
@@ -133,22 +153,27 @@ def decode_payload(payload: bytes, feature: str = FEATURE) -> list[float]:
     return out
 
 
+def decode_contents(contents: list[bytes], feature: str = FEATURE) -> tuple[list[list[float] | None], list[str | None]]:
+    """(vectors, errors) of files: one of the two is None for each; an unreadable file is reported, not fatal."""
+    vectors, errors = [], []
+    for payload in (p for k in range(0, len(contents), CHECKED) for p in first_records(contents[k : k + CHECKED])):
+        try:
+            if payload is None:
+                raise ValueError("corrupt record")
+            vectors.append(decode_payload(payload, feature))
+            errors.append(None)
+        except Exception as e:  # noqa: BLE001
+            vectors.append(None)
+            errors.append(f"{type(e).__name__}: {e}")
+    return vectors, errors
+
+
 def decode_records(files: DataFrame) -> DataFrame:
     """`(path, content)` -> `(subject_id, study_id, file, embedding, error)`; `error` is NULL for good files."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            vectors, errors = [], []
-            payloads = [p for k in range(0, len(batch), CHECKED) for p in first_records([bytes(c) for c in batch["content"].iloc[k : k + CHECKED]])]
-            for payload in payloads:
-                try:
-                    if payload is None:
-                        raise ValueError("corrupt record")
-                    vectors.append(decode_payload(payload))
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001 - an unreadable file is reported, not fatal
-                    vectors.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
+            vectors, errors = decode_contents([bytes(c) for c in batch["content"]])
             yield pd.DataFrame({"path": batch["path"], "embedding": vectors, "error": pd.Series(errors, dtype=object)})
 
     raw = files.select("path", "content").mapInPandas(decode, "path string, embedding array<float>, error string")
@@ -161,36 +186,133 @@ def decode_records(files: DataFrame) -> DataFrame:
     )
 
 
-def scan_records(spark: SparkSession, base_dir: str, subjects: DataFrame | None = None) -> DataFrame:
-    """Every readable record file below `base_dir`, limited to `subjects` before any file content is decoded."""
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.tfrecord").option("recursiveFileLookup", "true").load(base_dir)
-    )
+def open_store(uri: str) -> tuple[pa_fs.FileSystem, str]:
+    """File system and path of a qualified location."""
+    if uri.startswith("file:"):
+        return pa_fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return pa_fs.FileSystem.from_uri(uri) if ":" in uri else (pa_fs.LocalFileSystem(), uri)
+
+
+@dataclass
+class Bundle(InputPartition):
+    """Rows [start, stop) of a stored cohort file, or share `start` of `stop` of one top folder."""
+
+    source: str
+    start: int
+    stop: int
+    of_cohort: bool
+
+
+class RecordReader(DataSourceReader):
+    def __init__(self, base: str, cohort: str | None, bundle: int, shares: int, feature: str) -> None:
+        self.base, self.cohort, self.bundle, self.shares, self.feature = base, cohort, bundle, shares, feature
+        self.low, self.high, self.chosen = float("-inf"), float("inf"), None
+
+    def pushFilters(self, filters):  # noqa: N802 - the interface's name
+        """Comparisons of `subject_id` with values prune the listing; all others are left to Spark."""
+        for f in filters:
+            if getattr(f, "attribute", None) != ("subject_id",):
+                yield f
+            elif isinstance(f, EqualTo):
+                self.low, self.high = max(self.low, f.value), min(self.high, f.value)
+            elif isinstance(f, In):
+                values = set(f.value)
+                self.chosen = values if self.chosen is None else self.chosen & values
+            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+            elif isinstance(f, (LessThan, LessThanOrEqual)):
+                self.high = min(self.high, f.value - isinstance(f, LessThan))
+            else:
+                yield f
+
+    def wanted(self, subject: int) -> bool:
+        return self.low <= subject <= self.high and (self.chosen is None or subject in self.chosen)
+
+    def partitions(self):
+        store, root = open_store(self.cohort or self.base)
+        entries = store.get_file_info(pa_fs.FileSelector(root, allow_not_found=True))
+        if self.cohort:
+            sizes = {e.path: pq.read_metadata(e.path, filesystem=store).num_rows for e in entries if e.path.endswith(".parquet")}
+            return [Bundle(path, at, min(at + self.bundle, n), True) for path, n in sorted(sizes.items()) for at in range(0, n, self.bundle)]
+        out = []
+        for e in sorted(entries, key=lambda e: e.path):
+            if e.type == pa_fs.FileType.Directory and re.fullmatch(r"p\d+", e.base_name):
+                first = int(e.base_name[1:]) * SUBJECTS_PER_FOLDER
+                inside = self.low < first + SUBJECTS_PER_FOLDER and first <= self.high
+                if inside and (self.chosen is None or any(c // SUBJECTS_PER_FOLDER == first // SUBJECTS_PER_FOLDER for c in self.chosen)):
+                    out += [Bundle(e.path, k, self.shares, False) for k in range(self.shares)]
+        return out
+
+    def subjects(self, part: Bundle) -> Iterator[int]:
+        if part.of_cohort:
+            store, _ = open_store(self.cohort)
+            ids = pq.read_table(part.source, columns=["subject_id"], filesystem=store)["subject_id"]
+            yield from (i for i in ids.slice(part.start, part.stop - part.start).to_pylist() if i is not None and i >= 0)
+        else:
+            store, _ = open_store(self.base)
+            for e in store.get_file_info(pa_fs.FileSelector(part.source)):
+                if re.fullmatch(r"p\d+", e.base_name) and int(e.base_name[1:]) % part.stop == part.start:
+                    yield int(e.base_name[1:])
+
+    def read(self, partition: Bundle):
+        store, root = open_store(self.base)
+        found: list[tuple[int, str, str, bytes]] = []
+        for subject in filter(self.wanted, self.subjects(partition)):
+            folder = f"{root}/p{subject // SUBJECTS_PER_FOLDER}/p{subject}"
+            for e in sorted(store.get_file_info(pa_fs.FileSelector(folder, recursive=True, allow_not_found=True)), key=lambda e: e.path):
+                steps = e.path[len(folder) + 1 :].split("/")
+                if e.type == pa_fs.FileType.File and len(steps) == 2 and steps[1].endswith(".tfrecord"):
+                    with store.open_input_stream(e.path) as file:
+                        found.append((subject, steps[0], steps[1].removesuffix(".tfrecord"), file.read()))
+                    if len(found) >= CHECKED:
+                        yield self.batch(found)
+                        found = []
+        if found:
+            yield self.batch(found)
+
+    def batch(self, found: list[tuple[int, str, str, bytes]]) -> pa.RecordBatch:
+        subjects, studies, files, contents = zip(*found)
+        vectors, errors = decode_contents(list(contents), self.feature)
+        columns = [pa.array(subjects, pa.int64()), pa.array(studies), pa.array(files), pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["subject_id", "study_id", "file", "embedding", "error"])
+
+
+class RecordFiles(DataSource):
+    """Format `record_files`: `path`, and optionally `cohort` (a stored table of `subject_id`), `bundle` (subjects a partition), `shares`, `feature`."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "record_files"
+
+    def schema(self) -> str:
+        return "subject_id long, study_id string, file string, embedding array<float>, error string"
+
+    def reader(self, schema) -> RecordReader:
+        o = self.options
+        return RecordReader(o["path"], o.get("cohort"), int(o.get("bundle", 2000)), int(o.get("shares", 8)), o.get("feature", FEATURE))
+
+
+def scan_records(spark: SparkSession, base_dir: str, subjects: DataFrame | None = None, bundle: int = 2000) -> DataFrame:
+    """Every record file below `base_dir` as `(subject_id, study_id, file, embedding, error)`; with `subjects`, only theirs are listed and read.
+
+    The cohort's distinct ids are stored once; tasks read their slice of them. For stores that only Spark reaches use `scan_records_by_spark`.
+    """
+    spark.dataSource.register(RecordFiles)
+    reader = spark.read.format(RecordFiles.name()).option("bundle", bundle)
     if subjects is not None:
-        files = files.withColumn("subject_id", F.regexp_extract("path", PATH_PATTERN, 1).try_cast("long"))
-        files = files.join(subjects.select("subject_id"), "subject_id", "left_semi")
-    return decode_records(files)
+        cohort, path = materialize_at(subjects.select(F.col("subject_id").cast("long")).where("subject_id is not null").distinct(), "cohort")
+        reader = reader.option("cohort", qualified(spark, path))
+    return reader.load(qualified(spark, base_dir))
 
 
-def readable(records: DataFrame) -> DataFrame:
-    return records.filter(F.col("error").isNull()).drop("error")
-
-
-def encode_vector(vector: np.ndarray, feature: str = FEATURE) -> bytes:
-    """A one-record file holding `vector` under `feature` (the inverse of `decode_vector`)."""
-
-    def varint(n: int) -> bytes:
-        out = bytearray()
-        while n >= 0x80:
-            out.append(n & 0x7F | 0x80)
-            n >>= 7
-        return bytes([*out, n])
+def scan_records_by_spark(spark: SparkSession, base_dir: str, subjects: DataFrame | None = None) -> DataFrame:
+    """The same rows through Spark's own file listing: all file names are listed, contents are read for `subjects` only after a semi-join of the paths."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.tfrecord").option("recursiveFileLookup", "true").load(base_dir)
+    if subjects is not None:
+        listed = listed.withColumn("subject_id", F.regexp_extract("path", PATH_PATTERN, 1).try_cast("long"))
+        listed = listed.join(subjects.select("subject_id"), "subject_id", "left_semi")
+    return decode_records(listed)
 
-    def field(number: int, body: bytes) -> bytes:
-        return varint(number << 3 | 2) + varint(len(body)) + body
 
-    floats = field(1, np.asarray(vector, dtype="<f4").tobytes())
-    entry = field(1, feature.encode()) + field(2, field(2, floats))
-    payload = field(1, field(1, entry))
-    size = struct.pack("<Q", len(payload))
-    return size + struct.pack("<I", masked_crc(size)) + payload + struct.pack("<I", masked_crc(payload))
+def readable(records: DataFrame) -> DataFrame:
+    return records.filter(F.col("error").isNull()).drop("error")

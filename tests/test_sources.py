@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catalog.record_fixture import encode_vector
 from modalframe.sources import records, sinks, tables
 from modalframe.sources.wide import from_wide, to_wide
 
@@ -74,27 +75,49 @@ def test_wide_layout_round_trip(spark):
 def test_record_scan(spark, tmp_path):
     rng = np.random.default_rng(0)
     vec = rng.normal(size=200).astype(np.float32)
-    good = records.encode_vector(vec)
+    good = encode_vector(vec)
     flipped = bytearray(good)
     flipped[40] ^= 1
     base = f"{tmp_path}/files"
     write(f"{base}/p10/p10000032/s1/a.tfrecord", good + good)  # only the first record counts
     write(f"{base}/p10/p10000032/s2/b.tfrecord", bytes(flipped))
     write(f"{base}/p0/p7/s3/c.tfrecord", b"xx")
-    write(f"{base}/p0/p7/s3/d.tfrecord", records.encode_vector(vec[:3]))
+    write(f"{base}/p0/p7/s3/d.tfrecord", encode_vector(vec[:3]))
     write(f"{base}/p0/p7/s3/note.txt", "x")
     out = {(r["subject_id"], r["study_id"], r["file"]): r for r in records.scan_records(spark, base).collect()}
     assert out[(10000032, "s1", "a")]["embedding"] == pytest.approx(vec.tolist())
     assert "corrupt" in out[(10000032, "s2", "b")]["error"] and out[(7, "s3", "c")]["error"] is not None
     only = records.readable(records.scan_records(spark, base, spark.createDataFrame([(7,), (8,)], "subject_id long"))).collect()
     assert [(r["subject_id"], r["file"]) for r in only] == [(7, "d")]
+    by_spark = {(r["subject_id"], r["study_id"], r["file"]) for r in records.scan_records_by_spark(spark, base).collect()}
+    assert by_spark == set(out) and records.readable(records.scan_records_by_spark(spark, base, spark.createDataFrame([(7,)], "subject_id long"))).count() == 1
     folders = spark.createDataFrame([(10000032,), (7,)], "s long").select(records.subject_folder("s").alias("f")).collect()
     assert [r["f"] for r in folders] == ["p10/p10000032", "p0/p7"]
 
 
+def test_record_scan_lists_cohort_folders_only(spark, tmp_path):
+    base = f"{tmp_path}/files"
+    for sid in range(40):
+        write(f"{base}/p0/p{sid}/s1/v.tfrecord", encode_vector(np.full(4, sid, np.float32)))
+    write(f"{base}/p3/p3000001/s1/v.tfrecord", encode_vector(np.zeros(2, np.float32)))
+    cohort = spark.createDataFrame([(3,), (5,), (3,), (None,), (77,)], "subject_id long")
+    got = records.scan_records(spark, base, cohort, bundle=1)
+    assert sorted(r["subject_id"] for r in got.collect()) == [3, 5]
+    ranges = records.RecordReader(base, None, 10, 4, "embedding")
+    assert len(ranges.partitions()) == 8
+    left = list(ranges.pushFilters([records.GreaterThan(("subject_id",), 37), records.LessThan(("subject_id",), 1000), records.EqualTo(("file",), "v")]))
+    assert len(left) == 1 and len(ranges.partitions()) == 4
+    assert sorted(s for p in ranges.partitions() for b in ranges.read(p) for s in b.column(0).to_pylist()) == [38, 39]
+    picked = records.RecordReader(base, None, 10, 2, "embedding")
+    assert not list(picked.pushFilters([records.In(("subject_id",), (1, 3000001))]))
+    assert sorted(s for p in picked.partitions() for b in picked.read(p) for s in b.column(0).to_pylist()) == [1, 3000001]
+    plain = records.scan_records(spark, base).where("subject_id >= 39")
+    assert sorted(r["subject_id"] for r in plain.collect()) == [39, 3000001]
+
+
 def test_checksum_and_other_features():
     assert records.masked_crc(b"123456789") == ((0xE3069283 >> 15 | 0xE3069283 << 17) + 0xA282EAD8) & 0xFFFFFFFF
-    assert records.decode_vector(records.encode_vector([1.0], "other")) == []
+    assert records.decode_vector(encode_vector([1.0], "other")) == []
     with pytest.raises(struct.error):
         records.decode_vector(b"abc")
 
