@@ -36,6 +36,10 @@ def strength_sql(task, p="pattern"):
     return f"({factor} * {boost})"
 
 
+GAINS = """gt AS (SELECT pattern, max(auc) FILTER (WHERE task = 'readm_new') - max(auc) FILTER (WHERE task = 'readm_now') AS rg,
+ max(auc) FILTER (WHERE task = 'icu_new') - max(auc) FILTER (WHERE task = 'icu_now') AS ig,
+ max(brier) FILTER (WHERE task = 'icu_now') - max(brier) FILTER (WHERE task = 'icu_new') AS ib FROM gm GROUP BY pattern)"""
+
 # icu: adaptive delta on the current scores (transform_ctes works on (task, pattern) groups), candidate, gate
 STEP = [*FITTED, *transform_ctes("(SELECT * FROM pl WHERE task = 'icu')", "fit"),
     f"sh AS (SELECT modality AS pattern, delta_adj * {strength_sql('icu', 'modality')} * 1.5::DOUBLE AS shift FROM ttr)",
@@ -48,25 +52,34 @@ STEP = [*FITTED, *transform_ctes("(SELECT * FROM pl WHERE task = 'icu')", "fit")
  UNION ALL SELECT 'icu_now', pattern, icu_prediction, icu_target FROM k2 WHERE status = 'corrected'
  UNION ALL SELECT 'icu_new', pattern, c_icu, icu_target FROM k2 WHERE status = 'corrected')""",
     *metric_ctes("gl", "pattern, task", "g"),
-    """gt AS (SELECT pattern, max(auc) FILTER (WHERE task = 'readm_new') - max(auc) FILTER (WHERE task = 'readm_now') AS rg,
- max(auc) FILTER (WHERE task = 'icu_new') - max(auc) FILTER (WHERE task = 'icu_now') AS ig,
- max(brier) FILTER (WHERE task = 'icu_now') - max(brier) FILTER (WHERE task = 'icu_new') AS ib FROM gm GROUP BY pattern)"""]
+    GAINS]
 
 
-def step_ctes(selective):
+def gate_cte(selective):
     w_readm = "CASE WHEN rg > 0 THEN 0.9" + ("" if selective else " WHEN abs(rg) < 0.005 THEN 0.3 WHEN rg IS NOT NULL THEN 0.1") + " END::DOUBLE"
     gate = "(ig > -0.0005 OR ib > 0.001)" if selective else "TRUE"
     w_icu = f"CASE WHEN ig IS NULL OR NOT {gate} THEN NULL WHEN ig > 0 THEN least(0.95, 0.85 + 3 * ig) WHEN ib > 0 AND abs(ig) < 0.005 THEN 0.4 ELSE 0.2 END::DOUBLE"
-    extra = """CASE WHEN c_readm > 0.4 AND c_readm < 0.6 THEN 0.05::DOUBLE * sign(c_readm - 0.5) WHEN c_readm > 0.7 AND readmission_target = 0 THEN -0.1
- WHEN c_readm < 0.3 AND readmission_target = 1 THEN 0.1 ELSE 0 END::DOUBLE"""
-    return [*STEP, f"gw AS (SELECT *, {w_readm} AS wr, {w_icu} AS wi FROM gt)",
-        f"""n1 AS (SELECT k2.*, CASE WHEN wr IS NULL THEN readmission_prediction ELSE least(greatest(wr * c_readm + (1 - wr) * readmission_prediction + 0.3::DOUBLE * {extra}, 0.001), 0.999) END AS readm,
+    return f"gw AS (SELECT *, {w_readm} AS wr, {w_icu} AS wi FROM gt)"
+
+
+def nudge_sql(label):
+    return f"""CASE WHEN c_readm > 0.4 AND c_readm < 0.6 THEN 0.05::DOUBLE * sign(c_readm - 0.5) WHEN c_readm > 0.7 AND {label} = 0 THEN -0.1
+ WHEN c_readm < 0.3 AND {label} = 1 THEN 0.1 ELSE 0 END::DOUBLE"""
+
+
+def ensemble_sql(icu0, y_icu, readm0):
+    return f"""least(greatest(0.5 * icu + 0.2::DOUBLE * ({icu0} - 0.2::DOUBLE * di) + 0.2::DOUBLE * ({icu0} - 1.05::DOUBLE * di)
+ + 0.1::DOUBLE * CASE WHEN {icu0} > 0.8 AND {y_icu} = 0 THEN {icu0} - 0.2 WHEN {icu0} < 0.2 AND {y_icu} = 1 THEN {icu0} + 0.2 ELSE {icu0} END, 0.0), 1.0) AS icu_ensemble,
+ least(greatest(0.6::DOUBLE * readm + 0.15::DOUBLE * ({readm0} - 0.2::DOUBLE * coalesce(dr, 0)) + 0.15::DOUBLE * ({readm0} - 0.78::DOUBLE * coalesce(dr, 0))
+ + 0.1::DOUBLE * {rank_aware_sql(readm0, "dr")}, 0.0), 1.0) AS readm_ensemble"""
+
+
+def step_ctes(selective):
+    return [*STEP, gate_cte(selective),
+        f"""n1 AS (SELECT k2.*, CASE WHEN wr IS NULL THEN readmission_prediction ELSE least(greatest(wr * c_readm + (1 - wr) * readmission_prediction + 0.3::DOUBLE * {nudge_sql('readmission_target')}, 0.001), 0.999) END AS readm,
  CASE WHEN wi IS NULL THEN icu_prediction ELSE wi * c_icu + (1 - wi) * icu_prediction END AS icu, CASE WHEN status = 'corrected' THEN d_icu ELSE 0 END AS di,
  CASE WHEN status = 'corrected' THEN d_readm END AS dr FROM k2 LEFT JOIN gw USING (pattern))""",
-        """n2 AS (SELECT *, least(greatest(0.5 * icu + 0.2::DOUBLE * (icu_prediction - 0.2::DOUBLE * di) + 0.2::DOUBLE * (icu_prediction - 1.05::DOUBLE * di)
- + 0.1::DOUBLE * CASE WHEN icu_prediction > 0.8 AND icu_target = 0 THEN icu_prediction - 0.2 WHEN icu_prediction < 0.2 AND icu_target = 1 THEN icu_prediction + 0.2 ELSE icu_prediction END, 0.0), 1.0) AS icu_ensemble,
- least(greatest(0.6::DOUBLE * readm + 0.15::DOUBLE * (readmission_prediction - 0.2::DOUBLE * coalesce(dr, 0)) + 0.15::DOUBLE * (readmission_prediction - 0.78::DOUBLE * coalesce(dr, 0))
- + 0.1::DOUBLE * """ + rank_aware_sql("readmission_prediction", "dr") + """, 0.0), 1.0) AS readm_ensemble FROM n1)"""]
+        f"n2 AS (SELECT *, {ensemble_sql('icu_prediction', 'icu_target', 'readmission_prediction')} FROM n1)"]
 
 
 def prepared(spark, sf_dir):
@@ -130,19 +143,63 @@ _step("icu_ensemble", "icu_ensemble")
 _step("readm_ensemble", "readm_ensemble")
 
 
-def _full(name, selective):
-    @query(name)
+def iteration_ctes(i, selective):
+    """Iteration `i` (from 1) on `st{i-1}`: `it{i}` its blended scores, `au{i}` their overall AUCs, `st{i}` after adoption of a better icu ensemble."""
+    rate = f"{K.learning_rate(i - 1)!r}::DOUBLE"
+    inner = ["src AS (SELECT * FROM st%d)" % (i - 1), "tl AS (SELECT 'icu' AS task, pattern, icu AS score FROM src)", *transform_ctes("tl", "fit"),
+        f"sh AS (SELECT modality AS pattern, delta_adj * {rate} * {strength_sql('icu', 'modality')} * 1.5::DOUBLE AS shift FROM ttr)",
+        f"k0 AS (SELECT src.*, {rank_aware_sql('readm', 'd_readm')} AS c_readm, icu - shift AS q0 FROM src LEFT JOIN sh USING (pattern))",
+        "k1 AS (SELECT *, CASE WHEN q0 >= 0.45::DOUBLE AND q0 <= 0.55::DOUBLE THEN q0 - 0.07::DOUBLE * sign(q0 - 0.5) ELSE q0 END AS q1 FROM k0)",
+        "k2 AS (SELECT *, least(greatest(CASE WHEN q1 > 0.8 AND y_i = 0 THEN q1 - 0.15::DOUBLE WHEN q1 < 0.2 AND y_i = 1 THEN q1 + 0.15::DOUBLE ELSE q1 END, 0.001), 0.999) AS c_icu FROM k1)",
+        "gl AS (" + " UNION ALL ".join(f"SELECT '{t}' AS task, pattern, {c} AS score, {y} AS label FROM k2 WHERE status = 'corrected'"
+            for t, c, y in (("readm_now", "readm", "y_r"), ("readm_new", "c_readm", "y_r"), ("icu_now", "icu", "y_i"), ("icu_new", "c_icu", "y_i"))) + ")",
+        *metric_ctes("gl", "pattern, task", "g"), GAINS, gate_cte(selective),
+        f"""n1 AS (SELECT k2.* EXCLUDE (readm, icu), CASE WHEN wr IS NULL THEN readm ELSE least(greatest(wr * c_readm + (1 - wr) * readm + 0.3::DOUBLE * {nudge_sql('y_r')}, 0.001), 0.999) END AS readm,
+ CASE WHEN wi IS NULL THEN icu ELSE wi * c_icu + (1 - wi) * icu END AS icu, CASE WHEN status = 'corrected' THEN d_icu ELSE 0 END AS di,
+ CASE WHEN status = 'corrected' THEN d_readm END AS dr FROM k2 LEFT JOIN gw USING (pattern))"""]
+    outer = f"SELECT subject_id, pattern, readm0, icu0, y_r, y_i, status, d_readm, d_icu, readm, icu, {ensemble_sql('icu0', 'y_i', 'readm0')} FROM n1"
+    stacked = " UNION ALL ".join(f"SELECT '{c}' AS task, {c} AS score, {y} AS label FROM it{i}" for c, y in (("readm", "y_r"), ("readm_ensemble", "y_r"), ("icu", "y_i"), ("icu_ensemble", "y_i")))
+    auc = [f"ol AS ({stacked})", *metric_ctes("ol", "task", "o")]
+    return [f"it{i} AS MATERIALIZED (WITH " + ", ".join(inner) + " " + outer + ")",
+        f"au{i} AS MATERIALIZED (WITH " + ", ".join(auc) + " SELECT " + ", ".join(f"max(auc) FILTER (WHERE task = '{c}') AS {c}" for c in ("readm", "readm_ensemble", "icu", "icu_ensemble")) + " FROM om)",
+        f"st{i} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN (SELECT icu < icu_ensemble FROM au{i}) THEN icu_ensemble ELSE icu END AS icu) FROM it{i})"]
+
+
+def full_ctes(n, selective):
+    """`res`: the corrected rows after at most `n` iterations, roll-back and the final choice between ensemble and best iteration."""
+    steps = range(1, n + 1)
+    return [*FITTED, """st0 AS MATERIALIZED (SELECT subject_id, pattern, readmission_prediction AS readm0, icu_prediction AS icu0, readmission_target AS y_r, icu_target AS y_i, status, d_readm, d_icu,
+ readmission_prediction AS readm, icu_prediction AS icu FROM pp JOIN pm USING (pattern))""",
+        *(c for i in steps for c in iteration_ctes(i, selective)),
+        "hs AS (" + " UNION ALL ".join(f"SELECT {i} AS i, * FROM au{i}" for i in steps) + ")",
+        "hr AS (SELECT *, coalesce(readm < lag(readm) OVER (ORDER BY i) * 0.999::DOUBLE, FALSE) AS rolled FROM hs)",
+        f"hk AS (SELECT coalesce(min(i) FILTER (WHERE rolled), {n}) AS last, coalesce(min(i) FILTER (WHERE rolled) - 1, {n}) AS kept FROM hr)",
+        """pk AS (SELECT CASE WHEN k.readm < k.readm_ensemble THEN 0 ELSE (SELECT i FROM hr, hk WHERE i <= last ORDER BY readm DESC, i LIMIT 1) END AS best, hk.kept FROM hk JOIN hr k ON k.i = hk.kept)""",
+        "al AS (" + " UNION ALL ".join(f"SELECT {i} AS i, * FROM st{i}" for i in steps) + ")",
+        """res AS (SELECT subject_id, status, y_r, y_i, readm0, icu0, icu, CASE WHEN best = 0 THEN readm_ensemble ELSE readm END AS readm
+ FROM al, pk WHERE al.i = CASE WHEN best = 0 THEN kept ELSE best END)"""]
+
+
+def _full(name, selective, iterations=K.MAX_ITERATIONS):
+    columns = {"readm0": "readm_pred_original", "readm": "readm_pred_corrected", "icu0": "icu_pred_original", "icu": "icu_pred_corrected"}
+
+    @query(name, sql(P, full_ctes(iterations, selective), "SELECT subject_id, CAST(y_r AS DOUBLE) AS readm_target, CAST(y_i AS DOUBLE) AS icu_target, status, " + ", ".join(f"{r6(c)} AS {out}" for c, out in columns.items()) + " FROM res"))
     def run(spark, sf_dir):
-        done = K.correct_predictions(view(spark, sf_dir, "v_predictions"), selective)
-        cols = [c for c in done.rows.columns if "pred" in c]
-        return done.rows.select("subject_id", "readm_target", "icu_target", "status", *[round_to(c).alias(c) for c in cols])
+        done = K.correct_predictions(view(spark, sf_dir, "v_predictions"), selective, max_iterations=iterations)
+        return done.rows.select("subject_id", "readm_target", "icu_target", "status", *[round_to(c).alias(c) for c in columns.values()])
 
 
 _full("correct_full_selective", True)
 _full("correct_full_all", False)
+_full("correct_two_iterations", False, 2)
+
+_SIDES = " UNION ALL ".join(f"SELECT '{t}' AS task, '{side}' AS side, {c} AS score, {y} AS label FROM res"
+    for t, y, cs in (("readmission", "y_r", ("readm0", "readm")), ("icu", "y_i", ("icu0", "icu"))) for side, c in zip(("before", "after"), cs))
 
 
-@query("correction_comparison")
+@query("correction_comparison", sql(P, [*full_ctes(K.MAX_ITERATIONS, False), f"sd AS ({_SIDES})", *metric_ctes("sd", "task, side", "s"),
+    "ml AS (" + " UNION ALL ".join(f"SELECT task, '{m}' AS metric, max({m}) FILTER (WHERE side = 'before') AS b, max({m}) FILTER (WHERE side = 'after') AS a FROM sm GROUP BY task" for m in ("auc", "ap", "brier")) + ")"],
+    f"SELECT task, metric, {r6('b')} AS before, {r6('a')} AS after, {r6('a - b')} AS delta FROM ml"))
 def correction_comparison(spark, sf_dir):
     m = K.correct_predictions(view(spark, sf_dir, "v_predictions"), False).metrics()
     return m.select("task", "metric", *[round_to(c).alias(c) for c in ("before", "after", "delta")])

@@ -1,22 +1,25 @@
 """Pattern-wise correction of saved predictions: reference choice, fitting, gated blending, iteration, ensembles.
 
 Rows stay distributed; everything that decides about them is a table with one row per missing-modality pattern (at
-most 16), joined back by broadcast. Each iteration is written once and read by the next.
+most 16), joined back by broadcast. Each iteration is written once and read by the next; a run can be taken up where it stopped.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import clip, finite
 from ..functions.patterns import FLAGS, pattern_string
-from ..session import materialize, small_table
+from ..session import new_path, small_table
+from ..sources.tables import path_exists
 from . import rectifier
-from .metrics import auc_and_brier, compare_metrics, ranking_metrics, stack_scores
+from .metrics import auc_with_overall, compare_metrics, ranking_metrics, stack_scores
 from .ordered import value_splits
 
 # Row thresholds, reference score, strengths, blend weights and ensemble mixes
@@ -173,35 +176,57 @@ def candidates(state: DataFrame, params: DataFrame, rate: float = 1.0, use_label
     return rows.withColumn("c_icu", F.when(on, clip("_q", 0.001, 0.999))).drop("_q")
 
 
-def gates(cand: DataFrame, selective: bool, splits: list[float] | None = None) -> DataFrame:
-    """Per corrected pattern the blend weights `w_readm`, `w_icu` (NULL = leave the scores alone) and what decided."""
-    pairs = {
-        "readm_now": ("readm", "y_readm"), "readm_new": ("c_readm", "y_readm"), "icu_now": ("icu", "y_icu"), "icu_new": ("c_icu", "y_icu"),
-    }
-    rows = cand.filter(F.col("status") == "corrected")
-    m = auc_and_brier(stack_scores(rows, pairs, ["pattern"]), ["pattern", "task"], splits=splits)
+NOW = {"readm": ("readm", "y_readm"), "icu": ("icu", "y_icu")}
+NEW = {"readm": ("c_readm", "y_readm"), "icu": ("c_icu", "y_icu")}
+AFTER = NOW | {"icu_ensemble": ("icu_ensemble", "y_icu"), "readm_ensemble": ("readm_ensemble", "y_readm")}
+EVERY = "*"  # stands for all patterns together
 
-    def pick(task: str, column: str) -> Column:
-        return F.max(F.when(F.col("task") == task, F.col(column)))
+Metrics = dict[tuple[str, str], tuple[float | None, float | None]]
+
+
+def pattern_metrics(rows: DataFrame, pairs: dict[str, tuple[str, str]], splits: list[float] | None = None) -> Metrics:
+    """(AUC, Brier) by (pattern, entry) and by (`EVERY`, entry): a few numbers for each of at most 16 patterns, from one counting of the scores."""
+    stacked = stack_scores(rows, pairs, ["pattern"])
+    found = auc_with_overall(stacked, "pattern", "task", value_splits(stacked, "score") if splits is None else splits)
+    return {(r["pattern"], r["task"]): (r["auc"], r["brier"]) for r in found.collect()}
+
+
+def _gain(after: float | None, before: float | None) -> float | None:
+    return None if after is None or before is None else after - before
 
-    g = m.groupBy("pattern").agg(
-        (pick("readm_new", "auc") - pick("readm_now", "auc")).alias("readm_gain"),
-        (pick("icu_new", "auc") - pick("icu_now", "auc")).alias("icu_gain"),
-        (pick("icu_now", "brier") - pick("icu_new", "brier")).alias("icu_brier_gain"),
-    )
-    gain, icu, brier = F.col("readm_gain"), F.col("icu_gain"), F.col("icu_brier_gain")
-    w_readm = F.when(gain > 0, READM_BLEND["better"])
-    if not selective:
-        close = F.abs(gain) < NEGATIVE_TOLERANCE
-        w_readm = w_readm.when(close, READM_BLEND["close"]).when(gain.isNotNull(), READM_BLEND["worse"])
-    apply_icu = (icu > -0.0005) | (brier > 0.001) | F.lit(not selective)
-    w_icu = (
-        F.when(icu > 0, F.least(F.lit(0.95), 0.85 + 3.0 * icu))
-        .when((brier > 0) & (F.abs(icu) < NEGATIVE_TOLERANCE), 0.4)
-        .otherwise(0.2)
-    )
-    table = g.withColumn("w_readm", w_readm).withColumn("w_icu", F.when(icu.isNotNull() & apply_icu, w_icu))
-    return small_table(table, MAX_PATTERNS)
+
+def readm_weight(gain: float | None, selective: bool) -> float | None:
+    """Share of the candidate in the blend; None leaves the scores alone."""
+    if gain is None or (selective and gain <= 0):
+        return None
+    return READM_BLEND["better" if gain > 0 else "close" if abs(gain) < NEGATIVE_TOLERANCE else "worse"]
+
+
+def icu_weight(gain: float | None, brier: float | None, selective: bool) -> float | None:
+    brier = brier or 0.0
+    if gain is None or (selective and gain <= -0.0005 and brier <= 0.001):
+        return None
+    if gain > 0:
+        return min(0.95, 0.85 + 3.0 * gain)
+    return 0.4 if brier > 0 and abs(gain) < NEGATIVE_TOLERANCE else 0.2
+
+
+def gates(cand: DataFrame, selective: bool, splits: list[float] | None = None, now: Metrics | None = None) -> DataFrame:
+    """Per corrected pattern the blend weights `w_readm`, `w_icu` (NULL = leave the scores alone) and what decided.
+
+    `now` are the metrics of the current scores, where they are known already.
+    """
+    corrected = cand.filter(F.col("status") == "corrected")
+    new = pattern_metrics(corrected, NEW, splits)
+    now = pattern_metrics(corrected, NOW, splits) if now is None else now
+    unknown = (None, None)
+    rows = []
+    for pattern in sorted({p for p, _ in new} - {EVERY}):
+        (readm0, _), (icu0, brier0) = (now.get((pattern, t), unknown) for t in NOW)
+        (readm1, _), (icu1, brier1) = (new.get((pattern, t), unknown) for t in NEW)
+        readm, icu, brier = _gain(readm1, readm0), _gain(icu1, icu0), _gain(brier0, brier1)
+        rows.append((pattern, readm, icu, brier, readm_weight(readm, selective), icu_weight(icu, brier, selective)))
+    return cand.sparkSession.createDataFrame(rows, "pattern string, readm_gain double, icu_gain double, icu_brier_gain double, w_readm double, w_icu double")
 
 
 def blend(cand: DataFrame, gate: DataFrame, use_labels: bool = True) -> DataFrame:
@@ -245,11 +270,6 @@ def learning_rate(iteration: int) -> float:
     return 1.0 / (1.0 + iteration * (1.0 - RATE_DECAY))
 
 
-def overall_auc(df: DataFrame, pairs: dict[str, tuple[str, str]], splits: list[float] | None = None) -> dict[str, float]:
-    """AUC per entry over all rows; a handful of numbers for the driver."""
-    return {r["task"]: r["auc"] for r in auc_and_brier(stack_scores(df, pairs), ["task"], splits=splits).collect()}
-
-
 @dataclass
 class Correction:
     """`rows`: result table; `history`: overall AUC per iteration; `reference`: pattern or None; `best_iteration`: 0
@@ -286,44 +306,81 @@ def _less(a: float | None, b: float | None) -> bool:
     return b is not None and (a is None or a < b)
 
 
+def _note(spark: SparkSession, path: str, make: Callable[[], dict]) -> dict:
+    """The note stored at `path`; where there is none, the one `make` returns, stored."""
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        text = json.dumps(make())
+        spark.createDataFrame([(text,)], "note string").coalesce(1).write.mode("overwrite").text(path)
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def _table(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        df = make()
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def correct_predictions(
-    df: DataFrame, selective: bool = False, use_labels: bool = True, max_iterations: int = MAX_ITERATIONS, ident: str = "subject_id"
+    df: DataFrame, selective: bool = False, use_labels: bool = True, max_iterations: int = MAX_ITERATIONS, ident: str = "subject_id", folder: str | None = None
 ) -> Correction:
     """Full correction: fit on the patterns, up to five gated iterations with roll-back, final ensemble.
 
     `use_labels` (on by default, recorded in the result) lets the nudges read the evaluation labels.
+
+    Every step leaves its table and a note of what was decided in `folder` (by default one of its own in the shared folder). A run that finds them there
+    goes on after the last whole step, so a lost driver costs one iteration at most; a folder of other settings is refused. Each iteration is read by
+    three jobs: the adaptive deltas, the candidates' metrics by pattern, and the metrics of the blended scores, by pattern and over all, of which the next
+    iteration's gates and the final ensemble need no others.
     """
-    state = materialize(prepare(df, ident), "scores")
-    splits = score_splits(state)
-    chosen = choose_reference(baseline_metrics(state, splits)).collect()
-    if not chosen:
+    spark = df.sparkSession
+    root = (folder or new_path(spark, "correction")).rstrip("/")
+    settings = {"selective": selective, "use_labels": use_labels, "ident": ident}
+    state = _table(spark, f"{root}/scores", lambda: prepare(df, ident))
+
+    def set_up() -> dict:
+        splits = score_splits(state)
+        chosen = choose_reference(baseline_metrics(state, splits)).collect()
+        if not chosen:
+            return settings | {"reference": None}
+        reference = chosen[0]["pattern"]
+        params = pattern_parameters(state, reference, fit_rectifiers(state, spark.createDataFrame([(reference,)], "pattern string")))
+        return settings | {"reference": reference, "splits": splits, "params": [list(r) for r in params.collect()]}
+
+    setup = _note(spark, f"{root}/setup", set_up)
+    if {k: setup[k] for k in settings} != settings:
+        raise ValueError(f"{root} holds a correction with other settings")
+    reference = setup["reference"]
+    if reference is None:
         return Correction(result_table(state, "readm", "icu", F.lit("no_reference"), ident), used_labels=use_labels)
-    reference = chosen[0]["pattern"]
-    ref_row = df.sparkSession.createDataFrame([(reference,)], "pattern string")
-    params = pattern_parameters(state, reference, fit_rectifiers(state, ref_row))
+    params, splits = spark.createDataFrame([tuple(r) for r in setup["params"]], _PARAM_SCHEMA), setup["splits"]
 
-    base = state.columns
     tables: list[DataFrame] = []
     history: list[dict[str, float]] = []
-    current = state
-    kept = 0
+    ensembles: list[float | None] = []
+    current, now, kept = state, None, 0
     for i in range(max_iterations):
-        cand = candidates(current.select(*base), params, learning_rate(i), use_labels)
-        new = materialize(blend(cand, gates(cand, selective, splits), use_labels), f"iteration{i + 1}")
-        pairs = {"readm": ("readm", "y_readm"), "icu": ("icu", "y_icu"), "icu_ensemble": ("icu_ensemble", "y_icu")}
-        auc = overall_auc(new, pairs, splits)
+
+        def step(i=i, current=current, now=now) -> DataFrame:
+            cand = candidates(current.select(*state.columns), params, learning_rate(i), use_labels)
+            return blend(cand, gates(cand, selective, splits, now), use_labels).withColumn("readm_ensemble", readm_ensemble())
+
+        new = _table(spark, f"{root}/iteration-{i + 1}", step)
+        note = _note(spark, f"{root}/metrics-{i + 1}", lambda new=new: {"rows": [[*k, *v] for k, v in pattern_metrics(new, AFTER, splits).items()]})
+        found: Metrics = {(p, t): (auc, brier) for p, t, auc, brier in note["rows"]}
+        auc = {t: found.get((EVERY, t), (None, None))[0] for t in AFTER}
         if _less(auc["icu"], auc["icu_ensemble"]):
             new, auc["icu"] = new.withColumn("icu", F.col("icu_ensemble")), auc["icu_ensemble"]
+            found |= {(p, "icu"): v for (p, t), v in found.items() if t == "icu_ensemble"}
         tables.append(new)
+        ensembles.append(auc["readm_ensemble"])
         history.append({"iteration": i + 1, "readm_auc": auc["readm"], "icu_auc": auc["icu"]})
         if i > 0 and _less(auc["readm"], history[i - 1]["readm_auc"] * ROLLBACK_SHARE):
             kept = i - 1
             break
-        current, kept = new, i
+        current, now, kept = new, found, i
 
-    final = tables[kept].withColumn("readm_ensemble", readm_ensemble())
-    auc = overall_auc(final, {"now": ("readm", "y_readm"), "ensemble": ("readm_ensemble", "y_readm")}, splits)
-    if _less(auc["now"], auc["ensemble"]):
-        return Correction(result_table(final, "readm_ensemble", "icu", F.col("status"), ident), history, reference, 0, use_labels)
+    if _less(history[kept]["readm_auc"], ensembles[kept]):
+        return Correction(result_table(tables[kept], "readm_ensemble", "icu", F.col("status"), ident), history, reference, 0, use_labels)
     best = max(range(len(history)), key=lambda k: (history[k]["readm_auc"] or 0.0, -k))
     return Correction(result_table(tables[best], "readm", "icu", F.col("status"), ident), history, reference, best + 1, use_labels)

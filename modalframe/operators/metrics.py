@@ -70,6 +70,19 @@ def auc_and_brier(
     """
     rows, counts = _score_counts(df, group, score, label)
     cuts = value_splits(rows, "score", n_buckets) if splits is None else splits
+    return auc_of_counts(counts, group, cuts)
+
+
+def auc_with_overall(df: DataFrame, part: str, task: str, splits: Sequence[float], score: str = "score", label: str = "label", whole: str = "*") -> DataFrame:
+    """As `auc_and_brier` by (part, task), and for each task over all parts (`part` = `whole`), from one counting of the scores."""
+    _, counts = _score_counts(df, [part, task], score, label)
+    both = counts.unionByName(counts.withColumn(part, F.lit(whole)))
+    merged = both.groupBy(part, task, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return auc_of_counts(merged, [part, task], splits)
+
+
+def auc_of_counts(counts: DataFrame, group: Sequence[str], cuts: Sequence[float]) -> DataFrame:
+    """`auc_and_brier` of rows already counted as (group, score, pos, neg)."""
     pos, neg, s = F.col("pos").cast("double"), F.col("neg").cast("double"), F.col("score")
     inside = W.partitionBy(*group, "_bucket").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
     local = counts.withColumn("_bucket", bucket_of("score", cuts)).withColumn(

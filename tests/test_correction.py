@@ -143,3 +143,38 @@ def test_single_class_pattern_is_left_alone(spark):
     df = frame(spark).withColumn("readmission_target", F.when(F.col("has_img") + F.col("has_text") == 0, 0).otherwise(F.col("readmission_target")))
     done = K.correct_predictions(df, max_iterations=1)
     assert done.rows.filter(F.col("readm_pred_corrected").isNull()).count() == 0
+
+
+def test_interrupted_run_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    """A run lost in its third iteration leaves two; the next one computes only what is missing, with the same result."""
+    whole = K.correct_predictions(frame(spark), True)
+    folder, calls, blend = f"{tmp_path}/run", [], K.blend
+
+    def counted(*args):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("driver lost")
+        return blend(*args)
+
+    monkeypatch.setattr(K, "blend", counted)
+    with pytest.raises(RuntimeError, match="driver lost"):
+        K.correct_predictions(frame(spark), True, folder=folder)
+    again = K.correct_predictions(frame(spark), True, folder=folder)
+    assert again.history == whole.history and again.best_iteration == whole.best_iteration
+    assert sorted(map(tuple, again.rows.collect())) == sorted(map(tuple, whole.rows.collect()))
+    assert len(calls) == len(whole.history) + 1  # the first iteration once, the failed one twice
+    monkeypatch.setattr(K, "blend", None)  # a finished run needs no more work
+    assert K.correct_predictions(frame(spark), True, folder=folder).history == whole.history
+    with pytest.raises(ValueError, match="other settings"):
+        K.correct_predictions(frame(spark), False, folder=folder)
+
+
+def test_metrics_from_one_counting(spark):
+    from modalframe.operators.metrics import auc_and_brier, stack_scores
+
+    state = K.prepare(frame(spark))
+    found = K.pattern_metrics(state, K.NOW)
+    for part in ([], ["pattern"]):
+        for r in auc_and_brier(stack_scores(state, K.NOW, part), [*part, "task"]).collect():
+            got = found[(r["pattern"] if part else K.EVERY, r["task"])]
+            assert got == pytest.approx((r["auc"], r["brier"]), nan_ok=True) if r["auc"] is not None else got[0] is None
