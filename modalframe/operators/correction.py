@@ -336,7 +336,8 @@ def correct_predictions(
     spark = df.sparkSession
     root = (folder or new_path(spark, "correction")).rstrip("/")
     settings = {"selective": selective, "use_labels": use_labels, "ident": ident}
-    state = _table(spark, f"{root}/scores", lambda: prepare(df, ident))
+    # dealt evenly once: every iteration reads it again, and a small input may lie in a single file
+    state = _table(spark, f"{root}/scores", lambda: prepare(df, ident).repartition("id"))
 
     def set_up() -> dict:
         splits = score_splits(state)
