@@ -2,7 +2,7 @@
 
 import importlib
 
-TOPICS = ("q_predictions", "q_cohort", "q_vectors", "q_dataset", "q_correction", "q_models")
+TOPICS = ("q_predictions", "q_cohort", "q_vectors", "q_dataset", "q_correction", "q_models", "q_sources")
 
 
 def load():

@@ -117,6 +117,15 @@ FROM (SELECT k, CAST(t % 997 AS DOUBLE) / 997 AS p1, CAST(CAST(floor(t / 997) AS
              1 AS has_struct, CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS has_img,
              CASE WHEN k % 5 <> 0 THEN 1 ELSE 0 END AS has_text, CASE WHEN k % 199 = 0 THEN 1 ELSE 0 END AS has_rad
       FROM (SELECT o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS t FROM {orders}) a) b
+""",
+    "v_odd_predictions": """
+SELECT subject_id,
+       CASE WHEN has_rad = 1 THEN CAST('NaN' AS DOUBLE) WHEN readmission_prediction < 0.02 THEN CAST('Infinity' AS DOUBLE)
+            WHEN readmission_prediction < 0.04 THEN readmission_prediction - 1 WHEN readmission_prediction > 0.98 THEN readmission_prediction + 1
+            WHEN icu_prediction > 0.99 THEN NULL ELSE readmission_prediction END AS score,
+       CASE WHEN icu_prediction < 0.02 THEN NULL WHEN icu_prediction < 0.04 THEN CAST(0.5 AS DOUBLE) WHEN icu_prediction < 0.06 THEN CAST(1.5 AS DOUBLE)
+            WHEN icu_prediction > 0.98 THEN CAST(-3 AS DOUBLE) ELSE CAST(readmission_target AS DOUBLE) END AS label
+FROM {v_predictions}
 """,
     "v_epoch_metrics": """
 SELECT run, epoch, task, 0.6 + 0.35 * CAST(s % 1000 AS DOUBLE) / 1000 AS auc

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.text import is_blank, preprocess_note
 from ..functions.vectors import l2_normalize, zeros
 from .modality import vectors_or_null
+from .ordered import null_safe_join
 from .pooling import pool_vectors
 
 NOTE_TYPES = ("discharge", "radiology")
@@ -49,13 +50,13 @@ def embed_notes(
     notes: DataFrame, encoder: Encoder | None = None, strategy: str = "weighted_mean", dim: int = DEFAULT_DIM,
     keys: Sequence[str] = ("subject_id", "note_type"),
 ) -> DataFrame:
-    """One pooled vector per key. Keys whose notes are all blank get the zero vector."""
+    """One pooled vector per key, NULL keys included. Keys whose notes are all blank get the zero vector."""
     encode = encoder or hashing_encoder(dim)
     clean = notes.select(*keys, preprocess_note("text").alias("_text"))
     usable = encode(clean.filter(~is_blank("_text")), "_text", "_emb").select(F.struct(*keys).alias("_key"), "_emb")
     pooled = pool_vectors(usable, "_key", "_emb", strategy, "embedding").select("_key.*", "embedding", "n_vectors")
     everyone = notes.select(*keys).distinct()
-    return everyone.join(pooled, list(keys), "left").select(
+    return null_safe_join(everyone, pooled, keys, "left").select(
         *keys, F.coalesce("embedding", zeros(dim)).alias("embedding"), F.coalesce("n_vectors", F.lit(0)).alias("n_notes")
     )
 

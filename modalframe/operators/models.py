@@ -61,11 +61,15 @@ def other_modalities(vectors: Sequence[str], flags: Sequence[str]) -> Column:
     return F.concat(*[scale(v, f) for v, f in zip(vectors, flags)], F.array(F.lit(1.0)))
 
 
+SUM_GROUPS = 64
+
+
 def fit_ridge(df: DataFrame, x: str, y: str, ridge: float = 1e-3) -> np.ndarray:
     """Ridge coefficients of array column `y` on array column `x`.
 
-    Every partition adds up its X'X and X'Y; the partial matrices travel row by row, so reducers sum short vectors.
-    The driver solves a system of the vectors' dimension, whatever the number of rows.
+    Every task adds up its X'X and X'Y and sends them row by row, of X'X only the upper triangle. Rows are summed in two levels, first within
+    `SUM_GROUPS` groups of tasks, so no reducer takes in a row of every task. The driver solves a system of the vectors' dimension,
+    whatever the number of rows.
     """
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,17 +81,21 @@ def fit_ridge(df: DataFrame, x: str, y: str, ridge: float = 1e-3) -> np.ndarray:
             part = a.T @ np.hstack([a, b])
             gram = part if gram is None else gram + part
         if gram is not None:
-            yield pd.DataFrame({"i": np.arange(len(gram)), "v": list(gram)})
+            yield pd.DataFrame({"i": np.arange(len(gram)), "v": [line[i:] for i, line in enumerate(gram)]})
 
     rows = df.select(as_double(x).alias("x"), as_double(y).alias("y"))
-    # a matrix for each task, so a few tasks a slot rather than one for each input split
-    rows = rows.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
-    parts = rows.mapInPandas(partial, "i int, v array<double>")
-    sums = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("v")).alias("s")).select("i", vector_to_array("s").alias("s"))
-    gram = np.array([r["s"] for r in sorted(sums.collect(), key=lambda r: r["i"])])
-    if gram.size == 0:
+    parts = rows.mapInPandas(partial, "i int, v array<double>").withColumn("g", F.spark_partition_id() % SUM_GROUPS)
+    for keys in (("i", "g"), ("i",)):
+        parts = parts.groupBy(*keys).agg(Summarizer.sum(array_to_vector("v")).alias("v")).withColumn("v", vector_to_array("v"))
+    lines = [r["v"] for r in sorted(parts.collect(), key=lambda r: r["i"])]
+    if not lines:
         raise ValueError("no rows to fit on")
-    d = gram.shape[0]
+    d = len(lines)
+    gram = np.zeros((d, len(lines[0])))
+    for i, line in enumerate(lines):
+        gram[i, i:] = line
+    lower = np.tril_indices(d, -1)
+    gram[lower] = gram[:, :d].T[lower]
     return np.linalg.solve(gram[:, :d] + ridge * np.eye(d), gram[:, d:])
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,8 +90,43 @@ def default_flags(df: DataFrame, flags: Sequence[str] = FLAGS) -> DataFrame:
     return df.withColumns({f: F.lit(1) for f in flags})
 
 
+@dataclass
+class PredictionFile:
+    """`rows`: usable predictions; `rejected`: `(line, reason)` of all others; `counts`: how many lines there were of each kind."""
+
+    rows: DataFrame
+    rejected: DataFrame
+    counts: dict[str, int]
+
+
+def read_prediction_file(spark: SparkSession, path: str, ident: str = "subject_id") -> PredictionFile:
+    """Saved predictions as CSV or parquet, with ids repaired and flags defaulted.
+
+    Lines with a wrong number of fields or an unreadable number, and rows whose id holds no number, are set aside with the reason. The file is parsed
+    once; the counts are observed on the way.
+    """
+    if path.rstrip("/").endswith(".csv"):
+        names = spark.read.csv(path, header=True).columns
+        kinds = [T.DoubleType() if n.endswith(("_prediction", "_target")) else T.StringType() for n in names]
+        schema = T.StructType([*(T.StructField(n, k) for n, k in zip(names, kinds)), T.StructField(CORRUPT, T.StringType())])
+        raw = spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+    else:
+        raw = spark.read.parquet(path)
+        names = raw.columns
+        raw = raw.withColumn(CORRUPT, F.lit(None).cast("string"))
+    line = F.coalesce(F.col(CORRUPT), F.to_json(F.struct(*(F.col(f"`{n}`") for n in names))))
+    repaired = repair_ids(raw.withColumn("_line", line), ident)
+    reason = F.when(F.col(CORRUPT).isNotNull(), "malformed line").when(F.col(ident).isNull(), "no id")
+    seen = Observation("predictions")
+    marked = repaired.withColumn("_reason", reason).observe(
+        seen, F.count(F.lit(1)).alias("lines"), F.count_if(F.col("_reason") == "malformed line").alias("malformed"), F.count_if(F.col("_reason") == "no id").alias("no_id")
+    )
+    stored = materialize(marked.withColumn("_line", F.when(F.col("_reason").isNotNull(), F.col("_line"))), "predictions")
+    rows = default_flags(stored.filter(F.col("_reason").isNull()).drop("_reason", "_line", CORRUPT))
+    rejected = stored.filter(F.col("_reason").isNotNull()).select(F.col("_line").alias("line"), F.col("_reason").alias("reason"))
+    return PredictionFile(rows, rejected, dict(seen.get))
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Saved predictions as CSV (inferred types) or parquet, with ids repaired and flags defaulted."""
-    is_csv = path.rstrip("/").endswith(".csv")
-    df = spark.read.csv(path, header=True, inferSchema=True) if is_csv else spark.read.parquet(path)
-    return default_flags(repair_ids(df))
+    """The usable rows of `read_prediction_file`."""
+    return read_prediction_file(spark, path).rows

@@ -136,3 +136,12 @@ def test_correct_job(spark, tmp_path):
     assert back.count() == frame(spark).count() and "readm_pred_corrected" in back.columns
     assert spark.read.json(f"{tmp_path}/out_selective_metrics").count() == 6
     assert spark.read.parquet(f"{tmp_path}/out_selective_roc").filter(F.col("threshold").isNull()).count() == 2
+
+
+def test_prediction_file_with_bad_lines(spark, tmp_path):
+    p = write(f"{tmp_path}/p.csv", "subject_id,readmission_prediction,has_img\ntensor(12),0.5,1\nx,0.25,1\n7,zero,1\n8,0.5,1,9\n9,0.75\n,0.5,0\n")
+    got = tables.read_prediction_file(spark, p)
+    assert [r["subject_id"] for r in got.rows.collect()] == [12]
+    assert sorted(r["reason"] for r in got.rejected.collect()) == ["malformed line"] * 3 + ["no id"] * 2
+    assert {r["line"] for r in got.rejected.collect()} >= {"7,zero,1", "8,0.5,1,9", "9,0.75"}
+    assert got.counts == {"lines": 6, "malformed": 3, "no_id": 2}
