@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,7 +103,7 @@ def read_prediction_file(spark: SparkSession, path: str, ident: str = "subject_i
     """Saved predictions as CSV or parquet, with ids repaired and flags defaulted.
 
     Lines with a wrong number of fields or an unreadable number, and rows whose id holds no number, are set aside with the reason. The file is parsed
-    once; the counts are observed on the way.
+    once; both results and the counts come from the stored parse.
     """
     if path.rstrip("/").endswith(".csv"):
         names = spark.read.csv(path, header=True).columns
@@ -117,14 +117,14 @@ def read_prediction_file(spark: SparkSession, path: str, ident: str = "subject_i
     line = F.coalesce(F.col(CORRUPT), F.to_json(F.struct(*(F.col(f"`{n}`") for n in names))))
     repaired = repair_ids(raw.withColumn("_line", line), ident)
     reason = F.when(F.col(CORRUPT).isNotNull(), "malformed line").when(F.col(ident).isNull(), "no id")
-    seen = Observation("predictions")
-    marked = repaired.withColumn("_reason", reason).observe(
-        seen, F.count(F.lit(1)).alias("lines"), F.count_if(F.col("_reason") == "malformed line").alias("malformed"), F.count_if(F.col("_reason") == "no id").alias("no_id")
-    )
+    marked = repaired.withColumn("_reason", reason)
     stored = materialize(marked.withColumn("_line", F.when(F.col("_reason").isNotNull(), F.col("_line"))), "predictions")
+    # of the stored reasons alone; an observation on the way would tie the session, which does not serialise, to later plans
+    kinds = {"malformed": "malformed line", "no_id": "no id"}
+    counts = stored.agg(F.count(F.lit(1)).alias("lines"), *(F.count_if(F.col("_reason") == r).alias(k) for k, r in kinds.items())).first().asDict()
     rows = default_flags(stored.filter(F.col("_reason").isNull()).drop("_reason", "_line", CORRUPT))
     rejected = stored.filter(F.col("_reason").isNotNull()).select(F.col("_line").alias("line"), F.col("_reason").alias("reason"))
-    return PredictionFile(rows, rejected, dict(seen.get))
+    return PredictionFile(rows, rejected, counts)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
