@@ -8,7 +8,9 @@ from modalframe.functions.numeric import round_to
 from modalframe.operators import cohort as C
 from modalframe.operators import features as X
 from modalframe.operators import labels as L
-from modalframe.plans.cohort import DETAIL_TABLES, build_features
+from modalframe.plans.cohort import DETAIL_TABLES, build_features, features_of_snapshot
+from modalframe.session import new_path
+from modalframe.sources.bucketed import open_keyed, write_keyed
 
 from .registry import query, r6, sql
 from .views import view
@@ -225,3 +227,26 @@ def wide(spark, sf_dir):
 @query("wide_features", sql(WIDE_VIEWS, WIDE_CTES, "SELECT * FROM wide"))
 def wide_features(spark, sf_dir):
     return _rounded(wide(spark, sf_dir))
+
+
+def stored_by_subject(spark, sf_dir, buckets=8, factor=0.01):
+    """All source tables as a snapshot in subject buckets; a low `factor`, so that the largest subjects take the way of hot keys."""
+    path = new_path(spark, "by_subject")
+    write_keyed({t: view(spark, sf_dir, f"v_{t}") for t in WIDE_TABLES}, path, "subject_id", buckets, factor)
+    return open_keyed(spark, path)
+
+
+@query("wide_from_snapshot", sql(WIDE_VIEWS, WIDE_CTES, "SELECT * FROM wide"))
+def wide_from_snapshot(spark, sf_dir):
+    return _rounded(features_of_snapshot(stored_by_subject(spark, sf_dir)))
+
+
+@query("snapshot_round_trip", sql(("v_admissions", "v_icustays"), [], """SELECT 'admissions' AS name, subject_id, hadm_id, CAST(NULL AS DOUBLE) AS los FROM v_admissions
+ UNION ALL SELECT 'icustays', subject_id, hadm_id, round(los, 6) + 0.0 FROM v_icustays"""))
+def snapshot_round_trip(spark, sf_dir):
+    """The rows of two tables stored by subject, hot subjects apart, and opened again."""
+    path = new_path(spark, "by_subject")
+    write_keyed({t: view(spark, sf_dir, f"v_{t}") for t in ("admissions", "icustays")}, path, "subject_id", 64, 0.1)
+    stored = open_keyed(spark, path)
+    stays = stored.table("icustays").select(F.lit("icustays").alias("name"), "subject_id", "hadm_id", round_to("los").alias("los"))
+    return stored.table("admissions").select(F.lit("admissions").alias("name"), "subject_id", "hadm_id", F.lit(None).cast("double").alias("los")).unionByName(stays)

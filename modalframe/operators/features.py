@@ -60,11 +60,14 @@ def label_microbiology(micro: DataFrame) -> DataFrame:
     return micro.withColumn("pos", F.col("interpretation").eqNullSafe("Positive"))
 
 
+def _doses(rows: DataFrame, kind: str) -> DataFrame:
+    found = rows.select(*PAIR, "poe_id", F.col(kind).alias("drug_type"))
+    return found.withColumn("abx", F.coalesce(F.col("drug_type").contains("ANTIBIOTIC"), F.lit(False)))
+
+
 def medications(prescriptions: DataFrame, emar: DataFrame) -> DataFrame:
     """Prescriptions and administrations as one relation with the antibiotic marker."""
-    given = emar.select(*PAIR, "poe_id", F.col("event_txt").alias("drug_type"))
-    both = prescriptions.select(*PAIR, "poe_id", "drug_type").unionByName(given)
-    return both.withColumn("abx", F.coalesce(F.col("drug_type").contains("ANTIBIOTIC"), F.lit(False)))
+    return _doses(prescriptions, "drug_type").unionByName(_doses(emar, "event_txt"))
 
 
 SPECS: dict[str, Specs] = {
@@ -128,6 +131,15 @@ def _cells(detail: DataFrame, table: int, specs: Specs) -> DataFrame:
     )
 
 
+def _with_fluids(frame: DataFrame) -> DataFrame:
+    """In, out and net volumes: a missing side is 0, both missing stay NULL."""
+    vols = [F.coalesce(F.col(c), F.lit(0.0)) for c in ("idx_in_vol", "idx_out_vol")]
+    either = F.col("idx_in_vol").isNotNull() | F.col("idx_out_vol").isNotNull()
+    return frame.withColumns(
+        {"idx_in_vol": F.when(either, vols[0]), "idx_out_vol": F.when(either, vols[1]), "idx_net_fluid": F.when(either, vols[0] - vols[1])}
+    )
+
+
 def combined_frame(tables: dict[str, DataFrame], pairs: DataFrame | None = None) -> DataFrame:
     """All detail aggregates per (subject_id, hadm_id) in one relation; NULL where a table has no row for the pair.
 
@@ -161,11 +173,7 @@ def combined_frame(tables: dict[str, DataFrame], pairs: DataFrame | None = None)
             ]
         )
         if "inputevents" in specs and "outputevents" in specs:
-            vols = [F.coalesce(F.col(c), F.lit(0.0)) for c in ("idx_in_vol", "idx_out_vol")]
-            either = F.col("idx_in_vol").isNotNull() | F.col("idx_out_vol").isNotNull()
-            out = out.withColumns(
-                {"idx_in_vol": F.when(either, vols[0]), "idx_out_vol": F.when(either, vols[1]), "idx_net_fluid": F.when(either, vols[0] - vols[1])}
-            )
+            out = _with_fluids(out)
     for t in specs:
         if t not in together:
             frame = aggregate_by_admission(at_index(ready[t], pairs), specs[t])
@@ -175,6 +183,37 @@ def combined_frame(tables: dict[str, DataFrame], pairs: DataFrame | None = None)
     return out.select(*PAIR, *order, *extra)
 
 
+def colocated_frame(tables: dict[str, DataFrame], pairs: DataFrame) -> DataFrame:
+    """All detail aggregates, one row per row of `pairs`; NULL where a table has no row for the pair.
+
+    For tables and pairs that are all bucketed by `subject_id` alike: each table meets the pairs, is aggregated and joined where it lies, without an
+    exchange. The join key is the subject alone, since a key of both columns would ask for a partitioning by both; the admission
+    is compared as a range. `pairs` has one row per subject. Rows of hot subjects do not belong here, see `sources.bucketed`.
+    """
+    ready = {k: DERIVE[k](v) if k in DERIVE else v for k, v in tables.items()}
+    parts = {t: (ready[t], s) for t, s in SPECS.items() if t in ready}
+    doses = {"prescriptions": "drug_type", "emar": "event_txt"}
+    halves = doses if all(t in tables for t in doses) else {}
+    for t, kind in halves.items():
+        # the two halves of the medications, each where it lies
+        parts[t] = (_doses(tables[t], kind), {f"{name}_{t}": spec for name, spec in SPECS["medications"].items()})
+    index = pairs.select(F.col("subject_id").alias("_s"), F.col("hadm_id").alias("_h"))
+    out = pairs.select(*PAIR)
+    for rows, specs in parts.values():
+        at = (F.col("subject_id") == F.col("_s")) & (F.col("hadm_id") <= F.col("_h")) & (F.col("hadm_id") >= F.col("_h"))
+        frame = aggregate_by_admission(rows.join(index, at, "left_semi"), specs).drop("hadm_id")
+        out = out.join(frame, "subject_id", "left")
+    if halves:
+        for name in SPECS["medications"]:
+            both = [f"{name}_{t}" for t in halves]
+            total = F.coalesce(both[0], F.lit(0)) + F.coalesce(both[1], F.lit(0))
+            out = out.withColumn(name, F.when(F.coalesce(*both).isNotNull(), total)).drop(*both)
+    if "inputevents" in ready and "outputevents" in ready:
+        out = _with_fluids(out)
+    order = [name for specs in SPECS.values() for name in specs if name in out.columns]
+    return out.select(*PAIR, *order, *[c for c in out.columns if c not in (*PAIR, *order)])
+
+
 def feature_frames(tables: dict[str, DataFrame], pairs: DataFrame) -> dict[str, DataFrame]:
     """The frames of each subject's index admission."""
     return admission_frames(tables, pairs)

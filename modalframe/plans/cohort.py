@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cohort, features, labels
+from ..sources.bucketed import KeyedTables, write_bucketed
 
 DETAIL_TABLES = (
     "diagnoses_icd", "procedures_icd", "drgcodes", "labevents", "microbiologyevents", "prescriptions", "emar", "services",
@@ -24,10 +25,12 @@ def require(df: DataFrame, columns, what: str) -> DataFrame:
     return df
 
 
-def build_features(tables: dict[str, DataFrame], subjects: DataFrame | None = None, mode: str = "row", fill: bool = True) -> DataFrame:
+def build_features(
+    tables: dict[str, DataFrame], subjects: DataFrame | None = None, mode: str = "row", fill: bool = True, categories: dict[str, list[str]] | None = None, buckets: int | None = None
+) -> DataFrame:
     """One row per cohort subject: index features, three labels, patient one-hots and all detail aggregates.
 
-    `fill=False` keeps gaps as NULL, for imputation later.
+    `fill=False` keeps gaps as NULL, for imputation later. `buckets` says that all tables are bucketed by subject into so many.
     """
     patients, admissions = tables["patients"], tables["admissions"]
     if subjects is None:
@@ -37,15 +40,33 @@ def build_features(tables: dict[str, DataFrame], subjects: DataFrame | None = No
     index = cohort.index_admission(stays, mode)
     outcome = labels.all_labels(subjects, stays, index, tables["icustays"])
     people = features.one_hot(
-        patients.select("subject_id", "gender", "anchor_age", "anchor_year_group"), PATIENT_CATEGORICALS
+        patients.select("subject_id", "gender", "anchor_age", "anchor_year_group"), PATIENT_CATEGORICALS, categories
     )
     first = index.select("subject_id", "hadm_id", *[F.col(c).alias(f"idx_{c}") for c in cohort.INDEX_FEATURES])
     base = subjects.join(first, "subject_id", "left").join(outcome, "subject_id", "left").join(people, "subject_id", "left")
     pairs = cohort.index_pairs(stays) if mode == "row" else index.select(*features.PAIR)
-    details = features.combined_frame({t: tables[t] for t in DETAIL_TABLES if t in tables}, pairs)
-    wide = base.join(details, features.PAIR, "left").drop("hadm_id")
+    there = {t: tables[t] for t in DETAIL_TABLES if t in tables}
+    if buckets:
+        pairs = write_bucketed(pairs.filter(F.col("hadm_id").isNotNull()), "subject_id", buckets)
+        details = features.colocated_frame(there, pairs).withColumnRenamed("hadm_id", "_h")
+        # one pair a subject, the index admission of `first`: the subject alone is key enough
+        wide = base.join(details, "subject_id", "left").drop("hadm_id", "_h")
+    else:
+        wide = base.join(features.combined_frame(there, pairs), features.PAIR, "left").drop("hadm_id")
     return features.fill_missing(wide) if fill else wide
 
 
+def features_of_snapshot(stored: KeyedTables, mode: str = "row", fill: bool = True) -> DataFrame:
+    """`build_features` over tables stored by subject. Rows of the detail tables are joined and aggregated in their buckets; hot
+    subjects, which lie apart, take the plain way, and the two results have no subject in common."""
+    if stored.key != "subject_id":
+        raise ValueError(f"tables are stored by {stored.key!r}, not by subject_id")
+    found = features.categories_of(stored.table("patients"), PATIENT_CATEGORICALS)
+    wide = build_features(stored.tables, mode=mode, fill=fill, categories=found, buckets=stored.buckets)
+    if not stored.hot:
+        return wide
+    return wide.unionByName(build_features(stored.hot, mode=mode, fill=fill, categories=found))
+
+
 def label_report(wide: DataFrame) -> DataFrame:
     return labels.label_distribution(wide.select("subject_id", *[F.col(c) for c in labels.LABELS]))
