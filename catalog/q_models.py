@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from modalframe.functions.numeric import round_to
 from modalframe.functions.patterns import FLAGS
 from modalframe.functions.vectors import vector_text
 from modalframe.operators import models
 from modalframe.operators.cohort import eligible_subjects
+from modalframe.operators.heads import gradient_at
 from modalframe.plans.cohort import build_features
 from modalframe.plans.predict import prepare_dataset, train_and_predict, with_flag_features
 from modalframe.session import materialize
 from modalframe.sources import records
 
 from .q_cohort import WIDE_TABLES
+from .q_dataset import DATASET, DS_VIEWS
 from .q_vectors import E, EXPLODED, flags, four_modalities, long_form, r5
 from .record_fixture import write_records
-from .registry import query, sql
+from .registry import query, r6, sql
 from .views import view
 
 
@@ -30,6 +33,18 @@ def multitask_predict(spark, sf_dir):
     return train_and_predict(dataset(spark, sf_dir))
 
 
+@query("multitask_optimum", sql(DS_VIEWS, DATASET, " UNION ALL ".join(
+    f"SELECT '{t}' AS task, count(*) AS n, CAST(sum({c}) AS BIGINT) AS positives, {r6(f'avg({c}::DOUBLE)')} AS mean_probability, TRUE AS settled FROM sp WHERE split = 'train'"
+    for t, c in models.TASK_LABELS.items())))
+def multitask_optimum(spark, sf_dir):
+    """At the fitted heads the gradient vanishes; where it does, the mean probability of a head is the share of its positives."""
+    train = with_flag_features(dataset(spark, sf_dir)).filter(F.col("split") == "train")
+    train = materialize(train.select(*models.TASK_LABELS.values(), "features"), "train")
+    heads = models.fit_outcome_models(train, "features")
+    found = gradient_at(train, "features", models.TASK_LABELS, heads)
+    return found.select("task", "n", "positives", round_to("mean_probability").alias("mean_probability"), (F.col("gradient") < 1e-7).alias("settled"))
+
+
 @query("pattern_classifier")
 def pattern_classifier(spark, sf_dir):
     data = materialize(dataset(spark, sf_dir).select("subject_id", "pattern_code", "split", "x_struct"), "pattern")

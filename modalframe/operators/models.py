@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import FLAGS, modality_count, pattern_string
 from ..functions.vectors import as_double, scale
+from .heads import SUM_GROUPS, Head, fit_heads
 from .labels import DEATH, ICU, READMISSION
 
 # Task -> label column
@@ -21,32 +22,17 @@ TASK_LABELS = {"readmission": READMISSION, "icu": ICU, "mortality": DEATH}
 
 
 def fit_outcome_models(
-    train: DataFrame, features: str, labels: dict[str, str] | None = None, weight: str | None = None, max_iter: int = 50, reg: float = 0.01
-) -> dict[str, LogisticRegressionModel]:
-    """One weighted logistic head per task over the same feature array."""
-    labels = labels or TASK_LABELS
-    keep = [features, *labels.values(), *([weight] if weight else [])]
-    rows = train.select(*keep).withColumn("_f", array_to_vector(features)).drop(features)
-    models = {}
-    for task, label in labels.items():
-        lr = LogisticRegression(featuresCol="_f", labelCol=label, maxIter=max_iter, regParam=reg)
-        if weight:
-            lr = lr.setWeightCol(weight)
-        models[task] = lr.fit(rows)
-    return models
-
-
-def predict_outcomes(
-    df: DataFrame, models: dict[str, LogisticRegressionModel], features: str, labels: dict[str, str] | None = None, ident: str = "subject_id"
-) -> DataFrame:
+    train: DataFrame, features: str, labels: dict[str, str] | None = None, weight: str | None = None, max_scans: int = 50, reg: float = 0.01
+) -> dict[str, Head]:
+    """One weighted logistic head per task over the same feature array, all fitted in the same scans."""
+    return fit_heads(train, features, labels or TASK_LABELS, weight, max_scans, reg)
+
+
+def predict_outcomes(df: DataFrame, models: dict[str, Head], features: str, labels: dict[str, str] | None = None, ident: str = "subject_id") -> DataFrame:
     """Prediction table: id, target and probability per task, flags, modality count and pattern."""
     labels = labels or TASK_LABELS
-    rows = df.select(ident, *FLAGS, *labels.values(), array_to_vector(features).alias("_f"))
-    for task, model in models.items():
-        scored = model.setFeaturesCol("_f").setProbabilityCol("_p").setRawPredictionCol("").setPredictionCol("").transform(rows)
-        rows = scored.withColumn(f"{task}_prediction", vector_to_array("_p")[1]).drop("_p")
-    out = [c for t, y in labels.items() for c in (F.col(y).cast("double").alias(f"{t}_target"), F.col(f"{t}_prediction"))]
-    return rows.select(ident, *out, *FLAGS, modality_count().alias("modality_count"), pattern_string().alias("missing_pattern"))
+    out = [c for t, y in labels.items() for c in (F.col(y).cast("double").alias(f"{t}_target"), models[t].probability(features).alias(f"{t}_prediction"))]
+    return df.select(ident, *out, *FLAGS, modality_count().alias("modality_count"), pattern_string().alias("missing_pattern"))
 
 
 def classify_patterns(train: DataFrame, df: DataFrame, features: str, pattern: str = "pattern_code", ident: str = "subject_id", max_iter: int = 50, reg: float = 0.01) -> DataFrame:
@@ -61,9 +47,6 @@ def other_modalities(vectors: Sequence[str], flags: Sequence[str]) -> Column:
     return F.concat(*[scale(v, f) for v, f in zip(vectors, flags)], F.array(F.lit(1.0)))
 
 
-SUM_GROUPS = 64
-
-
 def fit_ridge(df: DataFrame, x: str, y: str, ridge: float = 1e-3) -> np.ndarray:
     """Ridge coefficients of array column `y` on array column `x`.
 
