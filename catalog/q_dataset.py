@@ -147,6 +147,30 @@ for _m in ("robust", "minmax", "standard"):
     query(f"scale_{_m}", _scale_sql(_m))(_scaled(_m))
 query("scale_power")(_scaled("power"))
 
+
+@query("power_likelihood", sql(DS_VIEWS, DATASET, " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(*) AS n, TRUE AS at_peak, 0.0::DOUBLE AS mean, CASE WHEN min({q(c)}) = max({q(c)}) THEN 0.0 ELSE 1.0 END::DOUBLE AS std
+ FROM sp WHERE split = 'train' AND {q(c)} IS NOT NULL AND {q(c)} <> 0 HAVING count(*) > 0""" for c in FEATURES)))
+def power_likelihood(spark, sf_dir):
+    """The fitted lambda is no less likely than those 0.01 beside it, by the plain formulas; scaled training values have mean 0 and deviation 1."""
+    df = dataset(spark, sf_dir).filter(F.col("split") == "train").select(*[f"`{c}`" for c in FEATURES])
+    fits = scale.fit_scaler(df, FEATURES, "power")
+    items = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("x"), F.lit(s.power).alias("lam"), F.lit(s.center).alias("center"), F.lit(s.scale).alias("scale"))
+        for c, s in fits.items() if not s.shift]
+    assert len(items) == len(fits), "features of the test tables need no shifted powers"
+    long = df.select(F.explode(F.array(*items)).alias("s")).select("s.*").filter("x IS NOT NULL AND x <> 0")
+    slope = F.sum(F.signum("x") * F.log1p(F.abs("x")))
+
+    def likelihood(d):
+        spread = F.var_pop(scale.yeo_johnson(F.col("x"), F.col("lam") + d))
+        return -F.count(F.lit(1)) / 2.0 * F.log(F.nullif(spread, F.lit(0.0))) + (F.first("lam") + d - 1.0) * slope
+
+    scaled = (scale.yeo_johnson(F.col("x"), F.col("lam")) - F.col("center")) / F.col("scale")
+    each = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), *[likelihood(d).alias(k) for k, d in (("left", -0.01), ("here", 0.0), ("right", 0.01))],
+        round_to(F.avg(scaled)).alias("mean"), round_to(F.stddev_pop(scaled)).alias("std"))
+    peak = F.coalesce(F.col("here") + 1e-6 >= F.greatest("left", "right"), F.lit(True))
+    return each.select("column", "n", peak.alias("at_peak"), "mean", "std")
+
 _ORDER = [*[c for c in WIDE_STRINGS[:3]], "idx_los", *[c for c in WIDE_STRINGS[3:4]], "idx_hospital_expire_flag", *[c for c in WIDE_NUMERIC[2:] if c != "idx_severity_mode"]]
 
 
