@@ -271,15 +271,21 @@ PAIRS = """nx AS (SELECT vec_id, pos, x / sqrt(sum(x * x) OVER (PARTITION BY vec
  FROM bt a JOIN bt b ON a.batch_id = b.batch_id JOIN nx x ON x.vec_id = a.vec_id JOIN nx y ON y.vec_id = b.vec_id AND y.pos = x.pos GROUP BY ALL)"""
 
 
-def _contrastive(name, top, bottom, plain):
-    @query(name, sql(EP, [EXPLODED, BATCH, *PAIRS], f"""SELECT batch_id, vec_id, count(*) FILTER (WHERE pos_pair) AS n_positive, {r6(f'-ln({top} / {bottom})', 5)} AS loss
+_WHOLE = BATCH.replace("CAST(floor((row_number() OVER (ORDER BY md5(vec_id || ':42'), vec_id) - 1) / 32) AS BIGINT)", "CAST(vec_id % 3 AS BIGINT)")
+
+
+def _contrastive(name, top, bottom, plain, tile=losses.TILE_ROWS, batches=BATCH):
+    @query(name, sql(EP, [EXPLODED, batches, *PAIRS], f"""SELECT batch_id, vec_id, count(*) FILTER (WHERE pos_pair) AS n_positive, {r6(f'-ln({top} / {bottom})', 5)} AS loss
  FROM pa GROUP BY batch_id, vec_id HAVING count(*) FILTER (WHERE pos_pair) > 0"""))
     def run(spark, sf_dir):
         df = four_modalities(spark, sf_dir).select("vec_id", "pattern", "x_struct")
-        scored = losses.contrastive_score(losses.assign_batches(df, "vec_id"), "vec_id", "x_struct", "pattern", plain_sums=plain)
+        df = losses.assign_batches(df, "vec_id") if batches == BATCH else df.withColumn("batch_id", F.pmod("vec_id", F.lit(3)).cast("long"))
+        scored = losses.contrastive_score(df, "vec_id", "x_struct", "pattern", plain_sums=plain, tile=tile)
         return scored.withColumn("loss", round_to("loss", 5))
 
 
 _contrastive("contrastive_score", "sum(exp(sim)) FILTER (WHERE pos_pair)", "sum(exp(sim)) FILTER (WHERE vec_id <> other)", False)
 _contrastive("contrastive_score_plain_sums", "sum(CASE WHEN pos_pair THEN exp(sim) ELSE 1 END)", "sum(exp(sim))", True)
+#: three batches of a third of all rows each, in tiles of 50
+_contrastive("contrastive_large_batches", "sum(exp(sim)) FILTER (WHERE pos_pair)", "sum(exp(sim)) FILTER (WHERE vec_id <> other)", False, 50, _WHOLE)
 

@@ -20,7 +20,8 @@ FOCAL_SHARE = {"readmission": 0.7, "icu": 0.7, "mortality": 0.9}
 SMOOTHING = 0.1
 TEMPERATURE = 0.1
 BATCH_ROWS = 32
-MAX_BATCH = 8_192
+TILE_ROWS = 4_096
+SLICE_ROWS = 512
 
 
 def _c(c: Column | str) -> Column:
@@ -122,41 +123,83 @@ def assign_batches(df: DataFrame, ident: str, rows: int = BATCH_ROWS, seed: int
     return numbered.select(*df.columns, F.floor((F.col("_rn") - 1) / rows).cast("long").alias(out))
 
 
+def _tiled(df: DataFrame, batch: str, ident: str, tile: int) -> DataFrame:
+    """Every row once for each pair of parts (`_i`, `_j`) of its batch that it takes part in: as one of the scored rows (`_role` 0), of those
+    compared with (1), or of both (2, the pairs of a part with itself). A batch of up to `tile` rows is one part."""
+    sizes = df.groupBy(F.col(batch).alias("_b")).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("_k"))
+    rows = df.join(sizes, F.col(batch).eqNullSafe(F.col("_b"))).drop("_b").withColumn("_p", F.pmod(F.xxhash64(F.col(ident)), F.col("_k")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("_k") - 1), lambda q: q != F.col("_p"))
+
+    def place(i: Column, j: Column, role: int) -> Column:
+        return F.struct(i.alias("_i"), j.alias("_j"), F.lit(role).alias("_role"))
+
+    p = F.col("_p")
+    places = F.concat(F.array(place(p, p, 2)), F.transform(others, lambda q: place(p, q, 0)), F.transform(others, lambda q: place(q, p, 1)))
+    return rows.withColumn("_at", F.explode(places)).select(*df.columns, "_at.*")
+
+
+def _log_sum(parts: Column) -> Column:
+    """log of the summed exponentials from `(top, total)` pairs, `total` being the sum relative to exp(top)."""
+    top = F.array_max(F.transform(parts, lambda s: s["top"]))
+    total = F.aggregate(parts, F.lit(0.0), lambda acc, s: acc + F.when(s["total"] > 0, s["total"] * F.exp(s["top"] - top)).otherwise(0.0))
+    return top + F.log(total)
+
+
 def contrastive_score(
-    df: DataFrame, ident: str, features: str, pattern: str, batch: str = "batch_id", temperature: float = TEMPERATURE, plain_sums: bool = False,
-    max_batch: int = MAX_BATCH,
+    df: DataFrame, ident: str, features: str, pattern: str, batch: str = "batch_id", temperature: float = TEMPERATURE, plain_sums: bool = False, tile: int = TILE_ROWS
 ) -> DataFrame:
     """InfoNCE per row that shares its pattern with another row of its batch: `(batch, ident, n_positive, loss)`.
 
-    Batches must be bounded (see `assign_batches`): one of more than `max_batch` rows is an error. Similarities stay a small
-    matrix inside the task and no pair is ever emitted. Default: positives over all other rows. `plain_sums=True` uses the looser sums in which every
-    non-positive adds exp(0) to the numerator and the row itself is part of the denominator.
+    Batches may have any size: one of more than about `tile` rows is cut into parts, each pair of parts is a task group of its own, and for each row the maximum
+    and the sum relative to it, of positives and of all, are merged over the parts. No pair is ever emitted and no group holds more than
+    two parts. The result does not depend on `tile`. Rows without vector are left out; repeated ids are rows of their own; NULL patterns are alike.
+
+    Default: positives over all other rows. `plain_sums=True` uses the looser sums in which every non-positive adds exp(0) to the numerator and the row itself
+    is part of the denominator.
     """
-    kind = df.schema[ident].dataType.simpleString()
+    kind, kind_b = (df.schema[c].dataType.simpleString() for c in (ident, batch))
+    slice_rows = SLICE_ROWS
 
     def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_batch:
-            raise ValueError(f"batch {key[0]} has {len(pdf)} rows; the bound is {max_batch}")
-        pdf = pdf.sort_values(ident)
+        # by id and vector, so that a row has the same place in every pair of its part
+        order = sorted(range(len(pdf)), key=lambda r: (pdf[ident].iat[r], tuple(pdf[features].iat[r])))
+        pdf = pdf.iloc[order]
         x = np.array(pdf[features].tolist(), dtype=np.float64)
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         x = x / np.where(norm > 0, norm, 1.0)
-        sim = x @ x.T / temperature
-        codes = pdf[pattern].to_numpy()
-        same = codes[:, None] == codes[None, :]
-        np.fill_diagonal(same, False)
-        if plain_sums:
-            top, bottom = np.exp(sim * same).sum(axis=1), np.exp(sim).sum(axis=1)
-        else:
-            weight = np.exp(sim)
-            np.fill_diagonal(weight, 0.0)
-            top, bottom = (weight * same).sum(axis=1), weight.sum(axis=1)
-        n_pos = same.sum(axis=1)
-        ok = n_pos > 0
-        return pd.DataFrame({batch: key[0], ident: pdf[ident].to_numpy()[ok], "n_positive": n_pos[ok], "loss": -np.log(top[ok] / bottom[ok])})
-
-    slim = df.select(batch, ident, pattern, as_double(features).alias(features))
-    return slim.groupBy(batch).applyInPandas(score, f"{batch} long, {ident} {kind}, n_positive long, loss double")
+        codes, role = pdf[pattern].to_numpy(dtype=object), pdf["_role"].to_numpy()
+        left, right = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
+
+        def summed(sim: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            sim = np.where(counted, sim, -np.inf)
+            top = sim.max(axis=1, initial=-np.inf)
+            return top, np.exp(sim - np.where(np.isfinite(top), top, 0.0)[:, None]).sum(axis=1)
+
+        found = []
+        for start in range(0, max(len(left), 1), slice_rows):
+            mine = left[start : start + slice_rows]
+            sim = x[mine] @ x[right].T / temperature
+            other = mine[:, None] != right[None, :]
+            same = (codes[mine][:, None] == codes[right][None, :]) & other
+            if plain_sums:
+                sums = *summed(np.where(same, sim, 0.0), np.ones_like(same)), *summed(sim, np.ones_like(same))
+            else:
+                sums = *summed(sim, same), *summed(sim, other)
+            found.append(pd.DataFrame({"_place": np.arange(start, start + len(mine)), "n": same.sum(axis=1), **dict(zip(("pt", "ps", "bt", "bs"), sums))}))
+        out = pd.concat(found, ignore_index=True)
+        out.insert(0, "_own", key[1])
+        out.insert(0, ident, pdf[ident].to_numpy()[left])
+        out.insert(0, batch, key[0])
+        return out
+
+    slim = df.select(batch, ident, pattern, as_double(features).alias(features)).filter(F.col(features).isNotNull())
+    partial = _tiled(slim, batch, ident, tile).groupBy(batch, "_i", "_j").applyInPandas(
+        score, f"{batch} {kind_b}, {ident} {kind}, _own int, _place long, n long, pt double, ps double, bt double, bs double"
+    )
+    # one pair of sums for each part of the batch
+    pairs = {k: F.collect_list(F.struct(F.col(f"{k}t").alias("top"), F.col(f"{k}s").alias("total"))).alias(k) for k in "pb"}
+    merged = partial.groupBy(batch, ident, "_own", "_place").agg(F.sum("n").alias("n_positive"), *pairs.values()).filter("n_positive > 0")
+    return merged.select(batch, ident, "n_positive", (_log_sum(F.col("b")) - _log_sum(F.col("p"))).alias("loss"))
 
 
 __all__ = [
