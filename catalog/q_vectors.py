@@ -9,7 +9,7 @@ from modalframe.functions import vectors as V
 from modalframe.functions.numeric import round_to
 from modalframe.functions.patterns import FLAGS, code_of_pattern, decode_pattern, pattern_code, pattern_complexity, pattern_string
 from modalframe.operators import modality, pooling
-from modalframe.operators.embedding import embed_notes, text_embedding_table
+from modalframe.operators.embedding import NOTE_TYPES, embed_notes, text_embedding_table
 from modalframe.sources.wide import from_wide, to_wide
 
 from .registry import query, r6, sql
@@ -239,8 +239,24 @@ def pattern_complexity_query(spark, sf_dir):
     return df.withColumn("complexity", pattern_complexity("pattern_code"))
 
 
-@query("text_embed")
+_TFIDF = [
+    "us AS (SELECT * FROM pre WHERE length(trim(text)) > 0)",
+    "wd AS (SELECT note_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS w FROM us)",
+    "tf AS (SELECT note_id, ('0x' || substr(md5(w), 1, 13))::BIGINT % 256 AS pos, count(*) AS c FROM wd WHERE w <> '' GROUP BY ALL)",
+    "df AS (SELECT pos, ln(((SELECT count(*) FROM us) + 1.0::DOUBLE) / (count(*) + 1)) AS idf FROM tf GROUP BY pos)",
+    "tw AS (SELECT note_id, pos, c * idf AS x, sqrt(sum(c * c * idf * idf) OVER (PARTITION BY note_id)) AS norm FROM tf JOIN df USING (pos))",
+    """un AS (SELECT subject_id, note_type, pos, sum(x / norm) AS total FROM tw JOIN us USING (note_id) WHERE norm > 0 GROUP BY ALL)""",
+    "nn AS (SELECT subject_id, note_type, count(DISTINCT note_id) AS n FROM tw JOIN us USING (note_id) WHERE norm > 0 GROUP BY ALL)",
+    "al AS (SELECT subject_id, note_type, n, unnest(range(256)) AS pos FROM nn)",
+]
+
+
+@query("text_embed", sql(("v_notes", "v_patients"), [*PRE_CTES, *_TFIDF], f"""SELECT p.subject_id, k.note_type, CAST(al.pos AS INT) AS pos, {r5('coalesce(total, 0.0) / n')} AS value
+ FROM v_patients p CROSS JOIN (VALUES ('discharge'), ('radiology')) k(note_type) LEFT JOIN al ON p.subject_id = al.subject_id AND k.note_type = al.note_type
+ LEFT JOIN un ON al.subject_id = un.subject_id AND al.note_type = un.note_type AND al.pos = un.pos"""))
 def text_embed(spark, sf_dir):
+    """Every entry of both note vectors of each subject; one row without entry where nothing is usable."""
     emb = embed_notes(notes(spark, sf_dir), dim=256)
     table = text_embedding_table(view(spark, sf_dir, "v_patients"), emb)
-    return table.select("subject_id", *[V.vector_text(F.col(c)).alias(c) for c in ("discharge_embedding", "radiology_embedding")])
+    kinds = F.explode(F.array(*[F.struct(F.lit(t).alias("note_type"), V.round_vector(f"{t}_embedding", 5).alias("v")) for t in NOTE_TYPES]))
+    return table.select("subject_id", kinds.alias("k")).select("subject_id", "k.note_type", F.posexplode_outer("k.v").alias("pos", "value"))

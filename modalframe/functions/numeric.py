@@ -97,3 +97,9 @@ def hash_normal(ident: Column | str, seed: int | str) -> Column:
         lambda key: F.sqrt(-2.0 * F.log(1.0 - _digits_to_unit(key, 1)))
         * F.cos(_digits_to_unit(key, _HASH_HEX_DIGITS + 1) * F.lit(6.283185307179586)),
     )
+
+
+def hash_slot(word: Column | str, slots: int) -> Column:
+    """Slot 0..slots-1 of a text by the leading digits of its md5."""
+    digits = F.substring(F.md5(col_of(word).cast("binary")), 1, _HASH_HEX_DIGITS)
+    return F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(slots)).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import bind
+from .numeric import bind, hash_slot
 
 # The cleaning patterns in the order they apply
 CLEANING_STEPS = (
@@ -20,6 +20,7 @@ MAX_TOKENS = 512
 TRIGGER_CHARS_PER_TOKEN = 4
 KEPT_CHARS_PER_TOKEN = 3
 SENTENCE_END = ". "
+WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
 def clean_note(text: Column | str) -> Column:
@@ -64,3 +65,10 @@ def preprocess_note(text: Column | str, max_tokens: int = MAX_TOKENS) -> Column:
 def is_blank(text: Column | str) -> Column:
     c = F.col(text) if isinstance(text, str) else text
     return F.length(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", "")) == 0
+
+
+def word_slots(text: Column | str, slots: int) -> Column:
+    """The hash slot of each word, in order and with repeats; words are runs of letters and digits, lower-cased."""
+    c = F.col(text) if isinstance(text, str) else text
+    words = F.filter(F.split(F.lower(c), WORD_BREAK, -1), lambda w: w != "")
+    return F.transform(words, lambda w: hash_slot(w, slots))

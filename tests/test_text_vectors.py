@@ -108,3 +108,32 @@ def test_note_embeddings_with_a_supplied_encoder(spark):
     subjects = spark.createDataFrame([(1,), (2,), (3,)], "subject_id long")
     table = {r["subject_id"]: r for r in text_embedding_table(subjects, emb).collect()}
     assert table[1]["radiology_embedding"] is None and table[2]["radiology_embedding"] is not None and table[3]["discharge_embedding"] is None
+
+
+def test_hashed_words_against_a_plain_count(spark):
+    import hashlib
+    import math
+
+    texts = ["Blue sky, blue sea.", "sea and SKY 7", "...", "blue", "Äpfel äpfel"]
+    dim = 16
+    df = spark.createDataFrame([(i, "discharge", t) for i, t in enumerate(texts)], "subject_id long, note_type string, text string")
+    got = {r["subject_id"]: r["embedding"] for r in embed_notes(df, dim=dim).collect()}
+    slots = [[int(hashlib.md5(w.encode()).hexdigest()[:13], 16) % dim for w in re.findall(r"\w+", t.lower())] for t in texts]
+    idf = [math.log((len(texts) + 1) / (sum(k in s for s in slots) + 1)) for k in range(dim)]
+    for i, s in enumerate(slots):
+        x = np.array([s.count(k) * idf[k] for k in range(dim)])
+        assert got[i] == pytest.approx((x / (np.linalg.norm(x) or 1.0)).tolist())
+    assert embed_notes(df.limit(0), dim=dim).count() == 0
+    assert [r["embedding"] for r in embed_notes(df.filter("subject_id = 2"), dim=dim).collect()] == [[0.0] * dim]
+
+
+def test_a_model_gets_texts_of_about_one_length(spark):
+    def make():
+        def predict(texts):
+            return np.array([[max(map(len, texts)) - len(t), len(t), len(texts)] for t in texts], dtype=np.float64)
+
+        return predict
+
+    df = spark.createDataFrame([(i, "x" * (1 + i * 7 % 40)) for i in range(40)], "i long, t string").coalesce(1)
+    rows = model_encoder(make, batch_size=8, normalize=False)(df, "t", "v").collect()
+    assert all(r["v"][1] == len(r["t"]) and r["v"][0] <= 7 and r["v"][2] == 8 for r in rows) and len(rows) == 40
