@@ -17,7 +17,7 @@ from modalframe.sources import records
 
 from .q_cohort import WIDE_TABLES
 from .q_dataset import DATASET, DS_VIEWS
-from .q_vectors import E, EXPLODED, flags, four_modalities, long_form, r5
+from .q_vectors import E, EP, EXPLODED, FLAGGED, flags, four_modalities, long_form, r5
 from .record_fixture import write_records
 from .registry import query, r6, sql
 from .views import view
@@ -58,6 +58,25 @@ def modality_impute(spark, sf_dir):
     return filled.select("vec_id", *FLAGS, vector_text("filled").alias("filled"))
 
 
+@query("pattern_optimum", sql(DS_VIEWS, DATASET, """SELECT pattern_code, count(*) AS n, round(count(*) / (SELECT count(*)::DOUBLE FROM sp WHERE split = 'train'), 5) + 0.0 AS mean_probability,
+ TRUE AS settled FROM sp WHERE split = 'train' GROUP BY pattern_code"""))
+def pattern_optimum(spark, sf_dir):
+    """At the fitted classifier the gradient vanishes; the mean probability of a pattern is then its share of the rows."""
+    train = materialize(dataset(spark, sf_dir).filter(F.col("split") == "train").select("pattern_code", "x_struct"), "train")
+    found = models.pattern_gradient(train, "x_struct", models.fit_pattern_classifier(train, "x_struct"))
+    return found.select(F.col("pattern_code").cast("int"), "n", round_to("mean_probability", 5).alias("mean_probability"), (F.col("gradient") < 1e-4).alias("settled"))
+
+
+@query("imputation_optimum", sql(EP, [EXPLODED, FLAGGED], f"""SELECT CAST(rpos AS INT) AS pos, count(*) AS n, {r5('avg(x)')} AS mean_value, TRUE AS settled
+ FROM fl WHERE has_img = 1 GROUP BY rpos"""))
+def imputation_optimum(spark, sf_dir):
+    """At the fitted coefficients nothing is left of the normal equations; the mean of the fitted values is then the mean of the vectors."""
+    df = four_modalities(spark, sf_dir).filter("has_img = 1")
+    df = materialize(df.select("x_img", models.other_modalities(["x_struct", "x_text", "x_rad"], ["has_struct", "has_text", "has_rad"]).alias("x")), "ridge")
+    found = models.ridge_residual(df, "x", "x_img", models.fit_ridge(df, "x", "x_img"))
+    return found.select("pos", "n", round_to("mean_value", 5).alias("mean_value"), (F.col("residual") < 1e-9).alias("settled"))
+
+
 _COHORT = """co AS (SELECT DISTINCT a.subject_id FROM v_admissions a JOIN v_patients p ON a.subject_id = p.subject_id
  WHERE p.anchor_year_group IN ('2008 - 2010', '2011 - 2013', '2014 - 2016', '2017 - 2019'))"""
 _R = (*E, "v_admissions", "v_patients")

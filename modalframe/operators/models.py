@@ -6,10 +6,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import FLAGS, modality_count, pattern_string
@@ -35,11 +35,36 @@ def predict_outcomes(df: DataFrame, models: dict[str, Head], features: str, labe
     return df.select(ident, *out, *FLAGS, modality_count().alias("modality_count"), pattern_string().alias("missing_pattern"))
 
 
-def classify_patterns(train: DataFrame, df: DataFrame, features: str, pattern: str = "pattern_code", ident: str = "subject_id", max_iter: int = 50, reg: float = 0.01) -> DataFrame:
-    """Multinomial logistic regression of the pattern code on the features: `(ident, pattern, predicted)`."""
-    as_rows = lambda d: d.select(ident, pattern, array_to_vector(features).alias("_f"))
-    model = LogisticRegression(featuresCol="_f", labelCol=pattern, family="multinomial", maxIter=max_iter, regParam=reg, predictionCol="_y").fit(as_rows(train))
-    return model.transform(as_rows(df)).select(ident, pattern, F.col("_y").cast("int").alias("predicted"))
+def fit_pattern_classifier(train: DataFrame, features: str, pattern: str = "pattern_code", max_iter: int = 200, reg: float = 0.01, tol: float = 1e-10) -> LogisticRegressionModel:
+    """Multinomial logistic regression of the pattern code on the features."""
+    rows = train.select(pattern, array_to_vector(features).alias("_f"))
+    estimator = LogisticRegression(featuresCol="_f", labelCol=pattern, family="multinomial", maxIter=max_iter, regParam=reg, tol=tol, predictionCol="_y", probabilityCol="_p")
+    return estimator.fit(rows)
+
+
+def classify_patterns(train: DataFrame, df: DataFrame, features: str, pattern: str = "pattern_code", ident: str = "subject_id", max_iter: int = 200, reg: float = 0.01) -> DataFrame:
+    """The most likely pattern code of each row given its features: `(ident, pattern, predicted)`."""
+    model = fit_pattern_classifier(train, features, pattern, max_iter, reg)
+    return model.transform(df.select(ident, pattern, array_to_vector(features).alias("_f"))).select(ident, pattern, F.col("_y").cast("int").alias("predicted"))
+
+
+def pattern_gradient(rows: DataFrame, features: str, model: LogisticRegressionModel, pattern: str = "pattern_code", reg: float = 0.01) -> DataFrame:
+    """`(pattern, n, mean_probability, gradient)`: for each class seen, its rows, its mean probability over all rows, and the largest entry of the objective's gradient.
+
+    Sums of one vector a class; classes are pattern codes, so there are at most 16.
+    """
+    scored = model.transform(rows.select(pattern, array_to_vector(features).alias("_f"))).select(pattern, "_f", vector_to_array("_p").alias("p"))
+    spread = scored.agg(Summarizer.metrics("std").summary(F.col("_f")).alias("m")).first()["m"]["std"].toArray()
+    long = scored.select(pattern, vector_to_array("_f").alias("x"), F.posexplode("p").alias("c", "p"))
+    own = (F.col(pattern) == F.col("c")).cast("long")
+    scale_ = F.array(*[F.lit(float(1 / s) if s > 0 else 0.0) for s in spread])
+    # in units of each feature's spread, as the penalty is
+    pull = F.zip_with("x", scale_, lambda v, s: v * s * (F.col("p") - own))
+    sums = long.groupBy("c").agg(F.sum(own).alias("n"), F.avg("p").alias("mean_probability"), vector_to_array(Summarizer.mean(array_to_vector(pull))).alias("g"))
+    beta = model.coefficientMatrix.toArray() * spread * reg
+    penalty = F.create_map(*[e for c, line in enumerate(beta) for e in (F.lit(c), F.array(*[F.lit(float(v)) for v in line]))])[F.col("c")]
+    worst = F.array_max(F.transform(F.zip_with("g", penalty, lambda a, b: a + b), F.abs))
+    return sums.filter("n > 0").select(F.col("c").alias(pattern), "n", "mean_probability", worst.alias("gradient"))
 
 
 def other_modalities(vectors: Sequence[str], flags: Sequence[str]) -> Column:
@@ -47,11 +72,11 @@ def other_modalities(vectors: Sequence[str], flags: Sequence[str]) -> Column:
     return F.concat(*[scale(v, f) for v, f in zip(vectors, flags)], F.array(F.lit(1.0)))
 
 
-def fit_ridge(df: DataFrame, x: str, y: str, ridge: float = 1e-3) -> np.ndarray:
-    """Ridge coefficients of array column `y` on array column `x`.
+def cross_sums(df: DataFrame, x: str, y: str) -> np.ndarray:
+    """`[X'X, X'Y]` of the array columns `x` and `y`; no row for no rows.
 
-    Every task adds up its X'X and X'Y and sends them row by row, of X'X only the upper triangle. Rows are summed in two levels, first within
-    `SUM_GROUPS` groups of tasks, so no reducer takes in a row of every task. The driver solves a system of the vectors' dimension,
+    Every task adds up its own sums and sends them row by row, of X'X only the upper triangle. Rows are summed in two levels, first within
+    `SUM_GROUPS` groups of tasks, so no reducer takes in a row of every task. The driver holds a matrix of the vectors' dimension,
     whatever the number of rows.
     """
 
@@ -72,16 +97,53 @@ def fit_ridge(df: DataFrame, x: str, y: str, ridge: float = 1e-3) -> np.ndarray:
         parts = parts.groupBy(*keys).agg(Summarizer.sum(array_to_vector("v")).alias("v")).withColumn("v", vector_to_array("v"))
     lines = [r["v"] for r in sorted(parts.collect(), key=lambda r: r["i"])]
     if not lines:
-        raise ValueError("no rows to fit on")
+        return np.zeros((0, 0))
     d = len(lines)
     gram = np.zeros((d, len(lines[0])))
     for i, line in enumerate(lines):
         gram[i, i:] = line
     lower = np.tril_indices(d, -1)
     gram[lower] = gram[:, :d].T[lower]
+    return gram
+
+
+def fit_ridge(df: DataFrame, x: str, y: str, ridge: float = 1e-3) -> np.ndarray:
+    """Ridge coefficients of array column `y` on array column `x`."""
+    gram = cross_sums(df, x, y)
+    d = len(gram)
+    if not d:
+        raise ValueError("no rows to fit on")
     return np.linalg.solve(gram[:, :d] + ridge * np.eye(d), gram[:, d:])
 
 
+def map_vector(x: Column | str, weights: np.ndarray) -> Column:
+    """`x` times `weights`, batch by batch; `weights` has the vectors' dimension squared, whatever the number of rows."""
+    shared = SparkSession.active().sparkContext.broadcast(weights)
+
+    @F.pandas_udf("array<double>")
+    def product(v: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(v.to_numpy()) @ shared.value)) if len(v) else pd.Series([], dtype=object)
+
+    return product(x)
+
+
+def ridge_residual(df: DataFrame, x: str, y: str, weights: np.ndarray, ridge: float = 1e-3) -> DataFrame:
+    """`(pos, n, mean_value, residual)` for each entry of `y`: what fitted `weights` leave of the normal equations.
+
+    `residual` is the largest entry of `X'(Y - XW) - ridge W` over the rows' number, from errors taken row by row and not from the sums of the
+    fit. `mean_value` is the mean of the fitted values plus the intercept's share of the penalty (the last entry of `x` is the constant 1),
+    which equals the mean of `y` where the residual vanishes.
+    """
+    fitted = df.select(as_double(x).alias("x"), as_double(y).alias("y")).withColumn("p", map_vector("x", weights))
+    sums = cross_sums(fitted.withColumn("e", F.concat(F.zip_with("y", "p", lambda a, b: a - b), "p")), "x", "e")
+    d, k = weights.shape
+    n = sums[d - 1, d - 1]
+    left = np.abs(sums[:, d : d + k] - ridge * weights).max(axis=0) / n
+    means = (sums[d - 1, d + k :] + ridge * weights[-1]) / n
+    rows = [(i, int(round(n)), float(means[i]), float(left[i])) for i in range(k)]
+    return df.sparkSession.createDataFrame(rows, "pos int, n long, mean_value double, residual double")
+
+
 def impute_modality(
     df: DataFrame, target: str, target_flag: str, others: Sequence[str], other_flags: Sequence[str], ridge: float = 1e-3, out: str | None = None
 ) -> DataFrame:
@@ -89,11 +151,5 @@ def impute_modality(
     out = out or target
     rows = df.withColumn("_x", other_modalities(others, other_flags))
     weights = fit_ridge(rows.filter(F.col(target_flag) == 1), "_x", target, ridge)
-    shared = df.sparkSession.sparkContext.broadcast(weights)  # dimension x dimension, not rows
-
-    @F.pandas_udf("array<double>")
-    def predict(x: pd.Series) -> pd.Series:
-        return pd.Series(list(np.stack(x.to_numpy()) @ shared.value)) if len(x) else pd.Series([], dtype=object)
-
-    filled = rows.withColumn("_p", predict("_x"))
+    filled = rows.withColumn("_p", map_vector("_x", weights))
     return filled.withColumn(out, F.when(F.col(target_flag) == 1, as_double(target)).otherwise(F.col("_p"))).drop("_x", "_p")

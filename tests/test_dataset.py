@@ -179,6 +179,30 @@ def test_ridge_recovers_a_linear_map(spark):
         assert out[i] == pytest.approx((v @ m + 1).tolist(), abs=1e-6)
 
 
+def test_a_wrong_fit_leaves_a_residual(spark):
+    rng = np.random.default_rng(7)
+    rows = [(v.tolist() + [1.0], [float(v.sum()) + rng.normal(), 1.0]) for v in rng.normal(size=(200, 3))]
+    df = spark.createDataFrame(rows, "x array<double>, y array<double>").repartition(7)
+    weights = models.fit_ridge(df, "x", "y", 0.5)
+    left = models.ridge_residual(df, "x", "y", weights, 0.5).orderBy("pos").collect()
+    assert all(r["residual"] < 1e-12 and r["n"] == 200 for r in left)
+    assert [r["mean_value"] for r in left] == pytest.approx([float(np.mean([y[j] for _, y in rows])) for j in range(2)])
+    assert min(r["residual"] for r in models.ridge_residual(df, "x", "y", weights + 0.1, 0.5).collect()) > 0.05
+    with pytest.raises(ValueError):
+        models.fit_ridge(df.limit(0), "x", "y")
+
+
+def test_pattern_gradient_vanishes_at_the_fit_only(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(rng.choice([8, 10, 15])), rng.normal(size=2).tolist() + [1.0]) for _ in range(200)]
+    df = spark.createDataFrame(rows, "pattern_code int, f array<double>")
+    found = {r["pattern_code"]: r for r in models.pattern_gradient(df, "f", models.fit_pattern_classifier(df, "f")).collect()}
+    assert set(found) == {8, 10, 15} and all(r["gradient"] < 1e-5 for r in found.values())
+    assert all(r["mean_probability"] == pytest.approx(r["n"] / 200, abs=1e-5) for r in found.values())
+    early = models.pattern_gradient(df, "f", models.fit_pattern_classifier(df, "f", max_iter=1)).collect()
+    assert max(r["gradient"] for r in early) > 1e-3
+
+
 def test_outcome_models_and_pattern_classifier(spark):
     rng = np.random.default_rng(8)
     rows = []
