@@ -4,7 +4,8 @@ Texts become 64-bit fingerprints; equal fingerprints collapse before any join. T
 `budget` bits agree on at least `blocks - budget` of `blocks` bit blocks, so every choice of that many blocks is a key and
 each linked pair meets under one key. Under a key the fingerprints form a binary trie (a sorted array; a node is a
 range). Node pairs are walked together from the root, each differing bit costs one unit, and pairs over budget are pruned
-with all below them. A task reports a spanning forest of the links it finds, never the pairs.
+with all below them. A task reports a spanning forest of the links it finds, never the pairs. A key that holds very many fingerprints is
+walked as pairs of bounded parts.
 
 Nulls: a null text counts as empty, and an empty text has fingerprint zero and links like any other. A row without id gets a
 fingerprint and the component of its fingerprint; it can bridge documents and is a representative only where its component
@@ -153,43 +154,90 @@ def blocks_for(n_distinct: int, budget: int = 4) -> int:
     return blocks
 
 
-def fingerprint_edges(distinct: DataFrame, budget: int = 4, blocks: int | None = None) -> DataFrame:
-    """(a, b): fingerprints joined by a spanning forest of each key's links; `distinct` has distinct values of `fp`."""
-    blocks = blocks or blocks_for(distinct.count(), budget)
-    cuts = [64 * k // blocks for k in range(blocks + 1)]
-    keys = []
-    for number, chosen in enumerate(combinations(range(blocks), blocks - budget)):
-        mask = sum(((1 << cuts[k + 1]) - (1 << cuts[k])) for k in chosen)
-        mask -= (1 << 64) if mask >= 1 << 63 else 0
-        keys.append(F.struct(F.lit(number).alias("choice"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bits")))
-    keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.choice", "k.bits", "fp")
+def _walk(keys: list[str], budget: int, part: int):
+    """Links inside each run of rows with equal `keys`, sorted by them and `fp`: rows (a, b, part -1).
+
+    A key with more than two parts of `part` rows is not walked here: its rows come back cut into numbered parts of neighbours
+    (a = b = fp, and the key). A task holds two parts and one batch, whatever the size of a key.
+    """
 
     def links(frame):
         values = frame["fp"].to_numpy().view(np.uint64)
         values = values[np.argsort(values)]
-        found = trie_links(values, budget)
         signed = values.view(np.int64)
-        return [(signed[i], signed[j]) for i, j in found]
+        pairs = trie_links(values, budget)
+        left, right = (np.array([signed[p[k]] for p in pairs], np.int64) for k in (0, 1))
+        return pd.DataFrame({"a": left, "b": right, "part": -1})
+
+    def parts(frame, first):
+        fp = frame["fp"].to_numpy()
+        return pd.DataFrame({"a": fp, "b": fp, "part": first + np.arange(len(fp)) // part, **{k: frame[k].to_numpy() for k in keys}})
 
     def run(batches):
-        carried = None
+        open_, given = None, 0  # rows of the last key so far, and its parts already passed on
         for batch in batches:
-            if carried is not None:
-                batch = pd.concat([carried, batch], ignore_index=True)
-            choice, bits = batch["choice"].to_numpy(), batch["bits"].to_numpy()
-            edge = np.nonzero((choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1]))[0] + 1
+            frame = batch if open_ is None else pd.concat([open_, batch], ignore_index=True)
+            values = [frame[k].to_numpy() for k in keys]
+            edge = np.nonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in values]))[0] + 1
             starts = np.concatenate([[0], edge]).astype(int)
-            found = []
-            for i, j in zip(starts[:-1], starts[1:]):
-                if j - i > 1:
-                    found += links(batch.iloc[i:j])
-            carried = batch.iloc[starts[-1] :]
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-        if carried is not None and len(carried) > 1:
-            yield pd.DataFrame(links(carried), columns=["a", "b"], dtype="int64")
-
-    dealt = keyed.repartition("choice", "bits").sortWithinPartitions("choice", "bits")
-    return dealt.mapInPandas(run, "a long, b long")
+            out = []
+            for i, j in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                if given and i == 0 or j - i > 2 * part:
+                    out.append(parts(frame.iloc[i:j], given if i == 0 else 0))
+                elif j - i > 1:
+                    out.append(links(frame.iloc[i:j]))
+            if len(starts) > 1:
+                given = 0
+            open_ = frame.iloc[starts[-1] :]
+            full = (len(open_) - 1) // part  # a row stays, which names the key
+            if given or full >= 2:
+                out.append(parts(open_.iloc[: full * part], given))
+                open_, given = open_.iloc[full * part :], given + full
+            if out:
+                yield pd.concat(out).reindex(columns=["a", "b", "part", *keys]).fillna(0).astype("int64")
+        if open_ is not None and (given or len(open_) > 1):
+            last = parts(open_, given) if given else links(open_)
+            yield last.reindex(columns=["a", "b", "part", *keys]).fillna(0).astype("int64")
+
+    return run
+
+
+def _near_parts(ranges: DataFrame, budget: int) -> DataFrame:
+    """(choice, bits, i, j), i <= j: pairs of parts whose common leading bits differ in at most `budget` places; others hold no link."""
+    shared = F.when(F.col("lo") == F.col("hi"), 64).otherwise(64 - F.length(F.bin(F.col("lo").bitwiseXOR(F.col("hi")))))
+    one = ranges.select("choice", "bits", F.col("part").alias("i"), F.col("lo").alias("lo_i"), shared.alias("n_i"))
+    two = one.withColumnsRenamed({"i": "j", "lo_i": "lo_j", "n_i": "n_j"})
+    n = F.least("n_i", "n_j")
+    differing = F.when(n > 0, F.bit_count(F.expr("shiftrightunsigned(lo_i ^ lo_j, 64 - least(n_i, n_j))"))).otherwise(0)
+    return one.join(two, ["choice", "bits"]).where((F.col("i") <= F.col("j")) & (differing <= budget)).select("choice", "bits", "i", "j")
+
+
+def fingerprint_edges(distinct: DataFrame, budget: int = 4, blocks: int | None = None, part: int = 16_384) -> DataFrame:
+    """(a, b): fingerprints joined by a spanning forest of each key's links; `distinct` has distinct values of `fp`.
+
+    A key with more than `2 * part` fingerprints is cut into parts of neighbours in the sort order, and tasks walk pairs of parts. As a part
+    is a stretch of the order, its members share leading bits, and pairs of parts that these bits hold too far apart are left out.
+    """
+    blocks = blocks or blocks_for(distinct.count(), budget)
+    cuts = [64 * k // blocks for k in range(blocks + 1)]
+    keys = []
+    for number, chosen in enumerate(combinations(range(blocks), blocks - budget)):
+        mask = sum(((1 << cuts[k + 1]) - (1 << cuts[k])) for k in chosen)
+        mask -= (1 << 64) if mask >= 1 << 63 else 0
+        keys.append(F.struct(F.lit(number).cast("long").alias("choice"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bits")))
+    keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.choice", "k.bits", "fp")
+    dealt = keyed.repartition("choice", "bits").sortWithinPartitions("choice", "bits", "fp")
+    found = store(dealt.mapInPandas(_walk(["choice", "bits"], budget, part), "a long, b long, part long, choice long, bits long"), "links")
+    edges, hot = found.where("part < 0").select("a", "b"), found.where("part >= 0")
+    if hot.isEmpty():
+        return edges
+    near = _near_parts(hot.groupBy("choice", "bits", "part").agg(F.min("a").alias("lo"), F.max("a").alias("hi")), budget)
+    tile = ["choice", "bits", "i", "j"]
+    ends = near.select(*tile, F.explode(F.array_distinct(F.array("i", "j"))).alias("part"))
+    tiled = hot.select("choice", "bits", "part", F.col("a").alias("fp")).join(ends, ["choice", "bits", "part"]).select(*tile, "fp")
+    tiled = tiled.repartition(*tile).sortWithinPartitions(*tile, "fp")
+    across = tiled.mapInPandas(_walk(tile, budget, part), f"a long, b long, part long, {', '.join(f'{k} long' for k in tile)}")
+    return edges.unionByName(across.select("a", "b"))
 
 
 def _fingerprint_components(fps: DataFrame, budget: int, blocks: int | None) -> DataFrame:

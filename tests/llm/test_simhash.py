@@ -1,8 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
-from modalframe.llm.simhash import fingerprint, fingerprint_edges, keep_representatives, simhash_components, trie_links
+from modalframe.llm.simhash import _walk, fingerprint, fingerprint_edges, keep_representatives, simhash_components, trie_links
 
 
 def plain_fingerprint(text):
@@ -74,6 +75,38 @@ def test_edges_by_blocks(spark, rng, blocks):
     assert closure([(r.a, r.b) for r in found], values) == closure(truth, values)
 
 
+def near_values(rng, n):
+    """Distinct values of which most share their high 32 bits, so a few keys hold nearly all, some within the budget of each other."""
+    low = rng.integers(0, 2**18, n, dtype=np.int64) << 7
+    return sorted({int(v) for v in np.concatenate([low | (0x5A5A5A5A << 32), low[: n // 4] ^ -(1 << 62), [0, -1]])})
+
+
+@pytest.mark.parametrize("part", [16, 50, 10_000])
+def test_hot_keys_are_walked_by_parts(spark, rng, part):
+    values = near_values(rng, 700)
+    df = spark.createDataFrame([(v,) for v in values], "fp long").repartition(3)
+    got = closure([(r["a"], r["b"]) for r in fingerprint_edges(df, part=part).collect()], values)
+    pairs = [(a, b) for k, a in enumerate(values) for b in values[k + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 4]
+    assert got == closure(pairs, values)
+
+
+def test_a_task_never_holds_a_hot_key(rng):
+    """One key of 20,000 fingerprints in batches of any size: parts are full, numbered on, and hold every row once."""
+    fp = np.sort(rng.choice(2**40, 20_000, replace=False))
+    frame = pd.DataFrame({"choice": np.r_[[0], np.ones(20_000), [2, 2]].astype(np.int64), "bits": 7, "fp": np.r_[[5], fp, [1, 3]]})
+    for size in (1, 333, 2_500, 30_000):
+        if size == 1:
+            out = pd.concat(_walk(["choice", "bits"], 4, 500)(frame.iloc[i : i + 1] for i in range(18_000, len(frame))))
+            want = fp[17_999:]
+        else:
+            out = pd.concat(_walk(["choice", "bits"], 4, 500)(frame.iloc[i : i + size] for i in range(0, len(frame), size)))
+            want = fp
+        hot = out[out["part"] >= 0]
+        assert np.array_equal(hot["a"], want) and (hot["choice"] == 1).all()
+        assert (hot.groupby("part").size().iloc[:-1] == 500).all() and sorted(set(hot["part"])) == list(range(-(-len(want) // 500)))
+        assert out[out["part"] < 0][["a", "b"]].to_numpy().tolist() == [[1, 3]]
+
+
 def test_components_match_brute_force(spark, rng):
     words = [f"w{i}" for i in range(60)]
     rows = [(None, None), (3, ""), (4, None), (4, None), (None, "x y z"), (9, "x y z")]
