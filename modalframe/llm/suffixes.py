@@ -15,7 +15,8 @@ so equal suffixes, however many, spread over partitions. Three rounds keep the n
    intersection does not repeat, none does.
 3. Starts of steps left open are compared one by one (tokens: first and second half of the window).
 
-Rounds pass on only (text key, place); texts are keyed by 128 bits of content hash, so copies share their records' fate. Texts are shuffled
+A task makes records of two copies of a text at most: two occurrences are as good as a million, and a text that is a large share of all rows
+does not flood the partitions of its suffixes. Rounds pass on only (text key, place); texts are keyed by 128 bits of content hash, so copies share their records' fate. Texts are shuffled
 when decisions meet them, first all of them once, later only those with open runs.
 
 Nulls: a null text counts as empty: no bytes, nothing removed, the hash of no bytes. A null id is kept. Repeated rows are copies of
@@ -300,10 +301,17 @@ def _set(places) -> set[int]:
 
 
 def _records(texts: DataFrame, make, columns: list[str]) -> DataFrame:
+    """The records of every text; of copies of one text that a task meets, only of the first two, which count like any number."""
+
     def run(batches):
+        met: dict[tuple[int, int], bool] = {}  # text key -> met twice; two numbers a text of the task
         for batch in batches:
             out, n = [], 0
             for row in batch.itertuples(index=False):
+                key = (row.h1, row.h2)
+                if met.get(key):
+                    continue
+                met[key] = key in met
                 found = make(_data(row.text), (row.h1, row.h2), *(_set(getattr(row, c)) for c in columns))
                 out += found
                 n += sum(len(rows[0]) for rows in found)

@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import modalframe.llm.suffixes as suffixes
 from modalframe.llm.suffixes import WIDTH, multikey_order, pieces_of, remove_repeats, repeated, runs_of, sliding_least
@@ -57,6 +58,20 @@ def test_small_partitions_compare_across_boundaries(spark, rng, monkeypatch):
     assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_copies_do_not_multiply_records(spark, rng):
+    """One text on most rows: each task makes records of two copies, and the result is that of all rows."""
+    hot, other = letters(rng, 1300), letters(rng, 900)
+    rows = [(k, hot) for k in range(240)] + [(300, other), (301, letters(rng, 30) + hot[200:700]), (302, other[100:600] + letters(rng, 50))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    keyed = docs.select("text", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(7)).alias("h2"))
+    make = lambda d, h: suffixes.run_records(d, h, 1 << 20)
+    one = suffixes._records(keyed.where(F.col("text") == hot).limit(1), make, []).count()
+    hot_records = suffixes._records(keyed.where(F.col("text") == hot), make, []).count()
+    assert one > 0 and hot_records == 2 * 4 * one
+    assert run(docs) == brute(rows)
+    docs.unpersist()
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert remove_repeats(docs).count() == 0
