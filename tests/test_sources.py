@@ -115,6 +115,22 @@ def test_record_scan_lists_cohort_folders_only(spark, tmp_path):
     assert sorted(r["subject_id"] for r in plain.collect()) == [39, 3000001]
 
 
+def test_record_scan_without_filter_pushdown(spark, tmp_path):
+    base = f"{tmp_path}/files"
+    for sid in range(4):
+        write(f"{base}/p0/p{sid}/s1/v.tfrecord", encode_vector(np.full(4, sid, np.float32)))
+    setting = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        cohort = spark.createDataFrame([(1,), (3,)], "subject_id long")
+        got = records.scan_records(spark, base, cohort).where("subject_id >= 2 and error is null")
+        assert [r["subject_id"] for r in got.collect()] == [3]
+        assert sorted(r["subject_id"] for r in records.scan_records(spark, base).where("subject_id >= 2").collect()) == [2, 3]
+    finally:
+        spark.conf.set(setting, before)
+
+
 def test_checksum_and_other_features():
     assert records.masked_crc(b"123456789") == ((0xE3069283 >> 15 | 0xE3069283 << 17) + 0xA282EAD8) & 0xFFFFFFFF
     assert records.decode_vector(encode_vector([1.0], "other")) == []
