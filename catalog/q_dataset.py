@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from modalframe.functions.numeric import logit, round_to
 from modalframe.functions.patterns import pattern_code
 from modalframe.operators import clean, quantiles, sampling, scale, split, training
-from modalframe.plans.cohort import build_features
 from modalframe.session import materialize
 
-from .q_cohort import WIDE_CTES, WIDE_NUMERIC, WIDE_STRINGS, WIDE_TABLES, WIDE_VIEWS
+from .q_cohort import WIDE_CTES, WIDE_NUMERIC, WIDE_STRINGS, WIDE_VIEWS
+from .q_cohort import wide as build_wide
 from .q_vectors import _FLAG_CTES, flags
 from .registry import query, r6, sql
 from .views import view
@@ -25,12 +25,12 @@ def q(c: str) -> str:
 
 def unfilled(spark, sf_dir):
     """The wide table before gaps are filled, written once: the fits below read it more than once."""
-    return materialize(build_features({t: view(spark, sf_dir, f"v_{t}") for t in WIDE_TABLES}, fill=False), "wide")
+    return materialize(build_wide(spark, sf_dir, fill=False), "wide")
 
 
 def dataset(spark, sf_dir):
     """Wide features with flags, pattern and split, written once."""
-    wide = build_features({t: view(spark, sf_dir, f"v_{t}") for t in WIDE_TABLES})
+    wide = build_wide(spark, sf_dir)
     both = wide.join(flags(spark, sf_dir).drop("missing_pattern"), "subject_id")
     stratum = split.stratum_of("death_after_discharge_180d", "readmission_30d", "pattern_code")
     return split.assign_split(materialize(both, "dataset"), stratum, few_strata=9)
@@ -177,7 +177,7 @@ _ORDER = [*[c for c in WIDE_STRINGS[:3]], "idx_los", *[c for c in WIDE_STRINGS[3
 @query("struct_vector", sql(WIDE_VIEWS, WIDE_CTES, " UNION ALL ".join(
     f"SELECT subject_id, CAST({i} AS INT) AS pos, {r6(f'coalesce(TRY_CAST({q(c)} AS DOUBLE), 0.0)')} AS value FROM wide" for i, c in enumerate(_ORDER))))
 def struct_vector(spark, sf_dir):
-    wide = build_features({t: view(spark, sf_dir, f"v_{t}") for t in WIDE_TABLES})
+    wide = build_wide(spark, sf_dir)
     return scale.struct_vector(wide).select("subject_id", F.posexplode("x_struct").alias("pos", "v")).select("subject_id", "pos", round_to("v").alias("value"))
 
 

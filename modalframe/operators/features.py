@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import nan_to_null
+from ..session import materialize
 
 PAIR = ["subject_id", "hadm_id"]
 MAX_CATEGORIES = 10_000
@@ -52,6 +54,21 @@ def at_index(detail: DataFrame, pairs: DataFrame | None) -> DataFrame:
     return detail if pairs is None else detail.join(pairs.select(*PAIR), PAIR, "left_semi")
 
 
+class SharedRows(NamedTuple):
+    """Detail tables that are all drawn from one relation: `tables(rows)` gives them by name.
+
+    Each row of a table comes from one row of `rows` and has its subject and admission, or NULL in their place.
+    """
+
+    rows: DataFrame
+    tables: Callable[[DataFrame], dict[str, DataFrame]]
+
+
+def shared_at_index(shared: SharedRows, pairs: DataFrame) -> dict[str, DataFrame]:
+    """The detail tables drawn from the shared rows of the index admissions only, which are found and stored once for all tables."""
+    return shared.tables(materialize(at_index(shared.rows, pairs), "index_rows"))
+
+
 def label_labs(labs: DataFrame) -> DataFrame:
     return labs.withColumn("abnormal", F.coalesce(F.col("flag"), F.lit("NORMAL")) != "NORMAL")
 

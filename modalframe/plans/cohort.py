@@ -26,11 +26,13 @@ def require(df: DataFrame, columns, what: str) -> DataFrame:
 
 
 def build_features(
-    tables: dict[str, DataFrame], subjects: DataFrame | None = None, mode: str = "row", fill: bool = True, categories: dict[str, list[str]] | None = None, buckets: int | None = None
+    tables: dict[str, DataFrame], subjects: DataFrame | None = None, mode: str = "row", fill: bool = True, categories: dict[str, list[str]] | None = None, buckets: int | None = None,
+    shared: features.SharedRows | None = None,
 ) -> DataFrame:
     """One row per cohort subject: index features, three labels, patient one-hots and all detail aggregates.
 
     `fill=False` keeps gaps as NULL, for imputation later. `buckets` says that all tables are bucketed by subject into so many.
+    `shared` says that the detail tables are drawn from one relation: it meets the index admissions once, in place of every table on its own.
     """
     patients, admissions = tables["patients"], tables["admissions"]
     if subjects is None:
@@ -52,7 +54,9 @@ def build_features(
         # one pair a subject, the index admission of `first`: the subject alone is key enough
         wide = base.join(details, "subject_id", "left").drop("hadm_id", "_h")
     else:
-        wide = base.join(features.combined_frame(there, pairs), features.PAIR, "left").drop("hadm_id")
+        # drawn from rows of index admissions, the tables need not meet the pairs again
+        details = features.combined_frame(features.shared_at_index(shared, pairs)) if shared else features.combined_frame(there, pairs)
+        wide = base.join(details, features.PAIR, "left").drop("hadm_id")
     return features.fill_missing(wide) if fill else wide
 
 

@@ -1,11 +1,12 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from modalframe.operators import cohort as C
 from modalframe.operators import features as X
 from modalframe.operators import labels as L
-from modalframe.plans.cohort import require
+from modalframe.plans.cohort import build_features, require
 
 ADM = "subject_id long, hadm_id long, admittime timestamp_ntz, dischtime timestamp_ntz, deathtime timestamp_ntz, insurance string, hospital_expire_flag int"
 
@@ -108,3 +109,30 @@ def test_require(spark):
         require(df, ["b"], "x")
     with pytest.raises(ValueError):
         require(df.filter("a > 1"), ["a"], "x")
+
+
+def test_shared_rows_meet_the_pairs_once(spark, monkeypatch):
+    """Tables drawn from one relation give the same features, from the rows of the index admissions alone."""
+    ids = spark.range(600).select(
+        F.when(F.col("id") % 41 != 0, F.col("id") % 30).alias("subject_id"), (F.col("id") % 90).alias("hadm_id"), F.col("id").alias("n"), (F.col("id") % 7).cast("double").alias("v")
+    )
+
+    def tables(rows):
+        lost = F.when(F.col("n") % 5 != 0, F.col("hadm_id")).alias("hadm_id")
+        return {
+            "diagnoses_icd": rows.select(*X.PAIR, F.concat(F.lit("c"), F.col("n") % 4).alias("icd_code")), "drgcodes": rows.where("n % 2 = 0").select(*X.PAIR, F.lit("x").alias("drg_code"), F.col("v").alias("drg_severity")),
+            "labevents": rows.select("subject_id", lost, F.col("n").alias("labevent_id"), F.lit("abnormal").alias("flag")), "icustays": rows.where("n % 3 = 0").select(*X.PAIR, F.col("n").alias("stay_id"), F.col("v").alias("los")),
+            "inputevents": rows.select(*X.PAIR, F.col("v").alias("totalamount")), "outputevents": rows.where("n < 300").select(*X.PAIR, F.col("v").alias("value")),
+        }
+
+    stays = [(s, 30 * k + s, day(k * 40 + (2 if s % 2 else 0)), day(k * 40 + 3), "a", k) for s in range(29) for k in (2, 1, 0)]
+    columns = ("admission_type", "race", "admission_location", "discharge_location")
+    people = spark.range(29).selectExpr("id AS subject_id", "'F' AS gender", "40 AS anchor_age", "'2008 - 2010' AS anchor_year_group")
+    both = {"patients": people, "admissions": admissions(spark, stays).withColumns({c: F.lit("t") for c in columns}), **tables(ids)}
+    seen = []
+    plain = build_features(both)
+    kept = X.at_index
+    monkeypatch.setattr(X, "at_index", lambda rows, pairs: seen.append(pairs) or kept(rows, pairs))
+    shared = build_features(both, shared=X.SharedRows(ids, tables))
+    assert sum(p is not None for p in seen) == 1
+    assert sorted(map(str, shared.collect())) == sorted(map(str, plain.select(shared.columns).collect())) and shared.agg(F.sum("idx_lab_count")).first()[0] > 50
