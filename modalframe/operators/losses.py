@@ -21,6 +21,7 @@ SMOOTHING = 0.1
 TEMPERATURE = 0.1
 BATCH_ROWS = 32
 TILE_ROWS = 4_096
+FULL_PARTS = 12  # parts of a batch from which on parts grow to TILE_ROWS rows before more are made
 SLICE_ROWS = 512
 
 
@@ -125,8 +126,11 @@ def assign_batches(df: DataFrame, ident: str, rows: int = BATCH_ROWS, seed: int
 
 def _tiled(df: DataFrame, batch: str, ident: str, tile: int) -> DataFrame:
     """Every row once for each pair of parts (`_i`, `_j`) of its batch that it takes part in: as one of the scored rows (`_role` 0), of those
-    compared with (1), or of both (2, the pairs of a part with itself). A batch of up to `tile` rows is one part."""
-    sizes = df.groupBy(F.col(batch).alias("_b")).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("_k"))
+    compared with (1), or of both (2, the pairs of a part with itself). A batch of up to `tile` rows is one part. As a row is sent twice for each part, a batch is cut
+    into no more than `FULL_PARTS` parts as long as they hold up to `TILE_ROWS` rows (or `tile`, if larger) each."""
+    n = F.count(F.lit(1))
+    parts = F.least(F.ceil(n / tile), F.greatest(F.lit(FULL_PARTS), F.ceil(n / max(tile, TILE_ROWS))))
+    sizes = df.groupBy(F.col(batch).alias("_b")).agg(parts.cast("int").alias("_k"))
     rows = df.join(sizes, F.col(batch).eqNullSafe(F.col("_b"))).drop("_b").withColumn("_p", F.pmod(F.xxhash64(F.col(ident)), F.col("_k")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("_k") - 1), lambda q: q != F.col("_p"))
 

@@ -56,6 +56,13 @@ def test_groups_stay_bounded(spark, rows):
     assert [r["count"] for r in placed.filter("batch_id = 0 AND _role <> 1").groupBy("id").count().select("count").distinct().collect()] == [9] and parts
 
 
+def test_small_tiles_do_not_send_a_row_without_end(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA)
+    placed = losses._tiled(df, "batch_id", "id", 2).where("batch_id = 0").groupBy("id").count()
+    assert placed.agg(F.max("count")).first()[0] == 2 * losses.FULL_PARTS - 1
+    check(losses.contrastive_score(df, "id", "v", "p", tile=2), by_hand(rows, 0.1))
+
+
 def test_odd_rows(spark):
     odd = [(1, "a", [1.0, 0.0], None), (2, "a", [0.5, 0.5], None), (2, "a", [0.0, 1.0], None), (3, "a", None, None), (4, None, [0.0, 0.0], 5), (5, None, [1.0, 1.0], 5), (6, "x", [1.0, 1.0], 6)]
     for tile in (1, 100):
