@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import new_path, qualified, small_table
+from ..session import materialize, new_path, qualified, small_table
 from .tables import path_exists
 
 HOT_FACTOR = 2.0
+BUCKET_ROWS = 4_000_000  # rows of all tables together that a task is given to sort
 
 
 @dataclass
@@ -58,18 +59,29 @@ def write_bucketed(df: DataFrame, key: str, buckets: int, path: str | None = Non
     return spark.table(_name(path))
 
 
-def hot_keys(tables: dict[str, DataFrame], key: str, buckets: int, factor: float = HOT_FACTOR) -> DataFrame:
+def key_counts(tables: dict[str, DataFrame], key: str) -> DataFrame:
+    """`(key, n)`: rows of every key over all tables together."""
+    parts = [df.groupBy(F.col(key).alias(key)).agg(F.count(F.lit(1)).alias("n")) for df in tables.values()]
+    return reduce(DataFrame.unionAll, parts).groupBy(key).agg(F.sum("n").alias("n"))
+
+
+def buckets_for(rows: int, buckets: int, bucket_rows: int = BUCKET_ROWS) -> int:
+    """The wanted number of buckets, or the multiple of it that keeps `rows` of all tables to about `bucket_rows` a bucket."""
+    return buckets * max(1, -(-rows // (buckets * bucket_rows)))
+
+
+def hot_keys(tables: dict[str, DataFrame], key: str, buckets: int, factor: float = HOT_FACTOR, counts: DataFrame | None = None) -> DataFrame:
     """The keys (NULL is one) with more than `factor` times the mean rows of a bucket, over all tables together: fewer than `buckets / factor` keys."""
-    stacked = reduce(DataFrame.unionAll, [df.select(F.col(key).alias(key)) for df in tables.values()])
-    counts = stacked.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = stacked.count()
+    counts = key_counts(tables, key) if counts is None else counts
+    total = counts.agg(F.sum("n")).first()[0] or 0
     return small_table(counts.filter(F.col("n") > factor * total / buckets).select(key), int(buckets / factor) + 1)
 
 
-def write_keyed(tables: dict[str, DataFrame], path: str, key: str, buckets: int, factor: float = HOT_FACTOR) -> None:
+def write_keyed(tables: dict[str, DataFrame], path: str, key: str, buckets: int, factor: float = HOT_FACTOR, bucket_rows: int = BUCKET_ROWS) -> None:
     """Store all `tables` under `path`, unless a complete snapshot lies there.
 
-    A bucket is read by one task, so choose `buckets` for rows / buckets that a task can sort, and rows of hot keys go to a part of their
+    A bucket is read by one task: `buckets` is the least number of them, with more than `bucket_rows` rows a bucket there are as many times
+    more as it takes (the layout tells how many). Rows of hot keys go to a part of their
     own in the ordinary layout. The layout is written last: without it nothing can be opened, so a broken-off write is never read. Such a
     rest is not overwritten; write to a new path.
     """
@@ -77,7 +89,9 @@ def write_keyed(tables: dict[str, DataFrame], path: str, key: str, buckets: int,
     spark = next(iter(tables.values())).sparkSession
     if path_exists(spark, f"{root}/layout/_SUCCESS"):
         return
-    hot = hot_keys(tables, key, buckets, factor)
+    counts = materialize(key_counts(tables, key), "key_counts")
+    buckets = buckets_for(counts.agg(F.sum("n")).first()[0] or 0, buckets, bucket_rows)
+    hot = hot_keys(tables, key, buckets, factor, counts)
     some_hot = not hot.isEmpty()
     wanted = F.broadcast(hot.select(F.col(key).alias("_hot")))  # fewer than buckets / factor rows
     for name, df in tables.items():

@@ -44,6 +44,14 @@ def test_hot_keys_and_nothing_lost(spark, detail, tmp_path):
     assert open_keyed(spark, path).buckets == 16
 
 
+def test_buckets_grow_with_the_rows(spark, detail, tmp_path):
+    path = f"file://{tmp_path}/t"
+    write_keyed({"a": detail, "b": detail}, path, "subject_id", 4, factor=HOT_FACTOR * 10, bucket_rows=500)
+    stored = open_keyed(spark, path)
+    assert stored.buckets == 12 and rows(stored.table("a")) == rows(detail)
+    assert stored.tables["a"].groupBy(F.input_file_name()).count().agg(F.count("*")).first()[0] > 4
+
+
 def test_null_may_be_the_hot_key(spark, tmp_path):
     df = spark.range(900).select(F.when(F.col("id") % 2 == 0, None).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
     path = f"file://{tmp_path}/t"
