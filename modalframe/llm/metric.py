@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import bounded_rows, components, store
 
-TILE = 2048  # residents in one chunk of a cell
-SLACK = 1e-6  # widens the prefilter and the replication against rounding
+TILE = 8192  # residents, and members, in one group of a cell
+SLICE = 1024  # residents compared at a time
+SLACK = 1e-6  # widens the replication against rounding
+MARGIN = 1e-4  # widens the prefilter against rounding of dot products in single precision
 
 
 def _scaled(rows: np.ndarray) -> np.ndarray:
@@ -99,31 +101,54 @@ def assign_cells(vectors: DataFrame, pivots: dict[int, np.ndarray], radius: floa
     return vectors.select("node", "v", "n").mapInPandas(run, "size int, cell int, home boolean, node long, v array<double>, n long")
 
 
-def _groups(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Group number of each row and column of a two-sided link matrix (-1: no link): least row number reached, to a fixed point."""
-    n, m = near.shape
-    rows, columns = np.where(near.any(1), np.arange(n), n), np.full(m, n)
+def _link_groups(i: np.ndarray, j: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Group number of each of `n` rows and `m` columns linked as `(i, j)` pairs, `i` rising (-1: no link): least row number reached, to a fixed point."""
+    rows, columns = np.full(n, n), np.full(m, n)
+    if not len(i):
+        return np.full(n, -1), np.full(m, -1)
+    order = np.argsort(j, kind="stable")
+    (linked, row_starts), (met, column_starts) = (np.unique(x, return_index=True) for x in (i, j[order]))
+    rows[linked] = linked
     while True:
-        columns = np.minimum(columns, np.where(near, rows[:, None], n).min(0, initial=n))
-        new = np.minimum(rows, np.where(near, columns[None, :], n).min(1, initial=n))
+        columns[met] = np.minimum(columns[met], np.minimum.reduceat(rows[i[order]], column_starts))
+        new = rows.copy()
+        new[linked] = np.minimum(rows[linked], np.minimum.reduceat(columns[j], row_starts))
         if (new == rows).all():
             return np.where(rows < n, rows, -1), np.where(columns < n, columns, -1)
         rows = new
 
 
+def _groups(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a link matrix."""
+    return _link_groups(*np.nonzero(near), *near.shape)
+
+
 def _tile(residents: pd.DataFrame, others: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """(node, near, other): linked multiplicity of each resident (other null), and each linked node with one of its group (near 0)."""
+    """(node, near, other): linked multiplicity of each resident (other null), and each linked node with one of its group (near 0).
+
+    Residents are compared slice by slice, so that the links held at a time are those of `SLICE` residents. Single precision only discards pairs;
+    whatever is not clearly below the threshold is decided in double precision.
+    """
     own, rows = (np.array(x["v"].tolist(), np.float64) for x in (residents, others))
-    dots = _unit(own) @ _unit(rows).T
-    near = dots >= cosine + SLACK
-    i, j = np.nonzero((dots >= cosine - SLACK) & ~near)
-    near[i, j] = cosines(own[i], rows[j]) >= cosine
-    counts = near @ others["n"].to_numpy()
-    nodes, labels = residents["node"].to_numpy(), others["node"].to_numpy()
-    of_row, of_column = _groups(near)
-    a = np.concatenate([nodes[of_row >= 0], labels[of_column >= 0]])
-    b = nodes[np.concatenate([of_row[of_row >= 0], of_column[of_column >= 0]])]
-    a, b = a[a != b], b[a != b]
+    small, flat = _unit(own).astype(np.float32), np.ascontiguousarray(_unit(rows).astype(np.float32).T)
+    nodes, labels, times = residents["node"].to_numpy(), others["node"].to_numpy(), others["n"].to_numpy()
+    counts, edges = np.zeros(len(own), np.int64), []
+    for at in range(0, len(own), SLICE):
+        dots = small[at : at + SLICE] @ flat
+        i, j = np.divmod(np.flatnonzero(dots >= np.float32(cosine - MARGIN)), len(rows))
+        close = np.flatnonzero(dots[i, j] < np.float32(cosine + MARGIN))
+        keep = np.ones(len(i), bool)
+        for k in range(0, len(close), 65_536):
+            part = close[k : k + 65_536]
+            keep[part] = cosines(own[at + i[part]], rows[j[part]]) >= cosine
+        i, j = i[keep], j[keep]
+        mine = nodes[at : at + SLICE]
+        np.add.at(counts, at + i, times[j])
+        of_row, of_column = _link_groups(i, j, len(mine), len(rows))
+        a = np.concatenate([mine[of_row >= 0], labels[of_column >= 0]])
+        b = mine[np.concatenate([of_row[of_row >= 0], of_column[of_column >= 0]])]
+        edges.append((a[a != b], b[a != b]))
+    a, b = (np.concatenate(x) for x in zip(*edges))
     other = pd.Series(np.concatenate([np.zeros(len(nodes), np.int64), b]), dtype="Int64")
     other[: len(nodes)] = pd.NA
     return pd.DataFrame({"node": np.concatenate([nodes, a]), "near": np.concatenate([counts, np.zeros(len(a), np.int64)]), "other": other})

@@ -1,6 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 
+from modalframe.llm import metric
+from modalframe.llm.common import UnionFind
 from modalframe.llm.metric import _groups, near_vectors
 
 
@@ -72,3 +75,28 @@ def test_groups_of_a_matrix():
     near = np.zeros((4, 5), bool)
     near[0, 1] = near[2, 1] = near[2, 3] = near[3, 4] = True
     assert [x.tolist() for x in _groups(near)] == [[0, -1, 0, 3], [-1, 0, -1, 0, 3]]
+
+
+def test_a_tile_compares_slice_by_slice(monkeypatch):
+    """Links and groups of a tile do not depend on the slices, and no more than a slice of residents is compared at a time."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(90, 6))
+    v[30:60] = v[:30] + 0.05 * rng.normal(size=(30, 6))
+    frame = pd.DataFrame({"node": np.arange(90), "v": list(v), "n": 1 + np.arange(90) % 3})
+    found = []
+    for size in (7, 1024):
+        monkeypatch.setattr(metric, "SLICE", size)
+        out = metric._tile(frame.iloc[:50], frame, 0.95)
+        counts = out[out["other"].isna()]
+        found.append(counts["near"].tolist())
+        want = [int(frame["n"][metric.cosines(np.repeat(v[k : k + 1], 90, 0), v) >= 0.95].sum()) for k in range(50)]
+        assert counts["near"].tolist() == want
+        sets = UnionFind(90)
+        for a, b in out[out["other"].notna()][["node", "other"]].astype(int).to_numpy().tolist():
+            sets.union(a, b)
+        whole = UnionFind(90)
+        for k in range(50):
+            for j in np.flatnonzero(metric.cosines(np.repeat(v[k : k + 1], 90, 0), v) >= 0.95).tolist():
+                whole.union(k, j)
+        assert [sets.find(k) for k in range(90)] == [whole.find(k) for k in range(90)]
+    assert found[0] == found[1]
