@@ -35,14 +35,14 @@ def predict_outcomes(df: DataFrame, models: dict[str, Head], features: str, labe
     return df.select(ident, *out, *FLAGS, modality_count().alias("modality_count"), pattern_string().alias("missing_pattern"))
 
 
-def fit_pattern_classifier(train: DataFrame, features: str, pattern: str = "pattern_code", max_iter: int = 200, reg: float = 0.01, tol: float = 1e-10) -> LogisticRegressionModel:
+def fit_pattern_classifier(train: DataFrame, features: str, pattern: str = "pattern_code", max_iter: int = 1000, reg: float = 0.01, tol: float = 1e-10) -> LogisticRegressionModel:
     """Multinomial logistic regression of the pattern code on the features."""
     rows = train.select(pattern, array_to_vector(features).alias("_f"))
     estimator = LogisticRegression(featuresCol="_f", labelCol=pattern, family="multinomial", maxIter=max_iter, regParam=reg, tol=tol, predictionCol="_y", probabilityCol="_p")
     return estimator.fit(rows)
 
 
-def classify_patterns(train: DataFrame, df: DataFrame, features: str, pattern: str = "pattern_code", ident: str = "subject_id", max_iter: int = 200, reg: float = 0.01) -> DataFrame:
+def classify_patterns(train: DataFrame, df: DataFrame, features: str, pattern: str = "pattern_code", ident: str = "subject_id", max_iter: int = 1000, reg: float = 0.01) -> DataFrame:
     """The most likely pattern code of each row given its features: `(ident, pattern, predicted)`."""
     model = fit_pattern_classifier(train, features, pattern, max_iter, reg)
     return model.transform(df.select(ident, pattern, array_to_vector(features).alias("_f"))).select(ident, pattern, F.col("_y").cast("int").alias("predicted"))
