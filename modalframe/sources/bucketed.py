@@ -15,7 +15,7 @@ from ..session import materialize, new_path, qualified, small_table
 from .tables import path_exists
 
 HOT_FACTOR = 2.0
-BUCKET_ROWS = 4_000_000  # rows of all tables together that a task is given to sort
+BUCKET_ROWS = 2_000_000  # rows of all tables together that a task is given to sort
 
 
 @dataclass
