@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import clip, finite
 from ..functions.patterns import FLAGS, pattern_string
-from ..session import new_path, small_table
+from ..session import new_path, small_methods, small_table
 from ..sources.tables import path_exists
 from . import rectifier
 from .metrics import auc_with_overall, compare_metrics, ranking_metrics, stack_scores
@@ -163,7 +163,8 @@ def icu_deltas(state: DataFrame, params: DataFrame, rate: float) -> DataFrame:
 def candidates(state: DataFrame, params: DataFrame, rate: float = 1.0, use_labels: bool = True) -> DataFrame:
     """Adds `d_readm`, `d_icu`, `shift_icu`, `status` and the candidate scores `c_readm`, `c_icu` (NULL = not correctable)."""
     table = params.join(icu_deltas(state, params, rate), "pattern", "left").select("pattern", "d_readm", "d_icu", "shift_icu", "status")
-    table = small_table(table, MAX_PATTERNS)
+    # a bounded table: without the hint its size is not known, and the rows would be shuffled by their few patterns
+    table = F.broadcast(small_table(table, MAX_PATTERNS))
     rows = state.join(table, "pattern", "left")
     on = F.col("status") == "corrected"
     moved = rectifier.rank_aware(F.col("readm"), F.col("d_readm"), F.lit(True))
@@ -231,7 +232,7 @@ def gates(cand: DataFrame, selective: bool, splits: list[float] | None = None, n
 
 def blend(cand: DataFrame, gate: DataFrame, use_labels: bool = True) -> DataFrame:
     """New `readm` and `icu` (the blends) plus `icu_ensemble`."""
-    rows = cand.join(gate.select("pattern", "w_readm", "w_icu"), "pattern", "left")
+    rows = cand.join(F.broadcast(gate.select("pattern", "w_readm", "w_icu")), "pattern", "left")  # a row per corrected pattern
     c, w = F.col("c_readm"), F.col("w_readm")
     extra = F.when((c > 0.4) & (c < 0.6), 0.05 * F.signum(c - 0.5))
     if use_labels:
@@ -333,6 +334,11 @@ def correct_predictions(
     three jobs: the adaptive deltas, the candidates' metrics by pattern, and the metrics of the blended scores, by pattern and over all, of which the next
     iteration's gates and the final ensemble need no others.
     """
+    with small_methods(df.sparkSession):
+        return _correct(df, selective, use_labels, max_iterations, ident, folder)
+
+
+def _correct(df: DataFrame, selective: bool, use_labels: bool, max_iterations: int, ident: str, folder: str | None) -> Correction:
     spark = df.sparkSession
     root = (folder or new_path(spark, "correction")).rstrip("/")
     settings = {"selective": selective, "use_labels": use_labels, "ident": ident}

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from modalframe.operators import correction as K
+from modalframe.session import small_methods
 
 from test_metrics import brute_auc
 from test_rectifier import rules
@@ -178,3 +179,29 @@ def test_metrics_from_one_counting(spark):
         for r in auc_and_brier(stack_scores(state, K.NOW, part), [*part, "task"]).collect():
             got = found[(r["pattern"] if part else K.EVERY, r["task"])]
             assert got == pytest.approx((r["auc"], r["brier"]), nan_ok=True) if r["auc"] is not None else got[0] is None
+
+
+def test_iterations_do_not_shuffle_rows_by_pattern(spark):
+    """The tables of patterns are broadcast although their size is not known, so no task takes in all rows of a pattern."""
+    pattern, readm, icu, y_readm, y_icu = fixture()
+    rows = [(i, str(p), float(a), float(b), float(c), float(d), float(c), float(d)) for i, (p, a, b, c, d) in enumerate(zip(pattern, y_readm, y_icu, readm, icu))]
+    state = spark.createDataFrame(rows, "id long, pattern string, y_readm double, y_icu double, readm0 double, icu0 double, readm double, icu double")
+    params = spark.createDataFrame([("1010", 0.1, -0.1, 0.05, 150, "corrected"), ("1110", None, None, None, 240, "reference")], K._PARAM_SCHEMA)
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    try:
+        cand = K.candidates(state, params)
+        plan = K.blend(cand, K.gates(cand, False))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(setting, before)
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+
+
+def test_large_methods_are_avoided_in_the_correction_only(spark):
+    setting = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(setting)
+    with pytest.raises(ZeroDivisionError), small_methods(spark):
+        assert int(spark.conf.get(setting)) <= 8000
+        1 / 0
+    assert spark.conf.get(setting) == before
