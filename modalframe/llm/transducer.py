@@ -45,6 +45,8 @@ CUT, CUT_BEFORE = 1, 2
 #: word starts certain in any state: a blank after something that is none
 CERTAIN = re.compile(r"(?<=\S)[ \t\n\r]")
 PART, CHUNK, LONG_WORD = 1 << 20, 256, 256
+#: pairs of tokens held at once (either memo is emptied beyond that), factor of a pair's number, rows of a table beyond `max_states`, texts taken at a time
+REMEMBERED, PAIRED, SPARE, TEXTS = 100_000, 1 << 32, 4096, 1000
 
 
 def _cut_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +153,8 @@ class MergeMachine:
     """Byte transducer of a merge tokenizer, compiled transition by transition.
 
     `tokens`: bytes of each token, `merges`: (left, right, merged token) by rank. `table[state, byte]` is 16 * next state + output + 8, or
-    -1 where not compiled. State 0 is the empty word.
+    0 where not compiled. State 0 is the empty word, to which no transition leads. The table has its full height from the start, but zeros
+    that were never written take no memory, and it is never copied. Pairs are remembered by one number each (`PAIRED` * left + right).
     """
 
     def __init__(self, tokens: dict[int, bytes], merges: list[tuple[int, int, int]], max_states: int = 120_000, settled: int = 40) -> None:
@@ -159,7 +162,7 @@ class MergeMachine:
         self.rank = {merged: k for k, (_, _, merged) in enumerate(merges)}
         self.parts = {merged: (left, right) for left, right, merged in merges}
         self.pair = {(left, right): k for k, (left, right, _) in enumerate(merges)}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
         #: trie over the tokens that merging can reach: (node, byte) -> node; node -> token
         self.child: dict[tuple[int, int], int] = {}
         self.token: dict[int, int] = {}
@@ -181,7 +184,9 @@ class MergeMachine:
         for node, token in self.token.items():
             while node := above[node]:
                 self.below.setdefault(node, []).append(token)
-        self.blocked: dict[tuple[int, int], frozenset[int]] = {}
+        self.blocked: dict[int, frozenset[int]] = {}
+        #: equal sets are one object
+        self.sets: dict[frozenset[int], frozenset[int]] = {}
         self.clear()
 
     def _reachable(self, token: int) -> bool:
@@ -189,7 +194,8 @@ class MergeMachine:
         return self._stay(left, right, self.rank[token])
 
     def clear(self) -> None:
-        self.table = np.full((1024, 256), -1, np.int32)
+        self.table = None  # given back before the new one is made
+        self.table = np.zeros((self.max_states + SPARE, 256), np.int32)
         self.states: list[tuple] = [((0, frozenset(), 0),)]  # suffixes, longest first: (trie node, what stands to its left, tokens fewer there)
         self.number = {self.states[0]: 0}
 
@@ -201,19 +207,21 @@ class MergeMachine:
             return left and left.intersection(possible)
         if len(possible) > self.settled:
             return left
-        known = self.blocked.get((node, left))
+        known = self.blocked.get(node * PAIRED + left)
         if known is None:
-            if len(self.blocked) > 500_000:
+            if len(self.blocked) > REMEMBERED:
                 self.blocked.clear()
-            known = self.blocked[node, left] = frozenset(t for t in possible if not self.stay_apart(left, t))
+                self.sets.clear()
+            known = frozenset([t for t in possible if not self.stay_apart(left, t)])
+            known = self.blocked[node * PAIRED + left] = self.sets.setdefault(known, known)
         return known
 
     def stay_apart(self, a: int, b: int) -> bool:
-        known = self.apart.get((a, b))
+        known = self.apart.get(a * PAIRED + b)
         if known is None:
-            if len(self.apart) > 500_000:
+            if len(self.apart) > REMEMBERED:
                 self.apart.clear()
-            known = self.apart[a, b] = self._stay(a, b, float("inf"))
+            known = self.apart[a * PAIRED + b] = self._stay(a, b, float("inf"))
         return known
 
     def _stay(self, a: int, b: int, limit: float) -> bool:
@@ -252,8 +260,8 @@ class MergeMachine:
         if number is None:
             number = self.number[after] = len(self.states)
             self.states.append(after)
-            if number >= len(self.table):
-                self.table = np.concatenate([self.table, np.full(self.table.shape, -1, np.int32)])
+            if number >= len(self.table):  # one step may compile more states than are spare
+                self.table = np.concatenate([self.table, np.zeros((len(self.table) // 4 + 1, 256), np.int32)])
         entry = self.table[state, byte] = 16 * number + output + 8
         return int(entry)
 
@@ -262,7 +270,7 @@ class MergeMachine:
         state = total = 0
         for byte in word:
             entry = int(self.table[state, byte])
-            if entry < 0:
+            if not entry:
                 if len(self.states) >= self.max_states:
                     chain = self.states[state]
                     self.clear()
@@ -294,7 +302,7 @@ class MergeMachine:
                 break
             key = state[:n] * 256 + raw[at[:n] + j]
             entry = self.table.reshape(-1).take(key)
-            new = np.nonzero(entry < 0)[0]
+            new = np.nonzero(entry == 0)[0]
             if len(new):
                 for one in np.unique(key[new]).tolist():
                     self.compile(one >> 8, one & 255)
@@ -410,10 +418,12 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 512, id_col: str
     def run(batches):
         counter = compiled(key, lambda: TokenCounter(tokens, merges, specials, np.repeat(*runs), max_states))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n = pa.array(counter.count(texts))
-            size = pa.array([len(t.encode("utf-8", "replace")) if t else 0 for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), size, n], names=["doc_id", "n_bytes", "n_tokens"])
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                texts = part.column(1).to_pylist()
+                n = pa.array(counter.count(texts))
+                size = pa.array([len(t.encode("utf-8", "replace")) if t else 0 for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), size, n], names=["doc_id", "n_bytes", "n_tokens"])
 
     schema = StructType([StructField("doc_id", docs.schema[id_col].dataType), StructField("n_bytes", LongType()), StructField("n_tokens", LongType())])
     counted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

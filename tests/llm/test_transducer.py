@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from modalframe.llm import transducer
 from modalframe.llm.transducer import N_STATES, CUTS, TokenCounter, character_classes, chunk_maps, confirm_classes, count_tokens, prefix_scan, read_model
 from tokenizers import Tokenizer
 
@@ -52,6 +53,24 @@ def test_small_table_is_compiled_anew_without_change(library, counter):
     assert len(small.machine.states) < 2000
 
 
+def test_table_is_not_copied_and_equal_sets_are_held_once(library, counter):
+    texts = random_texts(20_000)
+    own = TokenCounter(*read_model(MODEL), counter.classes)
+    table = own.machine.table
+    assert own.count(texts).tolist() == expected(library, texts)
+    assert len(own.machine.states) > 1024 and own.machine.table is table
+    held = own.machine.blocked.values()
+    assert len(held) > len(set(held)) == len(set(map(id, held)))
+
+
+def test_small_memos_change_no_count(library, counter, monkeypatch):
+    monkeypatch.setattr(transducer, "REMEMBERED", 50)
+    texts = random_texts(3000)
+    own = TokenCounter(*read_model(MODEL), counter.classes)
+    assert own.count(texts).tolist() == expected(library, texts)
+    assert len(own.machine.apart) <= 51 and len(own.machine.blocked) <= 51
+
+
 def test_long_words_and_long_texts(counter, library):
     rng = random.Random(3)
     texts = ["a" * 50_000, " " * 50_000 + "x", "x y " * 400_000 + "\n\n" + "'re " * 9, "".join(rng.choice("abcdefgh") for _ in range(60_000)), "é" * 9000, "<|endoftext|>" * 3, "", None]
