@@ -10,7 +10,7 @@ the rest is computed. The forward state at a position depends on the prefix alon
   path, the one that merging yields. The state is that path's last piece, so ids equal those of step-by-step merging.
 
 Characters without a piece become byte pieces, or the unknown id if the model has none. Work is local to a task: documents
-are neither shuffled nor joined, and the memo of words is bounded by `memo` entries.
+are neither shuffled nor joined, and the memo of words is bounded by two generations of `memo` entries.
 
 Nulls: a null text counts as empty and has no ids. A literal mark character U+2581 is read as a space, as the format does, so such a
 text does not return unchanged; neither does one with a character that has no piece in a model without byte pieces. Very long texts
@@ -33,6 +33,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 MARK = "▁"
 MARKED_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNKNOWN_COST = 10.0
+TAIL = 4
 
 
 @lru_cache(maxsize=4)
@@ -74,10 +75,11 @@ class Pieces:
         self.rank = {i: -1.0 if len(p) == 1 else -self.score[i] for p, i in self.reachable.items()}
         tails: dict[str, set[int]] = {}
         for p in self.reachable:
-            if len(p) >= 3:
-                tails.setdefault(p[-3:], set()).add(len(p))
-        #: by the last three characters: lengths that pieces with this ending have, long ones first, then two and one
-        self.lengths = {tail: (*sorted(found, reverse=True), 2, 1) for tail, found in tails.items()}
+            if len(p) > TAIL:
+                tails.setdefault(p[-TAIL:], set()).add(len(p))
+        #: by the last characters: lengths of the pieces that end with them and are longer
+        self.longer = {tail: sorted(found, reverse=True) for tail, found in tails.items()}
+        self.endings: dict[str, tuple[tuple[int, int | None], ...]] = {}
         kept = [s for _, s, kind in rows if kind == 1]
         self.unknown_score = (min(kept) if kept else 0.0) - UNKNOWN_COST
 
@@ -195,16 +197,24 @@ class Pieces:
                     best = (i, piece, worth)
             states.append(best)
 
+    def _ending(self, tail: str) -> tuple[tuple[int, int | None], ...]:
+        """(length, piece) of what may end a text with this ending, long ones first; the piece is None where more of the text must be looked at."""
+        found = [(size, None) for size in self.longer.get(tail, ())]
+        found += [(size, self.reachable[tail[-size:]]) for size in range(len(tail), 0, -1) if tail[-size:] in self.reachable]
+        if len(self.endings) > 100_000:
+            self.endings.clear()
+        self.endings[tail] = tuple(found)
+        return self.endings[tail]
+
     def _merge_states(self, word: str, states: list) -> None:
         """state: (start of the last piece, the piece or -1)"""
-        get, apart, known, lengths = self.reachable.get, self.stay_apart, self.apart.get, self.lengths.get
+        get, apart, known, endings = self.reachable.get, self.stay_apart, self.apart.get, self.endings.get
         for j in range(len(states), len(word) + 1):
-            for size in lengths(word[j - 3 : j], (2, 1)) if j > 2 else (2, 1):
+            tail = word[j - TAIL if j > TAIL else 0 : j]
+            ending = endings(tail)
+            for size, piece in self._ending(tail) if ending is None else ending:
                 i = j - size
-                if i < 0:
-                    continue
-                piece = get(word[i:j])
-                if piece is None:
+                if piece is None and (i < 0 or (piece := get(word[i:j])) is None):
                     continue
                 if i == 0 or (last := states[i][1]) < 0:
                     break
@@ -249,6 +259,27 @@ class Pieces:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
+class WordMemo:
+    """Ids of words in two generations of at most `memo` words each (or those of one part). A full one becomes the older, from which words that come
+    again are taken over, so that only words not met for long are segmented anew."""
+
+    def __init__(self, pieces: Pieces, memo: int) -> None:
+        self.pieces, self.memo = pieces, memo
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def covering(self, split: list[list[str]]) -> dict[str, bytes]:
+        """A memo that has all words of `split`."""
+        fresh = set().union(*split).difference(self.known)
+        if len(self.known) + len(fresh) > self.memo:
+            self.older, self.known = self.known, {}
+            fresh = set().union(*split)
+        again = fresh.intersection(self.older)
+        self.known.update((word, self.older[word]) for word in again)
+        self.known |= self.pieces.segment(list(fresh.difference(again)))
+        return self.known
+
+
 def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", memo: int = 200_000, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of `docs` (default all), then ids array<int>, n_ids long, round_trip boolean (decoding gives the text back).
 
@@ -260,17 +291,13 @@ def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", memo:
     schema = StructType([docs.schema[c] for c in names] + [StructField("ids", ArrayType(IntegerType())), StructField("n_ids", LongType()), StructField("round_trip", BooleanType())])
 
     def run(batches):
-        known: dict[str, bytes] = {}
+        memo_of = WordMemo(pieces, memo)
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)
                 texts = [t or "" for t in part.column(len(names)).to_pylist()]
                 split = [pieces.marked_words(t) for t in texts]
-                fresh = set().union(*split).difference(known)
-                if len(known) + len(fresh) > memo:
-                    known = {}
-                    fresh = set().union(*split)
-                known |= pieces.segment(list(fresh))
+                known = memo_of.covering(split)
                 parts = [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
                 sizes, flat = [len(x) for x in parts], np.concatenate(parts)
                 same = pieces.returns(flat, sizes, texts)

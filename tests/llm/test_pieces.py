@@ -7,7 +7,7 @@ import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2
 
-from modalframe.llm.pieces import Pieces, decode_ids, encode_texts, load_pieces
+from modalframe.llm.pieces import Pieces, WordMemo, decode_ids, encode_texts, load_pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ODD = ["", " ", "  ", "a", " a ", "a  b", "a   b    c ", "\n\nx\t y", "日本語 テキスト", "naïve café—ok", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "é 🤖🤖", "x" * 3000, " " * 41 + "x", "\x00\x01", "1234567890 3.14159"]
@@ -101,3 +101,20 @@ def test_bytes_comparison_equals_decoding():
     ids = [np.array(ids_of(pieces, text), np.int32) for text in texts]
     same = pieces.returns(np.concatenate(ids), [len(x) for x in ids], texts)
     assert same == [pieces.decode(x.tolist()) == t for x, t in zip(ids, texts)]
+
+
+def test_words_that_come_again_are_segmented_once():
+    pieces, met = load_pieces(MODEL), []
+
+    class Counted:
+        def segment(self, words):
+            met.extend(words)
+            return pieces.segment(words)
+
+    memo, often = WordMemo(Counted(), 50), ["▁the", "▁and", "▁of"]
+    for k in range(20):
+        split = [[*often, *(f"▁rare{k}x{i}" for i in range(20))], often]
+        known = memo.covering(split)
+        assert {w: known[w] for words in split for w in words} == pieces.segment([w for words in split for w in words])
+        assert len(memo.known) <= 50 and len(memo.older) <= 50
+    assert len(met) == len(set(met)) == 3 + 20 * 20
