@@ -35,7 +35,7 @@ def predict_outcomes(df: DataFrame, models: dict[str, Head], features: str, labe
     return df.select(ident, *out, *FLAGS, modality_count().alias("modality_count"), pattern_string().alias("missing_pattern"))
 
 
-def fit_pattern_classifier(train: DataFrame, features: str, pattern: str = "pattern_code", max_iter: int = 1000, reg: float = 0.01, tol: float = 1e-10) -> LogisticRegressionModel:
+def fit_pattern_classifier(train: DataFrame, features: str, pattern: str = "pattern_code", max_iter: int = 1000, reg: float = 0.01, tol: float = 1e-13) -> LogisticRegressionModel:
     """Multinomial logistic regression of the pattern code on the features."""
     rows = train.select(pattern, array_to_vector(features).alias("_f"))
     estimator = LogisticRegression(featuresCol="_f", labelCol=pattern, family="multinomial", maxIter=max_iter, regParam=reg, tol=tol, predictionCol="_y", probabilityCol="_p")
