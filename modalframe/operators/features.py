@@ -57,15 +57,24 @@ def at_index(detail: DataFrame, pairs: DataFrame | None) -> DataFrame:
 class SharedRows(NamedTuple):
     """Detail tables that are all drawn from one relation: `tables(rows)` gives them by name.
 
-    Each row of a table comes from one row of `rows` and has its subject and admission, or NULL in their place.
+    Each row of a table comes from one row of `rows` and has its subject and admission, or NULL in their place. Where `rows` is a join with a relation
+    of admissions, `admissions` holds the pairs of that relation, a row for each of its rows, and `joined` makes the rows from these or from fewer.
     """
 
     rows: DataFrame
     tables: Callable[[DataFrame], dict[str, DataFrame]]
+    admissions: DataFrame | None = None
+    joined: Callable[[DataFrame], DataFrame] | None = None
 
 
 def shared_at_index(shared: SharedRows, pairs: DataFrame) -> dict[str, DataFrame]:
-    """The detail tables drawn from the shared rows of the index admissions only, which are found and stored once for all tables."""
+    """The detail tables drawn from the shared rows of the index admissions only, which are found and stored once for all tables.
+
+    Rows that are a join with admissions are joined with the index admissions alone. These are stored first, so the join knows how few they are and
+    need not move the rows while they can be broadcast.
+    """
+    if shared.joined:
+        return shared.tables(materialize(shared.joined(materialize(at_index(shared.admissions, pairs), "index_admissions")), "index_rows"))
     return shared.tables(materialize(at_index(shared.rows, pairs), "index_rows"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cohort, features, labels
+from ..operators.ordered import null_safe_join
+from ..session import materialize
 from ..sources.bucketed import KeyedTables, write_bucketed
 
 DETAIL_TABLES = (
@@ -39,14 +41,20 @@ def build_features(
         subjects = cohort.eligible_subjects(patients, admissions)
     subjects = subjects.select("subject_id")
     stays = cohort.restrict_to_subjects(admissions, subjects, spread_by="hadm_id")
-    index = cohort.index_admission(stays, mode)
+    pairs = cohort.index_pairs(stays) if mode == "row" else None
+    if shared and pairs is not None:
+        # stored, so that the joins know how few they are: whole admissions need not move to find the first of each subject (of these subjects alone)
+        pairs = materialize(pairs, "index_pairs")
+        index = cohort.index_admission(null_safe_join(admissions, pairs, features.PAIR, "left_semi"))
+    else:
+        index = cohort.index_admission(stays, mode)
     outcome = labels.all_labels(subjects, stays, index, tables["icustays"])
     people = features.one_hot(
         patients.select("subject_id", "gender", "anchor_age", "anchor_year_group"), PATIENT_CATEGORICALS, categories
     )
     first = index.select("subject_id", "hadm_id", *[F.col(c).alias(f"idx_{c}") for c in cohort.INDEX_FEATURES])
     base = subjects.join(first, "subject_id", "left").join(outcome, "subject_id", "left").join(people, "subject_id", "left")
-    pairs = cohort.index_pairs(stays) if mode == "row" else index.select(*features.PAIR)
+    pairs = index.select(*features.PAIR) if pairs is None else pairs
     there = {t: tables[t] for t in DETAIL_TABLES if t in tables}
     if buckets:
         pairs = write_bucketed(pairs.filter(F.col("hadm_id").isNotNull()), "subject_id", buckets)

@@ -136,3 +136,30 @@ def test_shared_rows_meet_the_pairs_once(spark, monkeypatch):
     shared = build_features(both, shared=X.SharedRows(ids, tables))
     assert sum(p is not None for p in seen) == 1
     assert sorted(map(str, shared.collect())) == sorted(map(str, plain.select(shared.columns).collect())) and shared.agg(F.sum("idx_lab_count")).first()[0] > 50
+
+
+def test_rows_joined_with_admissions_meet_the_index_admissions_alone(spark):
+    """Rows that are a join with admissions: only index admissions get to the join, repeated and null keys as in the plain way."""
+    stays = [(s, None if s == 5 and not k else 30 * k + s, day(k * 40 + (2 if s % 2 else 0)), day(k * 40 + 3), "a", k) for s in [*range(12), 7] for k in (2, 1, 0)]
+    stays += [(None, 500, day(1), day(2), "a", 0), (3, None, day(90), day(95), "a", 1)]
+    columns = ("admission_type", "race", "admission_location", "discharge_location")
+    people = spark.range(11).selectExpr("id AS subject_id", "'F' AS gender", "40 AS anchor_age", "'2008 - 2010' AS anchor_year_group")
+    given = {"patients": people, "admissions": admissions(spark, stays).withColumns({c: F.lit("t") for c in columns})}
+    lines = spark.range(400).select((F.col("id") % 80).alias("line_hadm"), F.col("id").alias("n"), (F.col("id") % 7).cast("double").alias("v"))
+    pairs, met = given["admissions"].select(*X.PAIR), []
+
+    def joined(at):
+        met.append(at.groupBy(*X.PAIR).count().collect())
+        return lines.join(at, F.col("line_hadm") == F.col("hadm_id")).drop("line_hadm")
+
+    def tables(rows):
+        return {
+            "diagnoses_icd": rows.select(*X.PAIR, F.concat(F.lit("c"), F.col("n") % 4).alias("icd_code")), "drgcodes": rows.select(*X.PAIR, F.lit("x").alias("drg_code"), F.col("v").alias("drg_severity")),
+            "icustays": rows.where("n % 3 = 0").select(*X.PAIR, F.col("n").alias("stay_id"), F.col("v").alias("los")),
+        }
+
+    every = joined(pairs)
+    plain = build_features(given | tables(every))
+    shared = build_features(given | tables(every), shared=X.SharedRows(every, tables, pairs, joined))
+    assert sorted(map(str, shared.collect())) == sorted(map(str, plain.select(shared.columns).collect()))
+    assert sorted((r.subject_id, r.hadm_id, r["count"]) for r in met[1]) == [(s, s, 2 if s == 7 else 1) for s in range(11) if s != 5]
