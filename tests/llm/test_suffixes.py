@@ -1,4 +1,6 @@
 import hashlib
+import inspect
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -109,3 +111,26 @@ def test_runs_cover_all_windows_and_match_in_copies(rng):
     for n in (0, 399, 400, 1098, 1099, 1100, 5000):
         starts = [i for a, b in pieces_of(n, 700) for i in range(a, b - WIDTH + 1)]
         assert starts == list(range(max(0, n - WIDTH + 1)))
+
+
+def test_one_character_over_and_over_is_worked_in_bounded_memory():
+    data = np.full(600_000, ord("x"), np.uint8)  # every start is a run of its own
+    piece, none = inspect.signature(remove_repeats).parameters["piece"].default, np.empty(0, np.int64)
+    near = np.concatenate([runs_of(data[a:b])[0] + a for a, b in pieces_of(len(data), piece)])
+    assert len(near) == len(data) - WIDTH + 1
+    tracemalloc.start()
+    rows = sum(len(found[0]) for found in suffixes.step_records(data, (1, 2), piece, none, none, near))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 2 * len(near) and peak < 60e6
+    assert suffixes.removed_bytes(data, piece, near, none, near, none, none).all()
+
+
+def test_places_are_found_like_in_sets(rng):
+    lo = np.cumsum(rng.integers(1, 90, 50))
+    hi, anchor = lo + rng.integers(0, 70, 50), lo + rng.integers(0, 380, 50)
+    expected = [(max(x, a), min(x + suffixes.STEP - 1, b), x) for a, b, c in zip(lo.tolist(), hi.tolist(), anchor.tolist()) for x in range(a - (a - c) % suffixes.STEP, b + 1, suffixes.STEP)]
+    assert list(zip(*(x.tolist() for x in suffixes._steps(lo, hi, anchor)))) == expected
+    places = [np.sort(rng.choice(60, k, replace=False)) for k in (30, 40, 10)]
+    all_, near, lead = (set(x.tolist()) for x in places)
+    assert suffixes._open(np.arange(60), *places).tolist() == [x in near and (x not in all_ or x in lead) for x in range(60)]
