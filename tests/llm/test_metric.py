@@ -100,3 +100,38 @@ def test_a_tile_compares_slice_by_slice(monkeypatch):
                 whole.union(k, j)
         assert [sets.find(k) for k in range(90)] == [whole.find(k) for k in range(90)]
     assert found[0] == found[1]
+
+
+def test_memory_of_a_dense_tile_is_bounded():
+    """All vectors link with all: the links held at a time are those of a piece of the tile."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=8) + 0.01 * rng.normal(size=(8192, 8))
+    frame = pd.DataFrame({"node": np.arange(8192), "v": list(v), "n": 1})
+    tracemalloc.start()
+    out = metric._tile(frame.iloc[:1024], frame, 0.95)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (out["near"][out["other"].isna()] == 8192).all() and out["other"].notna().sum() >= 8191
+    assert peak < 2e8  # 529 MB where a slice meets all others at once
+
+
+def test_rows_handed_on_do_not_grow_with_the_cells(rng):
+    """Vectors that reach into every cell are read as often as there are stripes, and a task hands on at most a few rows for each."""
+    v = rng.normal(size=(1500, 64))
+    pivots = {64: metric._unit(v[:400])}
+    batch = pd.DataFrame({"node": np.arange(1500), "v": list(v), "n": 1})
+    parts = list(metric._slices([batch], pivots, 0.3))
+    assert sum(len(some) for _, some, *_ in parts) == 1500 and max(len(some) for _, some, *_ in parts) <= metric.SLICE
+    home = np.concatenate([x[4] for x in parts])
+    counts = {(64, int(c)): int((home == c).sum()) for c in np.unique(home)}
+    plan, stripes = metric.plan_stripes(counts, tile=50)
+    met = metric._stripes_of(64, home, np.arange(1500), plan)
+    assert met.max() < stripes <= 12 and np.bincount(met).max() <= 250
+
+
+def test_equal_hashes_of_other_vectors(spark, rng, monkeypatch):
+    rows = cloud(rng, 60)
+    monkeypatch.setattr(metric.F, "xxhash64", lambda *c: metric.F.lit(7).cast("long"))
+    assert run(spark, rows) == brute(rows)
