@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalog.record_fixture import encode_vector
+from catalog.record_fixture import encode_vector, encode_vectors
 from modalframe.sources import records, sinks, tables
 from modalframe.sources.wide import from_wide, to_wide
 
@@ -131,6 +131,42 @@ def test_record_scan_without_filter_pushdown(spark, tmp_path):
         spark.conf.set(setting, before)
 
 
+def test_large_cohorts_are_read_in_few_bundles(spark, tmp_path, monkeypatch):
+    """Bundles grow with the cohort, hold every subject once, and each is read as a slice of the stored ids."""
+    base, path = f"{tmp_path}/files", f"{tmp_path}/cohort"
+    for sid in (0, 70_001, 199_999):
+        write(f"{base}/p0/p{sid}/s1/v.tfrecord", encode_vector(np.full(4, sid, np.float32)))
+    spark.range(200_000).select(F.col("id").alias("subject_id")).coalesce(2).write.parquet(path)
+    reader = records.RecordReader(base, path, 16, 8, "embedding")
+    parts = reader.partitions()
+    assert len(parts) <= 1002 and sum(p.stop - p.start for p in parts) == 200_000
+    some = parts[::400] + parts[-1:]
+    assert [len(list(reader.subjects(p))) for p in some] == [p.stop - p.start for p in some]
+    last = [s for p in parts[-3:] for s in reader.subjects(p)]
+    assert last == list(range(200_000 - len(last), 200_000))
+    monkeypatch.setattr(records, "MOST_BUNDLES", 3)
+    got = [s for p in reader.partitions() for b in reader.read(p) for s in b.column(0).to_pylist()]
+    assert got == [0, 70_001, 199_999] and len(reader.partitions()) <= 5
+
+
+def test_neighbours_are_dealt_to_different_bundles(spark, tmp_path):
+    """Subjects with files may be neighbours in an ordered cohort: they are not read by a few tasks."""
+    base = f"{tmp_path}/files"
+    for sid in range(40):
+        write(f"{base}/p0/p{sid}/s1/v.tfrecord", encode_vector(np.full(2, sid, np.float32)))
+    got = records.scan_records(spark, base, spark.range(4000).select(F.col("id").alias("subject_id")).orderBy("subject_id"), bundle=40)
+    rows = got.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert sum(r["count"] for r in rows) == 40 and len(rows) > 15 and max(r["count"] for r in rows) < 10
+
+
+def test_vectors_encoded_together():
+    rng = np.random.default_rng(1)
+    vectors = [rng.normal(size=n).astype(np.float32) for n in (3, 0, 64, 1)]
+    files = encode_vectors(vectors)
+    assert files == [encode_vector(v) for v in vectors]
+    assert [records.decode_vector(f) for f in files] == [v.tolist() for v in vectors]
+
+
 def test_checksum_and_other_features():
     assert records.masked_crc(b"123456789") == ((0xE3069283 >> 15 | 0xE3069283 << 17) + 0xA282EAD8) & 0xFFFFFFFF
     assert records.decode_vector(encode_vector([1.0], "other")) == []
