@@ -159,6 +159,18 @@ def test_neighbours_are_dealt_to_different_bundles(spark, tmp_path):
     assert sum(r["count"] for r in rows) == 40 and len(rows) > 15 and max(r["count"] for r in rows) < 10
 
 
+def test_record_scan_over_many_customers(spark, tmp_path):
+    """The query's tasks do not grow with the customers: 40,000 of them, 32,000 in the cohort, would be 2,000 bundles of 16."""
+    from catalog.q_models import scanned
+
+    keys = spark.range(40_000)
+    keys.select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    orders = keys.select(F.col("id").alias("o_custkey"), F.col("id").alias("o_orderkey"), F.lit("O").alias("o_orderstatus"), F.lit("1-URGENT").alias("o_orderpriority"))
+    orders.withColumn("o_orderdate", F.expr("date'2000-01-01'")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, [0.5, 0.25 * k]) for k in range(6)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert 900 < scanned(spark, str(tmp_path)).rdd.getNumPartitions() <= 1100
+
+
 def test_vectors_encoded_together():
     rng = np.random.default_rng(1)
     vectors = [rng.normal(size=n).astype(np.float32) for n in (3, 0, 64, 1)]
